@@ -6,6 +6,7 @@ so a lost executor costs a task, never a table.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,3 +61,9 @@ def n_words(text: Column) -> Column:
 def rows_fit(df: DataFrame, bound: int) -> bool:
     """Whether df has at most ``bound`` rows: the check that goes before every broadcast."""
     return df.limit(bound + 1).count() <= bound
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that no one holds any more, after their result is stashed."""
+    gc.collect()
+    spark._jvm.System.gc()
