@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.llm.chat import format_chats, read_chats
+from lectern.llm.decontaminate import contamination
+from lectern.llm.hmm_scores import score_texts
+from lectern.llm.line_dedup import drop_spread_lines
+from lectern.llm.mixing import mix_taken
 from lectern.llm.near_dups import near_duplicates
-
-ORACLE: dict[str, str] = {}
+from lectern.llm.quality_lines import judge_quality
+from lectern.llm.secret_scan import scan_secrets
+from lectern.llm.sharding import minimax_shards
+from lectern.llm.sql import ORACLE  # noqa: F401
+from lectern.llm.substring_dedup import drop_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +28,61 @@ def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimax_shards(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_taken(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_spread_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeats(_table(spark, sf_dir, "documents"), texts=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = read_chats(format_chats(turns))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_near_dups": op1_near_dups,
-}
+    f.__name__: f
+    for f in (
+        op1_near_dups, op2_hmm_scores, op3_quality_lines, op4_minimax_shards, op5_decontaminate,
+        op6_mix_sources, op7_line_dedup, op8_drop_repeats, op9_format_chats, op10_secret_scan,
+    )
+}
