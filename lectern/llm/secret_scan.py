@@ -27,9 +27,10 @@ N = len(ALPHABET) + 1  # and the border of the token
 
 MIN_TOKEN = 20
 #: nats: in total, and for each character
-MIN_RATIO, MIN_RATE = 15.0, 0.5
+MIN_RATIO, MIN_RATE = 15.0, 1.0
 SAMPLE_ROWS = 3000
 MADE_STRINGS = 3000
+BACK_OFF = 5.0
 
 
 class Rules:
@@ -87,7 +88,7 @@ def _sample_counts():
                 spans, ordinary, at = rules.spans(text), [], 0
                 for s, _, e in [*spans, (len(text), 0, len(text))]:
                     if s > at:
-                        ordinary += token.findall(text[at:s])
+                        ordinary += [t for t in token.findall(text[at:s]) if len(t) < MIN_TOKEN]
                     at = max(at, e)
                 counts[1] += transitions(ordinary)
         kind, i, j = np.nonzero(counts)
@@ -99,8 +100,9 @@ def _sample_counts():
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Log-likelihood ratios (from, to): random over ordinary.
 
-    Labelled by the rules on ``sample_rows`` documents of least hash: their matches are random, all other
-    tokens ordinary; ``MADE_STRINGS`` generated strings are random too. Counts get one half added.
+    Labelled by the rules on ``sample_rows`` documents of least hash: their matches are random, other
+    tokens too short to be judged are ordinary; ``MADE_STRINGS`` generated strings are random too. Transitions back off to
+    the characters' own frequencies, with the weight of ``BACK_OFF`` counts; those get one half added.
     """
     hashed = docs.select(F.xxhash64(id_col, text_col).alias("h"), text_of(text_col).alias("text"))
     last = hashed.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
@@ -110,7 +112,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     for kind, i, j, n in found:  # at most 2 x N x N rows
         counts[kind, i, j] = n
     counts[0] += transitions(made_strings(MADE_STRINGS))
-    p = (counts + 0.5) / (counts + 0.5).sum(axis=2, keepdims=True)
+    alone = counts.sum(axis=1, keepdims=True) + 0.5
+    alone /= alone.sum(axis=2, keepdims=True)
+    p = (counts + BACK_OFF * alone) / (counts.sum(axis=2, keepdims=True) + BACK_OFF)
     return np.log(p[0]) - np.log(p[1])
 
 
