@@ -67,3 +67,19 @@ def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that no one holds any more, after their result is stashed."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+#: Keys of rows to leave out are broadcast up to this number (some 32 MB), else joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A hash of id and text: equal rows share it, so rows can be found again whatever their ids."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (key). Their texts are not shuffled if ``gone`` is small."""
+    gone = Stash(gone.select(F.col("key").alias("__gone")).distinct(), "gone").df
+    gone = F.broadcast(gone) if rows_fit(gone, BROADCAST_KEYS) else gone
+    return docs.join(gone, key == gone["__gone"], "left_anti")
