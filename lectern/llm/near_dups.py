@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.shared import Stash
+from lectern.llm.shared import Stash, rows_fit
 from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams, seeded
 
 BLOCK = 1024
+#: Up to this number, hashes of the sets to compare are broadcast (16 MB or so) to leave out all others before the shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,6 +210,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, w
     """The pairs (a, b) of digests whose sets reach the threshold, compared member by member."""
     ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     sets = docs.select("text").mapInArrow(_sets(shingle, weighted), "digest binary, members binary")
+    ends = Stash(ends, "ends").df
+    if rows_fit(ends, BROADCAST_ROWS):
+        few = F.broadcast(ends.select(F.xxhash64("digest").alias("h")))
+        sets = sets.join(few, F.xxhash64(sets["digest"]) == few["h"], "left_semi")
     sets = Stash(sets.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "sets").df
     with_a = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a")
     both = with_a.join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
