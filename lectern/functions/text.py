@@ -15,11 +15,11 @@ MIN_QUERY_TOKEN = 3
 
 
 def _folds() -> tuple[str, str]:
-    """Lower-case letters with one accent, and the letters without it."""
-    pairs = []
+    """Lower-case Latin letters with one accent and the letters without it; the final sigma and sigma."""
+    pairs = [("ς", "σ")]
     for i in range(0x80, min(0x2000, sys.maxunicode)):
         c = unicodedata.normalize("NFD", chr(i))
-        if len(c) == 2 and unicodedata.combining(c[1]) and c[0].isalpha() and chr(i) == chr(i).lower():
+        if len(c) == 2 and unicodedata.combining(c[1]) and c[0].isascii() and c[0].isalpha() and chr(i) == chr(i).lower():
             pairs.append((chr(i), c[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 

@@ -1,0 +1 @@
+"""Incremental forms: resumable enrichment and index upkeep as Structured Streaming."""
