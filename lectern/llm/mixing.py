@@ -174,8 +174,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     def text(parts: Column) -> Column:
         kept = F.filter(parts, lambda p: p["times"] >= F.col("__nth"))
         n = F.aggregate(kept, F.lit(0), lambda n, p: n + p["hi"] - p["lo"])
-        words = F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0))
-        some = F.flatten(F.transform(kept, lambda p: F.slice(words, p["lo"] + 1, p["hi"] - p["lo"])))
+        words = F.array(F.regexp_extract_all(text_of(text_col), F.lit(WORD), F.lit(0)))  # cut once for all parts
+        some = F.flatten(F.flatten(F.transform(words, lambda w: F.transform(kept, lambda p: F.slice(w, p["lo"] + 1, p["hi"] - p["lo"])))))
         return F.when(n == F.col("__size"), F.col(text_col)).otherwise(F.array_join(some, " "))
 
     out = out.withColumn(text_col, text(F.col("__parts")))

@@ -6,19 +6,15 @@ so a lost executor costs a task, never a table.
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
-import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import lectern
-
-# Python workers get the functions themselves: they need not find this package on their path.
-cloudpickle.register_pickle_by_value(lectern)
-
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        folder = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
