@@ -7,17 +7,21 @@ their mean are those of the whole corpus, whatever facets are asked for.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.stem import stems
-from lectern.functions.text import query_tokens
+from lectern.functions.stem import stem_word, stems
+from lectern.functions.text import MIN_QUERY_TOKEN, QUERY_TOKEN, query_tokens
 from lectern.operators.index import Index
 
 # Fixed values of the ranking.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: A query of up to so many distinct prefixes is one filter on the postings.
+MAX_IN_PLAN = 64
 #: Columns of a corpus and their weights.
 UNIT_WEIGHTS = {"text": 10.0, "context_line": 4.0, "applies_when": 5.0, "key_terms": 8.0, "questions": 4.0}
 
@@ -91,10 +95,40 @@ def search_batch(index: Index, units: DataFrame, queries: DataFrame, k: int = 5,
     return top_k(scored, k).join(units, "id").select("case_id", "score", *units.columns)
 
 
+def _scores_of(index: Index, prefixes: Counter[str], weights: Sequence[float]) -> DataFrame:
+    """(id, score) for a few prefixes and how often each is asked for.
+
+    The prefixes are filters on the postings, so a saved index is pruned by them; one aggregation by
+    row counts all of them side by side.
+    """
+    names = list(prefixes)
+    term = F.col("term")
+    any_of = term.startswith(names[0])
+    for p in names[1:]:
+        any_of |= term.startswith(p)
+    weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+    parts = [F.sum(F.when(term.startswith(p), weighted)).alias(f"f{i}") for i, p in enumerate(names)]
+    found = index.postings.filter(any_of).groupBy("id").agg(*parts)
+    dfs = found.agg(*(F.count(f"f{i}").alias(f"df{i}") for i in range(len(names))))
+    rows = found.join(index.lengths, "id").join(F.broadcast(dfs.join(index.corpus())))  # one row
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    score = F.lit(0.0)
+    for i, p in enumerate(names):
+        f = F.col(f"f{i}")
+        score -= prefixes[p] * F.coalesce(idf(F.col("n_docs"), F.col(f"df{i}")) * f * (K1 + 1) / (f + norm), F.lit(0.0))
+    return rows.select("id", score.alias("score"))
+
+
 def search(index: Index, units: DataFrame, query: str, k: int = 5, weights: Sequence[float] = (1.0,), facets: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """The best k units for one query, best first: score and the units' columns. Nothing if no token is usable."""
-    queries = units.sparkSession.range(1).select(F.col("id").alias("case_id"), F.lit(query).alias("query"))
-    scored = scores(index, queries, weights)
+    tokens = [t.lower() for t in re.findall(QUERY_TOKEN, query) if len(t) >= MIN_QUERY_TOKEN]
+    prefixes = Counter(stem_word(t) if index.stemmed else t for t in tokens)
+    if not prefixes:
+        return units.limit(0).select(F.lit(0.0).alias("score"), *units.columns)
+    if len(prefixes) <= MAX_IN_PLAN:
+        scored = _scores_of(index, prefixes, weights)
+    else:
+        scored = scores(index, units.sparkSession.range(1).select(F.col("id").alias("case_id"), F.lit(query).alias("query")), weights)
     for c, values in (facets or {}).items():
         if values:
             scored = scored.join(units.filter(F.col(c).isin(list(values))).select("id"), "id", "left_semi")
