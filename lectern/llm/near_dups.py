@@ -9,8 +9,8 @@
 3. Bands of coordinates are buckets. Every member is compared to its bucket's centre, another one in
    each band, so a group of n copies gives n pairs a band, not n squared.
 4. Exact Jaccard similarities of these pairs decide; components of the links are formed. Buckets that
-   then still hold more than one component are searched in blocks for agreeing signatures across
-   components; those pairs are compared exactly too. Pairs inside a component are never needed.
+   then still hold more than one component are searched in blocks for pairs across components: agreeing
+   signatures first, then exactly, until what is alike is joined. Pairs inside a component are never needed.
 """
 
 from __future__ import annotations
@@ -184,37 +184,57 @@ def _compare(threshold: float, weighted: bool):
     return run
 
 
-def _blocks(k: int, least: int):
-    """Pairs of a bucket's blocks i <= j that differ in component and agree in at least ``least`` coordinates."""
+def _blocks(k: int, least: int, threshold: float, weighted: bool):
+    """Links between the components of a bucket's blocks i <= j, enough of them to join what the exact comparison joins.
+
+    Pairs that agree in at least ``least`` coordinates are compared, the most alike first; those whose ends
+    have met by then need no comparison. So no more links leave a block than it has rows.
+    """
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        digest, label = np.array(table["digest"].to_pylist(), object), np.array(table["label"].to_pylist(), object)
+        digest, members = table["digest"].to_pylist(), table["members"].to_pylist()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, k)
-        _, label = np.unique(label, return_inverse=True)
+        _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
         blk = table["blk"].to_numpy()
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        a, b = [], []
+        found = []
         for p in left:
             q = right[(right > p) if i == j else slice(None)]
             q = q[label[q] != label[p]]
-            q = q[(sig[q] == sig[p]).sum(axis=1) >= least]
-            a += [digest[p]] * len(q)
-            b += list(digest[q])
+            alike = (sig[q] == sig[p]).sum(axis=1)
+            use = alike >= least
+            found.append(np.stack([np.full(use.sum(), p), q[use], alike[use]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
+        pairs = pairs[:2, np.argsort(-pairs[2], kind="stable")]
+        a, b = [], []
+        while pairs.shape[1]:
+            some, pairs = pairs[:, :256], pairs[:, 256:]
+            for p, q in some.T:
+                if label[p] != label[q] and jaccard(members[p], members[q], weighted) >= threshold:
+                    label[label == label[q]] = label[p]
+                    a.append(digest[p])
+                    b.append(digest[q])
+            pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b) of digests whose sets reach the threshold, compared member by member."""
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+def _sets_of(ends: DataFrame, docs: DataFrame, shingle: int, weighted: bool) -> DataFrame:
+    """(digest, members) of the digests in ``ends``."""
     sets = docs.select("text").mapInArrow(_sets(shingle, weighted), "digest binary, members binary")
-    ends = Stash(ends, "ends").df
+    ends = Stash(ends.select("digest").distinct(), "ends").df
     if rows_fit(ends, BROADCAST_ROWS):
         few = F.broadcast(ends.select(F.xxhash64("digest").alias("h")))
         sets = sets.join(few, F.xxhash64(sets["digest"]) == few["h"], "left_semi")
-    sets = Stash(sets.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "sets").df
+    return Stash(sets.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "sets").df
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, weighted: bool) -> DataFrame:
+    """The pairs (a, b) of digests whose sets reach the threshold, compared member by member."""
+    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest")))
+    sets = _sets_of(ends, docs, shingle, weighted)
     with_a = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a")
     both = with_a.join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_compare(threshold, weighted), "a binary, b binary")
@@ -242,7 +262,7 @@ def near_duplicates(
 
     nodes = signed.filter("digest is not null").select("digest", "bands").dropDuplicates(["digest"])
     buckets = Stash(nodes.select("digest", F.explode("bands").alias("band")), "buckets")
-    nth = F.struct(F.xxhash64("digest", "band").alias("h"), F.col("digest").alias("d"))
+    nth = F.struct(F.xxhash64("digest").alias("h"), F.col("digest").alias("d"))
     shared = buckets.df.groupBy("band").agg(F.min(nth)["d"].alias("centre"), F.count("*").alias("n")).filter("n > 1")
     members = Stash(buckets.df.join(shared, "band"), "members")
     pairs = members.df.filter("digest <> centre").select(F.greatest("digest", "centre").alias("a"), F.least("digest", "centre").alias("b")).distinct()
@@ -253,18 +273,18 @@ def near_duplicates(
     named = Stash(members.df.join(label, "digest", "left").select("band", "n", "digest", F.coalesce("label", "digest").alias("label")), "named")
     mixed = named.df.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
     sigs = signed.filter("digest is not null").select("digest", "sig").dropDuplicates(["digest"])
-    rest = named.df.join(mixed, "band", "left_semi")
-    rest = rest.join(sigs.join(rest.select("digest").distinct(), "digest", "left_semi"), "digest")
+    rest = Stash(named.df.join(mixed, "band", "left_semi"), "rest").df
+    ends = rest.select("digest").distinct()
+    rest = rest.join(sigs.join(ends, "digest", "left_semi"), "digest").join(_sets_of(ends, docs, shingle, weighted), "digest")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("blk", F.pmod(F.xxhash64("digest"), n_blocks).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rest = rest.select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "digest", "label", "sig")
+    rest = rest.select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "digest", "label", "sig", "members")
     # at similarity 0.8 under 0.6 of 80 coordinates agree with probability 1e-5 and less above it
-    more = rest.groupBy("band", "i", "j").applyInArrow(_blocks(k, int(k * threshold * 0.75)), "a binary, b binary")
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = Stash(more.join(pairs.df, ["a", "b"], "left_anti"), "more")
+    more = rest.groupBy("band", "i", "j").applyInArrow(_blocks(k, int(k * threshold * 0.75), threshold, weighted), "a binary, b binary")
+    more = Stash(more.distinct(), "more")
     if more.df.limit(1).count():
-        links = Stash(links.df.unionByName(_linked(more.df, docs, shingle, threshold, weighted)), "links")
+        links = Stash(links.df.unionByName(more.df), "links")
         label = components(links.df).select(F.col("node").alias("digest"), "label")
 
     rows_ = signed.select("id", "digest", "n_shingles")
