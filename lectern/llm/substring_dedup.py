@@ -7,7 +7,8 @@
 3. Extend: around every hit, the 50-word windows that hold it. The least document of each of them,
    found by hash in buckets again, decides; overlapping ones add up to the maximal repeats.
 
-Windows travel packed: a binary run of hashes for each document, bucket and batch, not a row each.
+Rows whose whole text stands in a smaller document are settled first and take no part, so a group of
+exact copies is one document here. Windows travel packed: a binary run of hashes for each document, bucket and batch, not a row each.
 Results come back as bits, and are applied where the text is.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Stash, free_shuffles, text_of
+from lectern.llm.shared import Stash, free_shuffles, n_words, text_of, without
 from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams
 
 BUCKET_BYTES = 24 << 20
@@ -242,6 +243,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     block = window // 2
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    # a copy of a smaller document's text loses all its words, if they make a run
+    rows = docs.select("key", "id", F.md5("text").alias("same"), n_words(F.col("text")).alias("n_words")).filter("id is not null")
+    rows = Stash(rows.filter(F.col("n_words") >= window), "rows").df
+    least = rows.groupBy("same").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    copies = Stash(rows.join(least, "same").filter("id > least").select("key", "id", "n_words"), "copies").df
+    whole = copies.select("id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("" if texts else None).cast("string").alias("kept_text"))
+    docs = without(docs, copies, F.col("key"))
+
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(64, -(-n_bytes // BUCKET_BYTES))
     known = docs.filter("id is not null").select("key", "id", "text")
@@ -264,4 +273,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     done = open_rows.join(later, "key", "left").select("id", "text", "found", "later")
     done = done.mapInArrow(_apply(block, window, n_buckets, texts), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     clean = split.filter("text is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("kept").alias("kept_text"))
-    return done.unionByName(clean).withColumnRenamed("id", id_col)
+    return done.unionByName(clean).unionByName(whole).withColumnRenamed("id", id_col)
