@@ -305,7 +305,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = rows.filter("not held_out").select("text").mapInArrow(_count_words(), "h long, tail int, n long")
     words = Stash(words.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")), "words").df
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.filter("tail >= 0").orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
+    # known are the words of the highest counts, in whole steps of a 64th of a doubling, as many as fit
+    step = F.floor(F.log2("n") * 64).cast("int")
+    sizes = words.filter("tail >= 0").groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # some thousands of rows
+    fits = [r.step for r, upto in zip(sizes, np.cumsum([r["count"] for r in sizes]), strict=True) if upto <= KNOWN]
+    top = words.filter("tail >= 0").filter(step >= (fits[-1] if fits else 1 << 30)).toPandas().sort_values(["n", "h"], ascending=[False, True])
     # the tail classes hold all words but the head's; at most TAIL rows, and the end's at -1
     per_tail = {t: (n, v) for t, n, v in words.groupBy("tail").agg(F.sum("n"), F.count("*")).collect()}
     end_n = per_tail.pop(-1, (0, 0))[0]

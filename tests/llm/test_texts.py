@@ -256,3 +256,9 @@ def test_scores(docs, no_docs, small, monkeypatch):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9)
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert hmm_scores.score_texts(no_docs, rounds=1).collect() == []
+
+
+def test_scores_beat_the_unigram_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = hmm_scores.score_texts(docs, rounds=4).filter("held_out").groupBy().sum("base_score", "score", "n_tokens").first()
+    assert out["sum(score)"] > out["sum(base_score)"] + 0.05 * out["sum(n_tokens)"]
