@@ -1,5 +1,6 @@
-"""Queries over their whole tables, against the registered SQL less its cuts."""
+"""Queries over their whole tables, against the registered SQL less its cuts or plain loops."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 
 from lectern.plans.catalog import QUERIES
 from lectern.plans.oracle import ORACLE
+from lectern.sources.html import html_elements
 
 from .test_catalog import rows
 
@@ -40,3 +42,39 @@ def test_cases_are_whole_passages(spark, tmp_path):
     top = {(r.case_id, r.id) for r in QUERIES["eval_topk"](spark, str(tmp_path)).collect()}
     assert {(3, 2), (500, 3)} <= top
     assert tuple(QUERIES["eval_hit_rate"](spark, str(tmp_path)).first()) == (0.5, 4)
+
+
+BLOCKS = set("address article aside blockquote body div footer form h1 h2 h3 head header hr html li main nav ol p pre section table td title tr ul".split())
+INLINE = [
+    ("<p><b>whole paragraph<br>second</b> line <a href='x'>link</a>ed</p>tail<p>next", [("para", 0, "whole paragraph\nsecond line linked"), ("para", 0, "next")]),
+    ("<ul><li><a>word</a></li><li>a<div>b</div>c</ul>after", [("para", 0, "word"), ("para", 0, "a\nb\nc")]),
+    ("<h2>head <i>ing</i></h2><p>open<footer>foot</footer>", [("heading", 2, "head ing"), ("para", 0, "open")]),
+    ("<p>a<script>var t='</p>' + '<b>x</b>'</script>z <!-- no -->1 < 2 <b></b></p>", [("para", 0, "az 1 < 2")]),
+    ("<p></p><li><br></li>", []),
+]
+
+
+def test_elements_go_on_over_inline_tags(spark):
+    pages = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(INLINE)], "page_id long, html string")
+    got = html_elements(pages).orderBy("page_id", "pos").collect()
+    for i, (_, want) in enumerate(INLINE):
+        assert [(r.kind, r.level, r.text) for r in got if r.page_id == i] == want
+
+
+def test_elements_of_pages_match_a_loop(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = []
+    for page_id, html in pages.select("page_id", "html").collect():
+        html = re.sub(r"(<(?:script|style)>)(.*?)(</)", lambda m: m[1] + m[2].replace("<", " ") + m[3], html, flags=re.S)
+        plain, at = [], None
+        for m in re.finditer(r"<(/?)([a-z0-9]*)[^>]*>([^<]*)", html):
+            if m[2] in BLOCKS:
+                at = None
+                if not m[1] and m[2] in ("title", "h1", "h2", "h3", "p", "li"):
+                    plain.append([m[2], ""])
+                    at = plain[-1]
+            if at:
+                at[1] += m[3]
+        want += [(page_id, "para" if tag in ("p", "li") else "heading", text.strip()) for tag, text in plain if text.strip()]
+    got = html_elements(pages).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.kind, r.text) for r in got] == sorted(want, key=lambda x: x[0])
