@@ -57,7 +57,7 @@ def line_class_share(spark, d):
 @query
 def page_range_scan(spark, d):
     pages = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("int").alias("page"), "n_chars")
-    pages = layout.page_range(pages, 0, 900)
+    pages = layout.page_range(pages, 0, None)
     both = segments.page_spans(pages, PAGE_RANGES).unionByName(segments.page_spans(pages, APPENDIX_RANGES, 1 + len(PAGE_RANGES)))
     return both.select("chapter", "span_ord", "doc_id", "n_chars")
 

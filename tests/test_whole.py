@@ -13,7 +13,7 @@ from lectern.sources.html import html_elements
 from .test_catalog import rows
 
 #: What the SQL leaves out, and what stands there without the cut.
-CUTS = {"text[1:60] AS query": "text AS query", " WHERE item_id < 12": "", " WHERE item_id < 5": ""}
+CUTS = {"text[1:60] AS query": "text AS query", " WHERE item_id < 12": "", " WHERE item_id < 5": "", "BETWEEN 1 AND 900": ">= 1"}
 
 
 def whole(name):
@@ -23,7 +23,7 @@ def whole(name):
     return sql
 
 
-@pytest.mark.parametrize(("name", "sf"), [("eval_topk", "sf0.001"), ("eval_hit_rate", "sf0.001"), ("prefix_expand", "sf0.001")])
+@pytest.mark.parametrize(("name", "sf"), [("eval_topk", "sf0.001"), ("eval_hit_rate", "sf0.001"), ("prefix_expand", "sf0.001"), ("page_range_scan", "sf0.01")])
 def test_whole_tables(spark, name, sf):
     con = duckdb.connect()
     for f in Path("/root/testdata", sf).glob("*.parquet"):
