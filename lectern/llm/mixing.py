@@ -3,7 +3,8 @@
 The texts of a source, laid end to end in a fixed pseudorandom order, are cut into blocks of a fixed
 number of words. Each source's slots (as many blocks as its target asks) are dealt to the output
 shards by a multinomial draw; the slots of a source, numbered through, map to its blocks by a keyed
-permutation of the block indices, a new one for each time round; slots and blocks join by index.
+permutation of the block indices, a new one for each time round; slots and blocks join by index. The
+last slot of a source takes the first words of its block, as many as the target still asks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lectern.llm.textbytes import U64, mix
 WEIGHTS = (5, 2, 1)
 MAX_SOURCES = 1_000_000
 RUN = 4096
+#: Words in a block; the last block of a source has what is left.
+BLOCK = 256
 
 
 def targets(sizes: list[int], total_share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> list[float]:
@@ -41,11 +44,6 @@ def targets(sizes: list[int], total_share: float = 1.5, cap: float = 2.0, weight
     return out
 
 
-def block_words(size: int, most: int = 256) -> int:
-    """Words in a block: ``most``, but few enough for a small source that a block is no large part of it."""
-    return max(1, min(most, size // 2048))
-
-
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     """index[i] (below n[i]) under a pseudorandom permutation of range(n[i]) chosen by key[i].
 
@@ -63,6 +61,32 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def position(block: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The index that ``permuted`` takes to block[i]: the same rounds and walk, backwards."""
+    half = np.maximum(1, np.ceil(np.log2(np.maximum(n, 2)) / 2)).astype(np.int64).astype(U64)
+    low = (U64(1) << half) - U64(1)
+    x, todo = block.astype(U64), np.arange(len(block))
+    while len(todo):
+        a, b, k, m, h = x[todo] >> half[todo], x[todo] & low[todo], key[todo], low[todo], half[todo]
+        for r in reversed(range(4)):
+            a, b = b ^ (mix(a + k + U64(r) * U64(0x9E3779B97F4A7C15)) & m), a
+        x[todo] = (a << h) | b
+        todo = todo[x[todo] >= n[todo].astype(U64)]
+    return x.astype(np.int64)
+
+
+def slots_of(size: np.ndarray, want: np.ndarray, salt: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, slots, words of the last slot) of sources of ``size`` words, to take ``want`` words exactly."""
+    blocks = -(-size // BLOCK)
+    turns, left = want // np.maximum(size, 1), want % np.maximum(size, 1)
+    # the last time round, slot ``at`` is the last block, of ``short`` words
+    short = size - BLOCK * (blocks - 1)
+    at = position(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), mix(mix(salt.astype(U64) + U64(seed)) + turns.astype(U64)))
+    n = np.select([left <= BLOCK * at, left <= BLOCK * at + short], [-(-left // BLOCK), at + 1], -(-(left + BLOCK - short) // BLOCK))
+    before = BLOCK * (n - 1) - np.where(n - 1 > at, BLOCK - short, 0)
+    return blocks, turns * blocks + n, np.where(left > 0, left - before, BLOCK)
+
+
 def _deal(shards: int, seed: int):
     """For each source, the slots of each output shard, numbered through."""
 
@@ -79,38 +103,41 @@ def _deal(shards: int, seed: int):
 def _draw(seed: int):
     def run(batches):
         for batch in batches:
-            sid, shard, slot, salt, blocks = batch.columns
+            sid, shard, slot, salt, blocks, slots, rest = batch.columns
             s, n = slot.to_numpy(), blocks.to_numpy()
             key = mix(mix(salt.to_numpy().astype(U64) + U64(seed)) + (s // n).astype(U64))
-            yield pa.RecordBatch.from_arrays([sid, shard, pa.array(permuted(s % n, n, key))], ["sid", "shard", "block"])
+            words = np.where(s == slots.to_numpy() - 1, rest.to_numpy(), BLOCK)
+            yield pa.RecordBatch.from_arrays([sid, shard, pa.array(permuted(s % n, n, key)), pa.array(words)], ["sid", "shard", "block", "words"])
 
     return run
 
 
-def _sources(rows: DataFrame, total_share: float, cap: float) -> DataFrame:
-    """sid, source, source_size, target, block_size, blocks, slots, salt of each source."""
+def _figures(sid: list[int], names: list[str | None], sizes: list[int], goal: list[float], cap: float, seed: int) -> list[tuple]:
+    size, target = np.array(sizes, np.int64), np.array(goal, np.float64)
+    salt = np.array([zlib.crc32(b"\0" if name is None else b"s" + name.encode()) for name in names], np.int64)
+    want = np.minimum(np.floor(cap * size), np.rint(target)).astype(np.int64)
+    return list(zip(sid, names, sizes, goal, *(x.tolist() for x in (*slots_of(size, want, salt, seed), salt)), strict=True))
+
+
+def _sources(rows: DataFrame, total_share: float, cap: float, seed: int) -> DataFrame:
+    """sid, source, source_size, target, blocks, slots, rest (words of the last slot), salt of each source."""
     found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: weights by source rank are for named sources, not for pages")
     found = sorted(found, key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([r[1] for r in found], total_share, cap)
-    made = []
-    for sid, ((name, size), target) in enumerate(zip(found, goal, strict=True)):
-        per = block_words(size)
-        blocks = -(-size // per)
-        slots = min(int(cap * blocks), round(target * blocks / size)) if size else 0
-        made.append((sid, name, size, float(target), per, blocks, slots, zlib.crc32(b"\0" if name is None else b"s" + name.encode())))
-    schema = "sid long, source string, source_size long, target double, block_size long, blocks long, slots long, salt long"
+    made = _figures(list(range(len(found))), [r[0] for r in found], [r[1] for r in found], goal, cap, seed)
+    schema = "sid long, source string, source_size long, target double, blocks long, slots long, rest long, salt long"
     return rows.sparkSession.createDataFrame(made, schema)
 
 
 def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards: int = 64, lanes: int = 256, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The mix of ``rows`` (rid unique, id, source, size in words): (rows with their source's figures, parts).
 
-    parts: (rid, lo, hi, times): the words lo to hi of row rid stand in one block, which the mix takes
+    parts: (rid, lo, hi, times): the words lo to hi of row rid stand in one block, and the mix takes them
     ``times`` times (1 or 2 with cap 2); what it doesn't take has no part.
     """
-    sources = F.broadcast(_sources(rows, total_share, cap))  # at most MAX_SOURCES rows
+    sources = F.broadcast(_sources(rows, total_share, cap, seed))  # at most MAX_SOURCES rows
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = placed.withColumn("lane", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(lanes)).cast("int"))
     lane = placed.groupBy("sid", "lane").agg(F.sum("size").alias("n"))
@@ -120,21 +147,24 @@ def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards
     placed = placed.withColumn("upto", within).join(lane, ["sid", "lane"])
     placed = Stash(placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).drop("upto", "before", "lane"), "placed").df
 
-    figures = sources.select("sid", "salt", "slots", "blocks").filter("slots > 0")
+    figures = sources.select("sid", "salt", "slots", "blocks", "rest").filter("slots > 0")
     dealt = figures.select("sid", "salt", "slots").mapInArrow(_deal(shards, seed), "sid long, shard int, first long, n long").filter("n > 0")
     runs = dealt.select("sid", "shard", (F.col("first") + F.col("n")).alias("end"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN).cast("long"))).alias("at"))
     runs = runs.join(F.broadcast(figures), "sid").repartition(F.xxhash64("sid", "at"))
-    slots = runs.select("sid", "shard", F.explode(F.sequence("at", F.least(F.col("at") + RUN, "end") - 1)).alias("slot"), "salt", "blocks")
-    drawn = slots.mapInArrow(_draw(seed), "sid long, shard int, block long")
-    drawn = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    slots = runs.select("sid", "shard", F.explode(F.sequence("at", F.least(F.col("at") + RUN, "end") - 1)).alias("slot"), "salt", "blocks", "slots", "rest")
+    drawn = slots.mapInArrow(_draw(seed), "sid long, shard int, block long, words long")
+    drawn = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("words").alias("cut"))  # one slot at most is cut
 
-    size = F.col("block_size")
     spread = placed.filter("size > 0").select(
-        "rid", "sid", "start", "size", "block_size", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size))).alias("block")
-    )
-    parts = spread.join(drawn, ["sid", "block"]).select(
-        "rid", (F.greatest(F.col("block") * size, "start") - F.col("start")).alias("lo"), (F.least((F.col("block") + 1) * size, F.col("start") + F.col("size")) - F.col("start")).alias("hi"), "times"
+        "rid", "sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block")
     )
+    piece = lambda a, b, times: F.struct(a.alias("a"), b.alias("b"), times.alias("times"))
+    none, cut, whole, times = F.lit(0).cast("long"), F.col("cut"), F.lit(BLOCK).cast("long"), F.col("times")
+    pieces = F.when(cut < BLOCK, F.array(piece(none, cut, times), piece(cut, whole, times - 1))).otherwise(F.array(piece(none, whole, times)))
+    parts = spread.join(drawn, ["sid", "block"]).select("rid", "start", "size", (F.col("block") * BLOCK).alias("at"), F.explode(pieces).alias("p"))
+    parts = parts.select(
+        "rid", (F.greatest(F.col("at") + F.col("p.a"), "start") - F.col("start")).alias("lo"), (F.least(F.col("at") + F.col("p.b"), F.col("start") + F.col("size")) - F.col("start")).alias("hi"), "p.times"
+    ).filter("lo < hi AND times > 0")
     return placed, parts
 
 
