@@ -1,7 +1,8 @@
 """Secrets in texts: fixed rules, and two character Markov models for what the rules don't name.
 
 A first-order chain over characters is trained on random strings, another on ordinary identifiers.
-Tokens of the texts outside the rules' matches whose log-likelihood ratio is high are secrets too.
+Tokens of the texts whose log-likelihood ratio is high are secrets too; the rules' matches are cut out
+of a token, and what is left is judged piece by piece.
 """
 
 from __future__ import annotations
@@ -132,11 +133,16 @@ class Scanner:
         base = self.rules.spans(text)
         out = list(base)
         for m in self.token.finditer(text):
-            s, e = m.span()
-            if not any(a < e and s < b for a, _, b in base):
-                ratio = self.ratio(m[0])
-                if ratio >= MIN_RATIO and ratio >= MIN_RATE * (e - s):
-                    out.append((s, 3, e))
+            s, end = m.span()
+            for a, _, b in [*base, (end, 3, end)]:
+                e = min(a, end)
+                if e - s >= MIN_TOKEN:
+                    ratio = self.ratio(text[s:e])
+                    if ratio >= MIN_RATIO and ratio >= MIN_RATE * (e - s):
+                        out.append((s, 3, e))
+                s = max(s, b)
+                if s >= end:
+                    break
         return sorted(out)
 
 
