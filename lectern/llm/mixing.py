@@ -20,6 +20,7 @@ from lectern.llm.shared import WORD, Stash, n_words, text_of
 from lectern.llm.textbytes import U64, mix
 
 WEIGHTS = (5, 2, 1)
+#: Up to so many sources are ranked by the driver and broadcast; more stay a table.
 MAX_SOURCES = 1_000_000
 RUN = 4096
 #: Words in a block; the last block of a source has what is left.
@@ -119,16 +120,57 @@ def _figures(sid: list[int], names: list[str | None], sizes: list[int], goal: li
     return list(zip(sid, names, sizes, goal, *(x.tolist() for x in (*slots_of(size, want, salt, seed), salt)), strict=True))
 
 
+SOURCES = "sid long, source string, source_size long, target double, blocks long, slots long, rest long, salt long"
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    """sid, source, size: the rank of each source by range partitions, of which the driver holds the counts."""
+    order = F.col("source").asc_nulls_last()
+    parts = Stash(found.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges").df
+    counts = sorted(parts.groupBy("part").count().collect())
+    before, n = [], 0
+    for part, rows in counts:
+        before.append((part, n))
+        n += rows
+    before = F.broadcast(parts.sparkSession.createDataFrame(before, "part int, before long"))  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("at", within).join(before, "part").select((F.col("before") + F.col("at")).alias("sid"), "source", "size")
+
+
+def _many_sources(found: DataFrame, total_share: float, cap: float, seed: int) -> DataFrame:
+    """As ``_sources``, of any number of sources: ``targets`` as sums over the table of sources."""
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (F.col("sid") % len(WEIGHTS) + 1).cast("int"))
+    ranked = Stash(_ranked(found).withColumn("weight", weight), "sources").df
+    most = F.col("size") * float(cap)
+    unit, full, seen = 0.0, F.lit(False), -1
+    while True:
+        zero = F.lit(0.0)
+        total, capped, free, n = ranked.agg(F.sum("size"), F.sum(F.when(full, most).otherwise(zero)), F.sum(F.when(full, zero).otherwise(F.col("weight"))), F.count_if(full)).first()
+        if n == seen or not free:
+            break
+        unit, seen = (total_share * total - capped) / free, n
+        full = F.col("weight") * F.lit(unit) > most
+    target = F.when(full, most).otherwise(F.col("weight") * F.lit(unit))
+
+    def run(batches):
+        for batch in batches:
+            rows = _figures(*(c.to_pylist() for c in batch.columns), cap, seed)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 4))], names=[x.split()[0] for x in SOURCES.split(", ")])
+
+    return Stash(ranked.select("sid", "source", "size", target.alias("target")).mapInArrow(run, SOURCES), "figures").df
+
+
 def _sources(rows: DataFrame, total_share: float, cap: float, seed: int) -> DataFrame:
     """sid, source, source_size, target, blocks, slots, rest (words of the last slot), salt of each source."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    table = Stash(rows.groupBy("source").agg(F.sum("size").alias("size")), "sizes").df
+    found = table.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: weights by source rank are for named sources, not for pages")
+        return _many_sources(table, total_share, cap, seed)
     found = sorted(found, key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([r[1] for r in found], total_share, cap)
     made = _figures(list(range(len(found))), [r[0] for r in found], [r[1] for r in found], goal, cap, seed)
-    schema = "sid long, source string, source_size long, target double, blocks long, slots long, rest long, salt long"
-    return rows.sparkSession.createDataFrame(made, schema)
+    return F.broadcast(rows.sparkSession.createDataFrame(made, SOURCES))  # at most MAX_SOURCES rows
 
 
 def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards: int = 64, lanes: int = 256, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +179,7 @@ def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards
     parts: (rid, lo, hi, times): the words lo to hi of row rid stand in one block, and the mix takes them
     ``times`` times (1 or 2 with cap 2); what it doesn't take has no part.
     """
-    sources = F.broadcast(_sources(rows, total_share, cap, seed))  # at most MAX_SOURCES rows
+    sources = _sources(rows, total_share, cap, seed)
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = placed.withColumn("lane", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(lanes)).cast("int"))
     lane = placed.groupBy("sid", "lane").agg(F.sum("size").alias("n"))
@@ -150,7 +192,7 @@ def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards
     figures = sources.select("sid", "salt", "slots", "blocks", "rest").filter("slots > 0")
     dealt = figures.select("sid", "salt", "slots").mapInArrow(_deal(shards, seed), "sid long, shard int, first long, n long").filter("n > 0")
     runs = dealt.select("sid", "shard", (F.col("first") + F.col("n")).alias("end"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN).cast("long"))).alias("at"))
-    runs = runs.join(F.broadcast(figures), "sid").repartition(F.xxhash64("sid", "at"))
+    runs = runs.join(figures, "sid").repartition(F.xxhash64("sid", "at"))
     slots = runs.select("sid", "shard", F.explode(F.sequence("at", F.least(F.col("at") + RUN, "end") - 1)).alias("slot"), "salt", "blocks", "slots", "rest")
     drawn = slots.mapInArrow(_draw(seed), "sid long, shard int, block long, words long")
     drawn = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("words").alias("cut"))  # one slot at most is cut

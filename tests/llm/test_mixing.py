@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from lectern.llm import mixing
 from lectern.llm.mixing import BLOCK, mix_documents, mix_taken, permuted, position, slots_of, targets
 from lectern.llm.textbytes import U64, mix
 
@@ -46,3 +47,18 @@ def test_small_sources_are_mixed_in_blocks(spark):
         assert at == sorted(set(at))
         runs[r.doc_id] = max(runs[r.doc_id], 1 + sum(b != a + 1 for a, b in zip(at, at[1:])))
     assert max(runs.values()) <= 3
+
+
+def test_many_sources_give_the_same_mix(spark, docs, monkeypatch):
+    """More sources than the driver ranks: the same targets and words, with nulls, empty and capped sources."""
+    want = sorted(mix_taken(docs).collect(), key=str)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    got = sorted(mix_taken(docs).collect(), key=str)
+    plain = lambda rows: Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in rows)
+    assert plain(got) == plain(want)
+    sizes = [(i, "w " * (i * 37 % 901), f"s{i:03}" if i else None) for i in range(200)]
+    many = spark.createDataFrame(sizes, "doc_id long, text string, source string")
+    goal = targets([len(t.split()) for _, t, _ in sizes[1:]] + [0])
+    got = {r.doc_id: r for r in mix_taken(many).collect()}
+    assert all(abs(got[i].target - goal[i - 1]) < 1e-6 for i in range(1, 200)) and got[0].target == 0
+    assert all(r.taken == min(round(r.target), 2 * r["size"]) for r in got.values())
