@@ -72,8 +72,9 @@ BROADCAST_KEYS = 1_000_000
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A hash of id and text: equal rows share it, so rows can be found again whatever their ids."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    """128 bits of hash of id and text: equal rows share them, so rows can be found again whatever their ids."""
+    row = F.col(id_col).cast("string"), F.col(id_col).isNull(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.struct(*(F.xxhash64(F.lit(salt), *row).alias(name) for name, salt in (("a", 1), ("b", 2))))
 
 
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
@@ -81,3 +82,14 @@ def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     gone = Stash(gone.select(F.col("key").alias("__gone")).distinct(), "gone").df
     gone = F.broadcast(gone) if rows_fit(gone, BROADCAST_KEYS) else gone
     return docs.join(gone, key == gone["__gone"], "left_anti")
+
+
+#: Copies of the smaller side of a salted join.
+SALTS = 16
+
+
+def salted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right (distinct in ``on``) by shuffle, each key dealt over SALTS places by a hash of left's rows."""
+    spread = F.pmod(F.xxhash64(*(c for c in left.columns if c not in on)), F.lit(SALTS)).cast("int")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", spread).join(copies, [*on, "__salt"], how).drop("__salt")

@@ -91,8 +91,8 @@ def contaminated(rows, items):
 @pytest.mark.parametrize("in_plan", [True, False])
 def test_contamination(spark, docs, no_docs, in_plan, monkeypatch):
     if not in_plan:
-        monkeypatch.setattr(decontaminate, "SET_ROWS", -1)
-        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(decontaminate, "PRINT_ROWS", -1)
+        monkeypatch.setattr(decontaminate, "WINDOW_ROWS", -1)
     rows = docs.collect()
     passage = next(r.text for r in rows if r.doc_id == 11)
     words = passage.split()
