@@ -6,11 +6,14 @@
    on the element alone. Those below the element's weight and below a rank chosen for about
    k ln k + 2k darts are hashed to k coordinates; each coordinate keeps the dart of least rank. Two sets
    agree in a coordinate with the probability of their weighted Jaccard similarity.
-3. Bands of coordinates are buckets. Every member is compared to its bucket's centre, another one in
-   each band, so a group of n copies gives n pairs a band, not n squared.
-4. Exact Jaccard similarities of these pairs decide; components of the links are formed. Buckets that
-   then still hold more than one component are searched in blocks for pairs across components: agreeing
-   signatures first, then exactly, until what is alike is joined. Pairs inside a component are never needed.
+3. Bands of coordinates are buckets. Every member is compared to its bucket's centre, so a group of n
+   copies gives n pairs a band, not n squared.
+4. Exact Jaccard similarities of these pairs decide; components of the links are formed. Large buckets
+   that then still hold more than one component are given new centres, round by round, as long as that
+   joins much of what is apart.
+5. In the buckets that still hold more than one component, the members outside the largest one are
+   compared with all others, in blocks: signatures first, then exactly, until what is alike is joined.
+   Pairs inside a component are never needed.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
-from lectern.llm.shared import Stash, rows_fit
+from lectern.llm.shared import Stash, rows_fit, salted
 from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams, seeded
 
-BLOCK = 1024
+#: Members of a block of a bucket; buckets of more are given new centres before they are searched in blocks.
+BLOCK = 256
+#: Elements that are compared or thrown darts at in one go.
+SLICE = 1 << 20
 #: Up to this number, hashes of the sets to compare are broadcast (16 MB or so) to leave out all others before the shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,6 +64,31 @@ def _poisson(u: np.ndarray) -> np.ndarray:
     return np.searchsorted(steps, u, "right")
 
 
+def _throw(r: np.ndarray, element: np.ndarray, w: np.ndarray, limit: np.ndarray, salt: np.ndarray, sig: np.ndarray) -> None:
+    """Lowers ``sig`` to the earliest darts that hit the regions of some elements, up to the ranks of ``limit``."""
+    e, k = mix(element ^ salt[0]), sig.shape[1]
+    # unit cells of (weight, rank) that the element's region touches
+    tall, wide = np.ceil(w).astype(np.int64), np.ceil(limit).astype(np.int64)
+    cells = tall * wide
+    for lo, hi in _slices(cells, SLICE):
+        c = cells[lo:hi]
+        i = np.repeat(np.arange(lo, hi), c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        a, b = j // wide[i], j % wide[i]
+        cell = mix(e[i] + a.astype(U64) * salt[1] + b.astype(U64) * salt[2])
+        n = _poisson((cell >> U64(11)) * 2.0**-53)
+        i, cell, a, b = (np.repeat(x, n) for x in (i, cell, a, b))
+        nth = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        dart = mix(cell + (nth + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
+        high, rank = a + (dart >> U64(40)) * 2.0**-24, b + (mix(dart) >> U64(24)) * 2.0**-40
+        hit = (high < w[i]) & (rank < limit[i])
+        i, dart, rank = i[hit], dart[hit], rank[hit]
+        where = r[i] * k + ((dart >> U64(16)) % U64(k)).astype(np.int64)
+        # the rank leads, so the least value is the earliest dart; its low bits tell darts apart
+        value = ((rank * 2.0**24).astype(U64) << U64(24)) | (dart & U64(0xFFFFFF))
+        np.minimum.at(sig.reshape(-1), where, value)
+
+
 def dart_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int, k: int, seed: int = 1) -> np.ndarray:
     """Signatures (n_rows, k) of weighted sets; 2**64-1 throughout for an empty set.
 
@@ -69,29 +100,10 @@ def dart_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_row
     todo, darts = total > 0, k * math.log(k) + 2 * k
     salt = seeded(seed, 3)
     while todo.any():
-        use = todo[row]
-        r, e, w = row[use], mix(element[use] ^ salt[0]), weight[use]
-        limit = darts / total[r]
-        # unit cells of (weight, rank) that the element's region touches
-        tall, wide = np.ceil(w).astype(np.int64), np.ceil(limit).astype(np.int64)
-        cells = tall * wide
-        for lo, hi in _slices(cells, 1 << 20):
-            c = cells[lo:hi]
-            i = np.repeat(np.arange(lo, hi), c)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            a, b = j // wide[i], j % wide[i]
-            cell = mix(e[i] + a.astype(U64) * salt[1] + b.astype(U64) * salt[2])
-            n = _poisson((cell >> U64(11)) * 2.0**-53)
-            i, cell, a, b = (np.repeat(x, n) for x in (i, cell, a, b))
-            nth = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            dart = mix(cell + (nth + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
-            high, rank = a + (dart >> U64(40)) * 2.0**-24, b + (mix(dart) >> U64(24)) * 2.0**-40
-            hit = (high < w[i]) & (rank < limit[i])
-            i, dart, rank = i[hit], dart[hit], rank[hit]
-            where = r[i] * k + ((dart >> U64(16)) % U64(k)).astype(np.int64)
-            # the rank leads, so the least value is the earliest dart; its low bits tell darts apart
-            value = ((rank * 2.0**24).astype(U64) << U64(24)) | (dart & U64(0xFFFFFF))
-            np.minimum.at(sig.reshape(-1), where, value)
+        use = np.flatnonzero(todo[row])
+        for at in range(0, len(use), SLICE):
+            some = use[at : at + SLICE]
+            _throw(row[some], element[some], weight[some], darts / total[row[some]], salt, sig)
         open_rows = todo & (sig == empty).any(axis=1)
         sig[open_rows] = empty
         todo, darts = open_rows, darts * 2
@@ -147,6 +159,8 @@ def _sign(shingle: int, k: int, bands: int, weighted: bool):
 
 
 def _sets(shingle: int, weighted: bool):
+    """The sets by their digests: the low 32 bits of the shingles' hashes in order, each followed by its count if weighted."""
+
     def run(batches):
         hasher = Hasher()
         for batch in batches:
@@ -154,64 +168,74 @@ def _sets(shingle: int, weighted: bool):
                 row, sh, n = shingle_sets(words, shingle)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 body = np.stack([sh, n.astype(U64)], 1) if weighted else sh
-                # the exact comparison needs the whole set; 32 bits of each hash tell its members apart
-                low = np.stack([sh & U64(0xFFFFFFFF), n.astype(U64)], 1).astype(np.uint32) if weighted else sh.astype(np.uint32)
-                rows = [(_digest(body[s:t]), low[s:t].tobytes()) for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary())], ["digest", "members"])
+                digest = [_digest(body[s:t]) for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
+                key, first = np.unique((row.astype(U64) << U64(32)) | (sh & U64(0xFFFFFFFF)), return_index=True)
+                cut = np.searchsorted((key >> U64(32)).astype(np.int64), np.arange(hi - lo + 1))
+                low = key.astype(np.uint32)
+                low = np.stack([low, n[first].astype(np.uint32)], 1) if weighted else low
+                members = [low[s:t].tobytes() for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(members, pa.binary())], ["digest", "members"])
 
     return run
 
 
-def jaccard(a: bytes, b: bytes, weighted: bool) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not weighted:
-        both = len(np.intersect1d(x, y))
-        return both / (len(np.unique(x)) + len(np.unique(y)) - both)
-    x, y = x.reshape(-1, 2), y.reshape(-1, 2)
-    _, i, j = np.intersect1d(x[:, 0], y[:, 0], return_indices=True)
-    both = np.minimum(x[i, 1], y[j, 1]).sum()
-    return float(both / (x[:, 1].sum() + y[:, 1].sum() - both))
+def jaccard(a: list[bytes], b: list[bytes], weighted: bool) -> np.ndarray:
+    """Jaccard similarities of pairs of sets, as ``_sets`` packs them."""
+    out, width = np.zeros(len(a)), 8 if weighted else 4
+    sizes = np.array([(len(x) + len(y)) // width for x, y in zip(a, b, strict=True)], np.int64)
+    for lo, hi in _slices(sizes, SLICE):
+        sides = a[lo:hi] + b[lo:hi]
+        values = np.frombuffer(b"".join(sides), np.uint32).reshape(-1, width // 4)
+        pair = np.repeat(np.tile(np.arange(hi - lo), 2), [len(x) // width for x in sides])
+        key = (pair.astype(U64) << U64(32)) | values[:, 0]
+        order = np.argsort(key, kind="stable")
+        key, pair = key[order], pair[order]
+        count = values[order, 1].astype(float) if weighted else np.ones(len(key))
+        same = np.flatnonzero(key[1:] == key[:-1])
+        both = np.bincount(pair[same], weights=np.minimum(count[same], count[same + 1]), minlength=hi - lo)
+        out[lo:hi] = both / (np.bincount(pair, weights=count, minlength=hi - lo) - both)
+    return out
 
 
 def _compare(threshold: float, weighted: bool):
     def run(batches):
         for batch in batches:
             a, b, x, y = batch.columns
-            ok = [jaccard(p.as_py(), q.as_py(), weighted) >= threshold for p, q in zip(x, y, strict=True)]
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array(jaccard(x.to_pylist(), y.to_pylist(), weighted) >= threshold)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     return run
 
 
 def _blocks(k: int, least: int, threshold: float, weighted: bool):
-    """Links between the components of a bucket's blocks i <= j, enough of them to join what the exact comparison joins.
+    """Links between the components of two blocks of a bucket, or within one, enough of them to join what the exact comparison joins.
 
     Pairs that agree in at least ``least`` coordinates are compared, the most alike first; those whose ends
     have met by then need no comparison. So no more links leave a block than it has rows.
     """
 
-    def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
+    def run(table):
         digest, members = table["digest"].to_pylist(), table["members"].to_pylist()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, k)
         _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
-        blk = table["blk"].to_numpy()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        found = []
+        place = table["place"].to_numpy()
+        one = place.min() == place.max()
+        left, right = np.flatnonzero(place == 0), np.arange(len(place)) if one else np.flatnonzero(place == 1)
+        found = [np.zeros((3, 0), np.int64)]
         for p in left:
-            q = right[(right > p) if i == j else slice(None)]
+            q = right[right > p] if one else right
             q = q[label[q] != label[p]]
             alike = (sig[q] == sig[p]).sum(axis=1)
             use = alike >= least
             found.append(np.stack([np.full(use.sum(), p), q[use], alike[use]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), int)
+        pairs = np.concatenate(found, axis=1)
         pairs = pairs[:2, np.argsort(-pairs[2], kind="stable")]
         a, b = [], []
         while pairs.shape[1]:
-            some, pairs = pairs[:, :256], pairs[:, 256:]
-            for p, q in some.T:
-                if label[p] != label[q] and jaccard(members[p], members[q], weighted) >= threshold:
+            some, pairs = pairs[:, :BLOCK], pairs[:, BLOCK:]
+            alike = jaccard([members[p] for p in some[0]], [members[q] for q in some[1]], weighted)
+            for p, q in some[:, alike >= threshold].T:
+                if label[p] != label[q]:
                     label[label == label[q]] = label[p]
                     a.append(digest[p])
                     b.append(digest[q])
@@ -221,25 +245,81 @@ def _blocks(k: int, least: int, threshold: float, weighted: bool):
     return run
 
 
-def _sets_of(ends: DataFrame, docs: DataFrame, shingle: int, weighted: bool) -> DataFrame:
+def _sets_of(ends: DataFrame, docs: DataFrame, shingle: int, weighted: bool) -> Stash:
     """(digest, members) of the digests in ``ends``."""
     sets = docs.select("text").mapInArrow(_sets(shingle, weighted), "digest binary, members binary")
-    ends = Stash(ends.select("digest").distinct(), "ends").df
-    if rows_fit(ends, BROADCAST_ROWS):
-        few = F.broadcast(ends.select(F.xxhash64("digest").alias("h")))
-        sets = sets.join(few, F.xxhash64(sets["digest"]) == few["h"], "left_semi")
-    return Stash(sets.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "sets").df
+    few = Stash(ends.select("digest").distinct(), "ends")
+    if rows_fit(few.df, BROADCAST_ROWS):
+        hashes = F.broadcast(few.df.select(F.xxhash64("digest").alias("h")))
+        sets = sets.join(hashes, F.xxhash64(sets["digest"]) == hashes["h"], "left_semi")
+    out = Stash(sets.join(few.df, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "sets")
+    few.drop()
+    return out
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float, weighted: bool) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
     """The pairs (a, b) of digests whose sets reach the threshold, compared member by member."""
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest")))
-    sets = _sets_of(ends, docs, shingle, weighted)
     with_a = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("x")), "a")
     both = with_a.join(sets.select(F.col("digest").alias("b"), F.col("members").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_compare(threshold, weighted), "a binary, b binary")
 
 
+class _Buckets:
+    """Members of shared buckets under the labels of their components."""
+
+    def __init__(self, members: DataFrame, links: DataFrame):
+        self.spark, self.links = members.sparkSession, [Stash(links, "links")]
+        label = components(self.links[0].df).select(F.col("node").alias("digest"), "label")
+        self.named = Stash(members.join(label, "digest", "left").select("band", "digest", F.coalesce("label", "digest").alias("label")), "named")
+        self.measure()
+
+    def measure(self) -> None:
+        """mixed: the buckets of more than one component, with the largest one and the numbers of members in it and outside."""
+        per = self.named.df.groupBy("band", "label").agg(F.count("*").alias("n"))
+        per = per.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_other"))
+        self.mixed = Stash(per.filter("n_other > 0"), "mixed")
+
+    def add(self, links: DataFrame) -> bool:
+        """Joins what new links (between digests) join; whether there are any."""
+        more = Stash(links, "links")
+        self.links.append(more)
+        if not more.df.limit(1).count():
+            return False
+        of = self.named.df.select("digest", "label").distinct()
+        ends = more.df.join(of.select(F.col("digest").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("digest").alias("b"), F.col("label").alias("lb")), "b")
+        moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        old, self.named = self.named, Stash(self.named.df.join(moved, "label", "left").select("band", "digest", F.coalesce("to", "label").alias("label")), "named")
+        old.drop()
+        return True
+
+    def outside(self) -> int:
+        """Members of large mixed buckets that are not in their bucket's largest component."""
+        return self.mixed.df.filter(F.col("n_main") + F.col("n_other") > BLOCK).agg(F.coalesce(F.sum("n_other"), F.lit(0))).first()[0]
+
+    def to_new_centres(self, nth: int) -> DataFrame:
+        """Pairs of the members of large mixed buckets and a centre of theirs, another one for each ``nth``."""
+        rows = self.named.df.join(self.mixed.df.filter(F.col("n_main") + F.col("n_other") > BLOCK).select("band"), "band", "left_semi")
+        order = F.struct(F.xxhash64("digest", F.lit(nth)).alias("h"), F.col("digest").alias("d"), "label")
+        centre = rows.groupBy("band").agg(F.min(order).alias("c"))
+        apart = rows.join(centre, "band").filter(F.col("label") != F.col("c.label"))
+        return apart.select(F.greatest("digest", F.col("c.d")).alias("a"), F.least("digest", F.col("c.d")).alias("b")).distinct()
+
+    def blocks(self) -> DataFrame:
+        """(band, i, j, place, digest, label): every pair of blocks of a mixed bucket, less those inside the largest component.
+
+        Blocks of members outside the largest component have even numbers, the others odd ones; place tells the two of a pair apart.
+        """
+        rows = self.named.df.join(self.mixed.df, "band")
+        other = F.col("label") != F.col("main")
+        count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("digest"), F.when(other, count("n_other")).otherwise(count("n_main"))).cast("int")
+        rows = rows.withColumn("blk", 2 * mine + F.when(other, 0).otherwise(1))
+        evens = F.transform(F.sequence(F.lit(0), count("n_other") - 1), lambda x: 2 * x)
+        odds = F.transform(F.sequence(F.lit(0), count("n_main") - 1), lambda x: 2 * x + 1)
+        rows = rows.withColumn("with", F.explode(F.when(other, F.concat(evens, odds)).otherwise(evens)))
+        return rows.select("band", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), (F.col("blk") > F.col("with")).cast("int").alias("place"), "digest", "label")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8,
     bands: int = 20, rows: int = 4, weighted: bool = False,
@@ -253,7 +333,9 @@ def near_duplicates(
 
     Null, empty and white-space texts have no shingles: each such row is a class of its own, with
     its own id as class_id. A text of one to four words is one shingle. Repeated rows are one class.
-    Null ids never are class_id, unless the whole class has none. Other columns are ignored.
+    Null ids never are class_id, unless the whole class has none. Texts of any length are taken whole:
+    a set takes some 16 bytes a word, and the sets of two texts have to fit a task's memory. An empty table
+    gives an empty result. Other columns, whatever their names, are ignored.
     """
     k = bands * rows
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -265,33 +347,42 @@ def near_duplicates(
     nth = F.struct(F.xxhash64("digest").alias("h"), F.col("digest").alias("d"))
     shared = buckets.df.groupBy("band").agg(F.min(nth)["d"].alias("centre"), F.count("*").alias("n")).filter("n > 1")
     members = Stash(buckets.df.join(shared, "band"), "members")
+    buckets.drop()
     pairs = members.df.filter("digest <> centre").select(F.greatest("digest", "centre").alias("a"), F.least("digest", "centre").alias("b")).distinct()
-    pairs = Stash(pairs, "pairs")
-    links = Stash(_linked(pairs.df, docs, shingle, threshold, weighted), "links")
-
-    label = components(links.df).select(F.col("node").alias("digest"), "label")
-    named = Stash(members.df.join(label, "digest", "left").select("band", "n", "digest", F.coalesce("label", "digest").alias("label")), "named")
-    mixed = named.df.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    sets = _sets_of(members.df, docs, shingle, weighted)
+    state = _Buckets(members.df, _linked(pairs, sets.df, threshold, weighted))
+    members.drop()
+
+    # new centres for large buckets, while a round joins a tenth of what is apart; the blocks are exact on what is left
+    left, turn = state.outside(), 0
+    while left:
+        turn += 1
+        if not state.add(_linked(state.to_new_centres(turn), sets.df, threshold, weighted)):
+            break
+        state.mixed.drop()
+        state.measure()
+        before, left = left, state.outside()
+        if left > 0.9 * before:
+            break
+
+    rest = state.blocks()
     sigs = signed.filter("digest is not null").select("digest", "sig").dropDuplicates(["digest"])
-    rest = Stash(named.df.join(mixed, "band", "left_semi"), "rest").df
-    ends = rest.select("digest").distinct()
-    rest = rest.join(sigs.join(ends, "digest", "left_semi"), "digest").join(_sets_of(ends, docs, shingle, weighted), "digest")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("blk", F.pmod(F.xxhash64("digest"), n_blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rest = rest.select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "digest", "label", "sig", "members")
+    sigs = sigs.join(rest.select("digest").distinct(), "digest", "left_semi").join(sets.df, "digest")
     # at similarity 0.8 under 0.6 of 80 coordinates agree with probability 1e-5 and less above it
-    more = rest.groupBy("band", "i", "j").applyInArrow(_blocks(k, int(k * threshold * 0.75), threshold, weighted), "a binary, b binary")
-    more = Stash(more.distinct(), "more")
-    if more.df.limit(1).count():
-        links = Stash(links.df.unionByName(more.df), "links")
-        label = components(links.df).select(F.col("node").alias("digest"), "label")
+    more = rest.join(sigs, "digest").groupBy("band", "i", "j").applyInArrow(_blocks(k, int(k * threshold * 0.75), threshold, weighted), "a binary, b binary")
+    state.add(more.distinct())
+    label = state.named.df.select("digest", "label").distinct()
+    for stash in (sets, state.mixed, *state.links):
+        stash.drop()
 
     rows_ = signed.select("id", "digest", "n_shingles")
-    per_digest = rows_.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    per_digest = rows_.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     per_digest = per_digest.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     of_class = per_digest.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
-    classes = per_digest.select("digest", "label").join(of_class, "label").select("digest", "class_id", "class_rows")
-    out = rows_.filter("digest is not null").join(classes, "digest").select("id", "class_id", "class_rows", "n_shingles")
+    classes = per_digest.join(of_class, "label")
+    # a digest of one row is that row; the rows of the others look theirs up, dealt over several places
+    single = classes.filter("n = 1").select(F.col("least").alias("id"), "class_id", "class_rows", "n_shingles")
+    several = salted(rows_.filter("digest is not null"), classes.filter("n > 1").select("digest", "class_id", "class_rows"), ["digest"])
+    out = single.unionByName(several.select("id", "class_id", "class_rows", "n_shingles"))
     bare = rows_.filter("digest is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"), "n_shingles")
     return out.unionByName(bare).withColumnRenamed("id", id_col)

@@ -54,17 +54,37 @@ class Words:
 
     def __init__(self, hasher: "Hasher", data: np.ndarray, offs: np.ndarray):
         self.data, self.offs, n = data, offs, len(data)
-        solid = hasher.solid[data]
-        cut = np.zeros(n + 1, bool)
-        cut[offs] = True
-        before = np.ones(n, bool)
-        before[1:] = ~solid[:-1]
-        self.starts = np.flatnonzero(solid & (before | cut[:-1]))
-        after = np.ones(n, bool)
-        after[:-1] = ~solid[1:]
-        self.ends = np.flatnonzero(solid & (after | cut[1:])) + 1
+        starts, ends, hashes = [], [], []
+        # by slices, so that the arrays of a number a byte stay small; a word at a slice's end is left to the next one
+        lo = 0
+        while lo < n:
+            hi = min(n, lo + CHUNK_BYTES)
+            solid = hasher.solid[data[lo:hi]]
+            cut = np.zeros(hi - lo + 1, bool)
+            cut[offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi, "right")] - lo] = True
+            cut[0] = True
+            before, after = np.ones(hi - lo, bool), np.ones(hi - lo, bool)
+            before[1:], after[:-1] = ~solid[:-1], ~solid[1:]
+            s = np.flatnonzero(solid & (before | cut[:-1]))
+            e = np.flatnonzero(solid & (after | cut[1:])) + 1
+            if hi < n and len(s) and e[-1] == hi - lo and not cut[-1]:
+                s, e, hi = s[:-1], e[:-1], lo + int(s[-1])
+                if hi == lo:  # a word of a whole slice or more
+                    ends_at = [n, *(lo + np.flatnonzero(~hasher.solid[data[lo:]])[:1]), *offs[np.searchsorted(offs, lo, "right") :][:1]]
+                    hi = int(min(ends_at))
+                    starts.append(np.array([lo]))
+                    ends.append(np.array([hi]))
+                    hashes.append(hasher.whole(data[lo:hi]))
+                    lo = hi
+                    continue
+            starts.append(s + lo)
+            ends.append(e + lo)
+            hashes.append(hasher.spans(data[lo:hi], s, e))
+            lo = hi
+        none = np.zeros(0, np.int64)
+        self.starts, self.ends = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+        self.hashes = np.concatenate([np.zeros(0, U64), *hashes])
         self.row_off = np.searchsorted(self.starts, offs)
-        self.hashes = hasher.spans(data, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:
@@ -100,6 +120,15 @@ class Hasher:
         np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
 
+    def whole(self, data: np.ndarray) -> np.ndarray:
+        """The hash of all of ``data`` as one span, taken by slices."""
+        self._grow(CHUNK_BYTES)
+        total = np.zeros(1, U64)
+        for lo in range(0, len(data), CHUNK_BYTES):
+            part = self.table[data[lo : lo + CHUNK_BYTES]]
+            total += (part * self.up[: len(part)]).sum(dtype=U64, keepdims=True) * np.array([pow(self.BASE, lo, 1 << 64)], U64)
+        return mix(total + U64(len(data)))
+
     def chunks(self, column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         """(first row, end row, words) for runs of rows of some megabytes; a longer row stands alone."""
         data, offs = utf8(column)

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 
+from lectern.llm import near_dups
 from lectern.llm.components import components
 from lectern.llm.near_dups import dart_minhash, near_duplicates
 from lectern.llm.textbytes import U64, seeded
@@ -80,6 +81,53 @@ def test_classes(docs, no_docs):
     assert near_duplicates(no_docs).collect() == []
 
 
+def test_blocks_and_new_centres_find_what_stars_miss(spark, monkeypatch):
+    """A chain of texts, each alike to the next alone, in blocks of a few members: one class, whatever the centres."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 400)]
+    texts = [" ".join(words[i * 4 : i * 4 + 200]) for i in range(48)]  # 188 of 204 shingles shared with the next text
+    other = [" ".join(f"x{j}" if j % 9 else f"x{j}y{i}" for j in range(200)) for i in range(40)]  # alike, but under the threshold
+    df = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string").repartition(4)
+    want = {i: 0 if i < 48 else i for i in range(88)}
+    for block in (4, 256):
+        monkeypatch.setattr(near_dups, "BLOCK", block)
+        assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == want
+
+
+def test_recall(spark):
+    """Of all pairs of similarity 0.8 or more, by an inverted index, those in one class: all but the few that share no band."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    both = defaultdict(int)
+    for ids in holders.values():
+        for pair in combinations(sorted(ids), 2):
+            both[pair] += 1
+    alike = [p for p, n in both.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    assert len(alike) > 30
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.99 * len(alike)
+
+
+def test_weighted_jaccard_of_pairs():
+    pack = lambda d: np.array(sorted(d.items()), np.uint32).tobytes()
+    a, b, c = {1: 3, 5: 1, 9: 2}, {1: 1, 9: 4, 11: 1}, {7: 1}
+    assert np.allclose(near_dups.jaccard([pack(a), pack(a), pack(a)], [pack(b), pack(a), pack(c)], True), [3 / 9, 1, 0])
+
+
+def test_long_text(spark):
+    """A text far longer than a slice, and a near copy of it."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 700_000)]  # 5.5 MB
+    near = words.copy()
+    near[::1000] = ["edit"] * len(near[::1000])
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "short and other")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_weighted_classes(spark):
     a = "a b c d e f " * 10 + "tail of this text is here"
     b = "a b c d e f " * 3 + "tail of this text is here"
