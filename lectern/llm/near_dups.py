@@ -252,7 +252,8 @@ def _sets_of(ends: DataFrame, docs: DataFrame, shingle: int, weighted: bool) ->
     if rows_fit(few.df, BROADCAST_ROWS):
         hashes = F.broadcast(few.df.select(F.xxhash64("digest").alias("h")))
         sets = sets.join(hashes, F.xxhash64(sets["digest"]) == hashes["h"], "left_semi")
-    out = Stash(sets.join(few.df, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members")), "sets")
+    # copies become one before the shuffle
+    out = Stash(sets.groupBy("digest").agg(F.first("members").alias("members")).join(few.df, "digest", "left_semi"), "sets")
     few.drop()
     return out
 
