@@ -129,6 +129,16 @@ class Hasher:
             total += (part * self.up[: len(part)]).sum(dtype=U64, keepdims=True) * np.array([pow(self.BASE, lo, 1 << 64)], U64)
         return mix(total + U64(len(data)))
 
+    def long_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``spans`` of spans in order, by slices of the data."""
+        out, i = [np.zeros(0, U64)], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+            lo, hi = starts[i], ends[j - 1]
+            out.append(self.whole(data[lo:hi]) if hi - lo > CHUNK_BYTES else self.spans(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo))
+            i = j
+        return np.concatenate(out)
+
     def chunks(self, column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         """(first row, end row, words) for runs of rows of some megabytes; a longer row stands alone."""
         data, offs = utf8(column)
