@@ -1,38 +1,54 @@
-"""Blocks of the mix: one length at every size, targets met to the word."""
+"""Blocks of the mix: one length at every size, draws that decide, totals near the targets."""
 
 from collections import Counter, defaultdict
 
 import numpy as np
 
 from lectern.llm import mixing
-from lectern.llm.mixing import BLOCK, mix_documents, mix_taken, permuted, position, slots_of, targets
-from lectern.llm.textbytes import U64, mix
+from lectern.llm.mixing import BLOCK, PART, SHARDS, draw_counts, mix_documents, mix_taken, shard_slots, targets
 
 
-def test_position_is_the_inverse():
-    for n in (1, 2, 3, 17, 1000):
-        x, key = np.arange(n), np.full(n, 99, U64)
-        assert (position(permuted(x, np.full(n, n), key), np.full(n, n), key) == x).all()
+def test_draws_follow_the_quotas():
+    """Each shard has its slots; counts of a shard are multinomial, totals end near the quotas and never beyond the most."""
+    quota = (np.array([0.0, 1.5, 40, 300, 1000, 2.0]) * PART).astype(np.int64)
+    most = np.array([0, 2, 40, 2000, 2000, 2])
+    slots = shard_slots(int(quota.sum()), 64)
+    assert slots.sum() == round(quota.sum() / PART) and slots.max() - slots.min() <= 1
+    every = np.array([draw_counts(slots, quota, most, np.random.default_rng(i)) for i in range(200)])
+    assert (every.sum(axis=2) == slots).all()
+    totals = every.sum(axis=1)
+    assert (totals <= most).all() and len({tuple(t) for t in totals}) > 20
+    assert (np.abs(totals.mean(axis=0) - quota / PART) < 1).all() and np.abs(totals[:, 3] - 300).max() < 20
+    # one shard by itself: variance of a multinomial, not of an even split
+    share = quota / quota.sum()
+    first = every[:, 0]
+    assert np.allclose(first.mean(axis=0), slots[0] * share, atol=0.5)
+    assert np.allclose(first.var(axis=0), slots[0] * share * (1 - share), rtol=0.5, atol=0.2)
 
 
-def test_slots_take_the_words_wanted():
-    rng = np.random.default_rng(1)
-    size = np.array([0, 1, 255, 256, 257, 1000, *rng.integers(1, 20000, 300)])
-    want = np.array([int(rng.integers(0, 2 * s + 1)) for s in size])
-    salt = rng.integers(0, 2**32, len(size))
-    for s, w, z, n, slots, rest in zip(size, want, salt, *slots_of(size, want, salt, 7)):
-        taken = 0
-        for i in range(slots):
-            key = mix(mix(np.array([z]).astype(U64) + U64(7)) + np.array([i // n]).astype(U64))
-            block = int(permuted(np.array([i % n]), np.array([n]), key)[0])
-            here = min(BLOCK, s - BLOCK * block)
-            assert i < slots - 1 or 0 < rest <= here or rest == BLOCK
-            taken += min(here, rest) if i == slots - 1 else here
-        assert taken == w
+def near(taken, target):
+    """Within two blocks and a fiftieth."""
+    return abs(taken - target) <= 2 * BLOCK + 0.02 * target
+
+
+def test_the_draw_decides(spark):
+    """Other shards or another seed take other words; reruns agree; the shards that words go to are returned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    take = lambda **o: {r.doc_id: (r.taken, tuple(r.shards)) for r in mix_taken(docs, **o).collect()}
+    one, two, other = take(), take(shards=7), take(seed=8)
+    assert take() == one
+    assert sum(one[i][0] != two[i][0] for i in one) > 10 and sum(one[i][0] != other[i][0] for i in one) > 100
+    assert {s for _, shards in one.values() for s in shards} == set(range(SHARDS)) and {s for _, shards in two.values() for s in shards} == set(range(7))
+    assert all(bool(n) == bool(shards) for n, shards in one.values())
+    taken, goal = Counter(), {}
+    for r, source in ((r, r.source) for r in mix_taken(docs).join(docs.select("doc_id", "source"), "doc_id").collect()):
+        taken[source] += r.taken
+        goal[source] = r.target
+    assert all(near(taken[s], goal[s]) for s in goal)
 
 
 def test_small_sources_are_mixed_in_blocks(spark):
-    """A source of a few thousand words is taken in runs of words, not word by word, and to the word."""
+    """A source of a few thousand words is taken in runs of words, not word by word."""
     texts = [(i, " ".join(f"d{i}w{j}" for j in range(300)), f"s{i % 3}") for i in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
     size, taken = Counter(), Counter()
@@ -40,13 +56,13 @@ def test_small_sources_are_mixed_in_blocks(spark):
         size[f"s{r.doc_id % 3}"] += r["size"]
         taken[f"s{r.doc_id % 3}"] += r.taken
     for s, t in zip(sorted(size), targets([size[s] for s in sorted(size)]), strict=True):
-        assert taken[s] == round(t)
+        assert near(taken[s], t)
     runs = defaultdict(int)
     for r in mix_documents(docs).collect():
         at = [int(w.split("w")[1]) for w in r.text.split()]
         assert at == sorted(set(at))
         runs[r.doc_id] = max(runs[r.doc_id], 1 + sum(b != a + 1 for a, b in zip(at, at[1:])))
-    assert max(runs.values()) <= 3
+    assert max(runs.values()) <= 4
 
 
 def test_many_sources_give_the_same_mix(spark, docs, monkeypatch):
@@ -61,4 +77,4 @@ def test_many_sources_give_the_same_mix(spark, docs, monkeypatch):
     goal = targets([len(t.split()) for _, t, _ in sizes[1:]] + [0])
     got = {r.doc_id: r for r in mix_taken(many).collect()}
     assert all(abs(got[i].target - goal[i - 1]) < 1e-6 for i in range(1, 200)) and got[0].target == 0
-    assert all(r.taken == min(round(r.target), 2 * r["size"]) for r in got.values())
+    assert all(r.taken <= 2 * r["size"] and near(r.taken, min(r.target, 2 * r["size"])) for r in got.values())

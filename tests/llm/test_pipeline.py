@@ -9,6 +9,7 @@ import corpus_pipeline
 from lectern.llm.mixing import targets
 
 from .conftest import words_of
+from .test_mixing import near
 from .test_native import contaminated
 from .test_near_dups import Union, shingles
 from .test_texts import rules
@@ -81,7 +82,7 @@ def test_mix_stage(steps):
     for r in mixed:
         taken[r.source] += len(words_of(r.text))
     for s, t in zip(order, targets([size[s] for s in order]), strict=True):
-        assert abs(taken[s] - t) <= max(3, 0.002 * t)
+        assert near(taken[s], t)
 
 
 def test_shard_stage(spark, steps):

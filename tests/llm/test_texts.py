@@ -18,6 +18,7 @@ from lectern.llm.substring_dedup import drop_repeats
 from lectern.llm.textbytes import U64, Hasher
 
 from .conftest import words_of
+from .test_mixing import near
 
 
 def test_repeats(docs, no_docs):
@@ -77,7 +78,7 @@ def test_mix(docs, no_docs):
             assert r.source_size == size[source[r.doc_id]] and math.isclose(r.target, goal[source[r.doc_id]])
         taken[r.target] += r.taken
     for t, n in taken.items():
-        assert abs(n - t) <= max(2, 0.002 * t)
+        assert near(n, t)
     assert sorted(map(str, mix_taken(docs).collect())) == sorted(map(str, got))
     assert mix_taken(no_docs).collect() == []
 
