@@ -131,20 +131,22 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """All spans (start, kind, end); those of the chains overlap no rule's match."""
         base = self.rules.spans(text)
-        out = list(base)
+        out, i, covered = list(base), 0, 0
         for m in self.token.finditer(text):
             s, end = m.span()
-            for a, _, b in [*base, (end, 3, end)]:
-                e = min(a, end)
-                if e - s >= MIN_TOKEN:
-                    ratio = self.ratio(text[s:e])
-                    if ratio >= MIN_RATIO and ratio >= MIN_RATE * (e - s):
-                        out.append((s, 3, e))
-                s = max(s, b)
-                if s >= end:
-                    break
+            # spans and tokens both go by their start, so each span is passed once
+            while i < len(base) and base[i][0] < end:
+                self._judge(text, max(s, covered), min(base[i][0], end), out)
+                covered, i = max(covered, base[i][2]), i + 1
+            self._judge(text, max(s, covered), end, out)
         return sorted(out)
 
+    def _judge(self, text: str, s: int, e: int, out: list[tuple[int, int, int]]) -> None:
+        if e - s >= MIN_TOKEN:
+            ratio = self.ratio(text[s:e])
+            if ratio >= MIN_RATIO and ratio >= MIN_RATE * (e - s):
+                out.append((s, 3, e))
+
 
 def _scan(ratios: np.ndarray):
     def run(batches):
@@ -170,7 +172,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans: kind:start:end in code points, end exclusive, by start and kind (assign, access, hex, then markov
-    for what the chains add). Null texts are empty; repeated rows get the same result.
+    for what the chains add). Null texts are empty; repeated rows get the same result; an empty table gives an
+    empty one. Texts of any length are scanned whole, in time in proportion to their length. Other columns,
+    whatever their names, are ignored.
     """
     ratios = train(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Stash, free_shuffles, n_words, text_of, without
+from lectern.llm.shared import Stash, free_shuffles, n_words, salted, text_of, without
 from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams
 
 BUCKET_BYTES = 24 << 20
 #: of an anchor's hash, six bytes travel: 47 bits and one that marks an index block
 ANCHOR_BYTES = 6
+#: Words of a text that are cut and joined in one go.
+SLICE_WORDS = 1 << 16
 
 
 def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +54,7 @@ def _pack(bucket: np.ndarray, row: np.ndarray, values: np.ndarray, keys: np.ndar
 
 
 PACKED = "bucket int, keys binary, ids binary, counts binary, vals binary"
-BITS = "key long, bucket int, bits binary"
+BITS = "key long, id long, bucket int, bits binary"
 
 
 def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -80,22 +82,22 @@ def _anchors(block: int, window: int, n_buckets: int):
 
 
 def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(values, id of each, keys, counts) of a bucket's packed rows."""
+    """(values, keys, ids, counts) of a bucket's packed rows."""
     raw = {c: b"".join(table[c].to_pylist()) for c in ("keys", "ids", "counts", "vals")}
     keys, ids = np.frombuffer(raw["keys"], np.int64), np.frombuffer(raw["ids"], np.int64)
     counts = np.frombuffer(raw["counts"], np.uint32).astype(np.int64)
     wide = np.zeros((len(raw["vals"]) // width, 8), np.uint8)
     wide[:, :width] = np.frombuffer(raw["vals"], np.uint8).reshape(-1, width)
-    return wide.view(U64).reshape(-1), np.repeat(ids, counts), keys, counts
+    return wide.view(U64).reshape(-1), keys, ids, counts
 
 
-def _bits(bucket: int, keys: np.ndarray, counts: np.ndarray, hit: np.ndarray) -> pa.Table:
+def _bits(bucket: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, hit: np.ndarray) -> pa.Table:
     """The hits of each row's values as packed bits; rows without one are left out."""
     ends = np.cumsum(counts)
     sums = np.concatenate([[0], np.cumsum(hit)])
     some = np.flatnonzero(sums[ends] > sums[ends - counts])
     bits = [np.packbits(hit[ends[i] - counts[i] : ends[i]]).tobytes() for i in some]
-    return pa.table({"key": pa.array(keys[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"key": pa.array(keys[some], pa.int64()), "id": pa.array(ids[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,24 +107,26 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probe(key, table):
-    values, ids, keys, counts = _unpack(table, ANCHOR_BYTES)
+    values, keys, row_ids, counts = _unpack(table, ANCHOR_BYTES)
+    ids = np.repeat(row_ids, counts)
     order, starts = _groups(values >> U64(1))
     sizes = np.diff(np.append(starts, len(order)))
     ids, flag = ids[order], (values[order] & U64(1)).astype(bool)
     shared = np.logical_or.reduceat(flag, starts) & (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
     hit = np.zeros(len(order), bool)
     hit[order] = np.repeat(shared, sizes)
-    return _bits(key[0].as_py(), keys, counts, hit)
+    return _bits(key[0].as_py(), keys, row_ids, counts, hit)
 
 
 def _least(key, table):
-    values, ids, keys, counts = _unpack(table, 8)
+    values, keys, row_ids, counts = _unpack(table, 8)
+    ids = np.repeat(row_ids, counts)
     order, starts = _groups(values)
     sizes = np.diff(np.append(starts, len(order)))
     later = ids[order] > np.repeat(np.minimum.reduceat(ids[order], starts), sizes)
     hit = np.zeros(len(order), bool)
     hit[order] = later
-    return _bits(key[0].as_py(), keys, counts, hit)
+    return _bits(key[0].as_py(), keys, row_ids, counts, hit)
 
 
 def _marked(row: np.ndarray, bucket: np.ndarray, found: list) -> np.ndarray:
@@ -165,12 +169,24 @@ def _candidates(words: Words, found: list, block: int, window: int, n_buckets: i
     return wrow[use], start[use], wh[use]
 
 
-def _digest(words: Words, i: int, kept: np.ndarray | None) -> str:
-    a, b = words.row_off[i], words.row_off[i + 1]
-    text = bytes(words.data[words.offs[i] : words.offs[i + 1]]).split()
-    if kept is not None:
-        text = [w for w, k in zip(text, kept[a:b], strict=True) if k]
-    return b" ".join(text)
+def _kept(words: Words, i: int, kept: np.ndarray | None, texts: bool) -> tuple[int, str, str | None]:
+    """(words of row i that are not kept, digest of the kept ones, and their text if ``texts``), by slices."""
+    sha, parts, first, n = hashlib.sha256(), [], words.row_off[i], words.row_off[i + 1]
+    removed, some = 0, False
+    for lo in range(first, n, SLICE_WORDS):
+        hi = min(n, lo + SLICE_WORDS)
+        text = bytes(words.data[words.starts[lo] : words.ends[hi - 1]]).split()
+        if kept is not None:
+            text = [w for w, k in zip(text, kept[lo:hi], strict=True) if k]
+            removed += hi - lo - len(text)
+        part = b" ".join(text)
+        if text and some:
+            part = b" " + part
+        some = some or bool(text)
+        sha.update(part)
+        if texts:
+            parts.append(part)
+    return removed, sha.hexdigest(), b"".join(parts).decode() if texts else None
 
 
 def _split(block: int, window: int, n_buckets: int, texts: bool):
@@ -183,12 +199,11 @@ def _split(block: int, window: int, n_buckets: int, texts: bool):
             for lo, hi, words in hasher.chunks(text):
                 some = found.slice(lo, hi - lo)
                 done = some.is_null().to_numpy(zero_copy_only=False)
-                out = [_digest(words, i, None) if d else None for i, d in enumerate(done)]
+                out = [_kept(words, i, None, texts) if d else (0, None, None) for i, d in enumerate(done)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         key.slice(lo, hi - lo), id_.slice(lo, hi - lo), pa.array(words.counts, pa.int64()), some,
-                        pa.array([hashlib.sha256(x).hexdigest() if x is not None else None for x in out], pa.string()),
-                        pa.array([x.decode() if texts and x is not None else None for x in out], pa.string()),
+                        pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string()),
                         pa.array([None if d else t for d, t in zip(done, text.slice(lo, hi - lo).to_pylist(), strict=True)], pa.string()),
                     ],
                     ["key", "id", "n_words", "found", "sha", "kept", "text"],
@@ -220,12 +235,11 @@ def _apply(block: int, window: int, n_buckets: int, texts: bool):
                 row, start, h = _candidates(words, found[lo:hi], block, window, n_buckets)
                 gone = start[_marked(row, _buckets(h, n_buckets), later[lo:hi])]
                 kept = ~_covered(len(words.starts), gone, window)
-                removed = words.counts - np.diff(np.concatenate([[0], np.cumsum(kept)])[words.row_off])
-                out = [_digest(words, i, kept) for i in range(hi - lo)]
+                out = [_kept(words, i, kept, texts) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        id_.slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in out]), pa.array([x.decode() if texts else None for x in out], pa.string()),
+                        id_.slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array([x[0] for x in out], pa.int64()),
+                        pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string()),
                     ],
                     ["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
                 )
@@ -237,40 +251,46 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, kept_text (null if not ``texts``).
 
     Removes each word covered by a run of ``window`` (even) words that also starts in a document with a
-    smaller id; runs are judged on the input. Kept words are joined by one space. Null texts have no
+    smaller id; runs are judged on the input. Kept words are joined by one space. Null and empty texts have no
     words. Documents without an id neither lose words nor count as earlier ones; rows with one id are
-    one document for that, and repeated rows get the same result. Ids are integers.
+    one document for that, and repeated rows get the same result. Ids are integers. Texts of any length are
+    taken whole; a text takes some 15 times its size of memory. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     block = window // 2
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     # a copy of a smaller document's text loses all its words, if they make a run
     rows = docs.select("key", "id", F.md5("text").alias("same"), n_words(F.col("text")).alias("n_words")).filter("id is not null")
-    rows = Stash(rows.filter(F.col("n_words") >= window), "rows").df
-    least = rows.groupBy("same").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    copies = Stash(rows.join(least, "same").filter("id > least").select("key", "id", "n_words"), "copies").df
+    rows = Stash(rows.filter(F.col("n_words") >= window), "rows")
+    least = rows.df.groupBy("same").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    copies = Stash(salted(rows.df, least, ["same"]).filter("id > least").select("key", "id", "n_words"), "copies").df
+    rows.drop()
     whole = copies.select("id", "n_words", F.col("n_words").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("" if texts else None).cast("string").alias("kept_text"))
-    docs = without(docs, copies, F.col("key"))
+    docs = without(docs, copies.select(F.struct("key", "id").alias("key")), F.struct("key", "id"))
 
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(64, -(-n_bytes // BUCKET_BYTES))
+    # tasks grow in number with the buckets, not in size
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets)
     known = docs.filter("id is not null").select("key", "id", "text")
-    anchors = known.mapInArrow(_anchors(block, window, n_buckets), PACKED)
+    anchors = known.mapInArrow(_anchors(block, window, n_buckets), PACKED).repartition(tasks, "bucket")
     hits = Stash(anchors.groupBy("bucket").applyInArrow(_probe, BITS), "anchors")
     del anchors
     free_shuffles(docs.sparkSession)
 
-    found = hits.df.dropDuplicates(["key", "bucket"]).groupBy("key").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
+    found = hits.df.dropDuplicates(["key", "id", "bucket"]).groupBy("key", "id").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
     kind = "array<struct<bucket:int,bits:binary>>"
-    both = docs.join(found, "key", "left").select("key", "id", "text", "found")
+    both = docs.join(found, ["key", "id"], "left").select("key", "id", "text", "found")
     split = Stash(both.mapInArrow(_split(block, window, n_buckets, texts), f"key long, id long, n_words long, found {kind}, sha string, kept string, text string"), "split").df
     del both, found
     free_shuffles(docs.sparkSession)
+    hits.drop()
 
     open_rows = split.filter("text is not null")
-    wide = open_rows.select("key", "id", "text", "found").mapInArrow(_wide(block, window, n_buckets), PACKED)
+    wide = open_rows.select("key", "id", "text", "found").mapInArrow(_wide(block, window, n_buckets), PACKED).repartition(tasks, "bucket")
     later = Stash(wide.groupBy("bucket").applyInArrow(_least, BITS), "repeats").df
-    later = later.dropDuplicates(["key", "bucket"]).groupBy("key").agg(F.collect_list(F.struct("bucket", "bits")).alias("later"))
-    done = open_rows.join(later, "key", "left").select("id", "text", "found", "later")
+    later = later.dropDuplicates(["key", "id", "bucket"]).groupBy("key", "id").agg(F.collect_list(F.struct("bucket", "bits")).alias("later"))
+    done = open_rows.join(later, ["key", "id"], "left").select("id", "text", "found", "later")
     done = done.mapInArrow(_apply(block, window, n_buckets, texts), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     clean = split.filter("text is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("kept").alias("kept_text"))
     return done.unionByName(clean).unionByName(whole).withColumnRenamed("id", id_col)

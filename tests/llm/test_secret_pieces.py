@@ -1,6 +1,8 @@
 """What stands beside a rule's match in one token is judged for itself."""
 
-from lectern.llm.secret_scan import scan_secrets
+import numpy as np
+
+from lectern.llm.secret_scan import N, Scanner, scan_secrets
 
 RANDOM = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"
 HEX = "0123456789abcdef" * 2
@@ -19,3 +21,17 @@ def test_pieces_beside_matches(spark):
     spans = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (_, want) in enumerate(TEXTS):
         assert spans[i] == ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+
+
+def test_very_many_matches_take_time_in_proportion():
+    """Tokens and rules' matches by the thousand in one text are passed once each."""
+    import time
+
+    scanner = Scanner(np.zeros((N, N)))
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"token=abcdefgh{i} someordinarytokenofletters{i}" for i in range(n))
+        began = time.perf_counter()
+        assert len(scanner.scan(text)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * took[0] + 0.2

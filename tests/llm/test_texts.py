@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lectern.llm import hmm_scores, quality_lines
+from lectern.llm import hmm_scores, quality_lines, substring_dedup
 from lectern.llm.mixing import mix_documents, mix_plan, mix_taken, permuted, targets
 from lectern.llm.quality_lines import N_FEATURES, Crf, Lines, judge_quality, keep_quality
 from lectern.llm.secret_scan import scan_secrets
-from lectern.llm.substring_dedup import drop_repeats
+from lectern.llm.substring_dedup import _kept, drop_repeats
 from lectern.llm.textbytes import U64, Hasher
 
 from .conftest import words_of
@@ -45,6 +45,22 @@ def test_repeats(docs, no_docs):
     assert drop_repeats(no_docs).collect() == []
 
 
+def test_kept_words_by_slices(monkeypatch):
+    """The same digest and text however long the slices are, with slices of which nothing is kept."""
+    hasher, rng = Hasher(), np.random.default_rng(2)
+    texts = [" a b\tc  d ", "", "x " * 50, "one"]
+    words = next(iter(hasher.chunks(pa.array(texts))))[2]
+    for p in (0.0, 0.3, 1.0):
+        kept = rng.random(len(words.starts)) < p
+        want = [_kept(words, i, kept, True) for i in range(4)]
+        for i, (removed, sha, text) in enumerate(want):
+            own = [w for w, k in zip(texts[i].split(), kept[words.row_off[i] : words.row_off[i + 1]], strict=True) if k]
+            assert text == " ".join(own) and removed == len(texts[i].split()) - len(own) and sha == hashlib.sha256(text.encode()).hexdigest()
+        monkeypatch.setattr(substring_dedup, "SLICE_WORDS", 3)
+        assert [_kept(words, i, kept, True) for i in range(4)] == want
+        monkeypatch.undo()
+
+
 def test_targets():
     sizes = [10, 1000, 5, 0, 700]
     got = targets(sizes)
