@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
-``documents``. Stages are written as Parquet and read again before the next one starts.
+``documents``. Stages are written as Parquet and read again before the next one starts. Null texts count as
+empty ones, null ids as ids like any other; every stage takes texts of any length whole and gives an empty
+result for an empty table. Columns beyond those of ``documents`` go through the stages unchanged.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from lectern.llm.shared import Stash, row_key, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the fixed rules and the line labels keep."""
+    """The documents that the fixed rules and the line labels keep. Null and empty texts fail the rules; repeated rows share their verdict."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one of least id (then least key); of equal rows, one."""
+    """One document of each class: the one of least id (then least key); of equal rows, one. Texts without words are classes of their own."""
     named = docs.select(F.struct("doc_id", row_key().alias("key")).alias("row"), "text")
     classes = Stash(near_duplicates(named, id_col="row").select("row.key", F.col("class_id.key").alias("kept"), "class_rows"), "classes").df
     gone = classes.filter("key <> kept").select("key")
@@ -38,18 +40,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not contaminated by the benchmark."""
+    """The documents that are not contaminated by the benchmark; all of them if it has no items. Repeated rows share their verdict."""
     judged = contamination(docs.select("doc_id", "text", row_key().alias("row_key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, judged.filter("contaminated").select(F.col("row_key").alias("key")), row_key()).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, a row for each time."""
+    """What the mix takes of each document, a row for each time. Repeated rows are mixed each for itself; texts without words are left out."""
     return mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each mixed document: shard and slot."""
+    """The place of each mixed document: shard and slot. Equal texts go to one shard; repeated rows have slots of their own."""
     return minimax_shards(docs)
 
 

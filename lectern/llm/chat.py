@@ -31,7 +31,8 @@ def format_chats(turns: DataFrame, learn_role: str = "assistant") -> DataFrame:
     turns: conv_id, turn, role, text. Turns are sorted by (turn, role, text), null turns first; null roles
     and texts are empty. Repeated rows are turns of their own; a null conv_id is one conversation; other
     columns are ignored. loss_spans: [start, end) in code points of every ``learn_role`` text.
-    A conversation becomes one string and so has to fit into a row, as the output asks.
+    A conversation becomes one string and so has to fit into a row, as the output asks, however long its texts
+    are. An empty table gives an empty result.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))

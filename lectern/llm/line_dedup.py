@@ -41,7 +41,8 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id
 
     Removes every line (parted by \\n, with a word in it) that stands on ``min_sites`` or more distinct
     sites, wherever it stands, also in rows without a site. Blank lines stay. A null text is an empty
-    one; repeated rows get the same result; columns of these names are replaced.
+    one; repeated rows get the same result; columns of these names are replaced, others stay. An empty table
+    gives an empty result. A text and its lines have to fit an executor's memory.
     """
     boilerplate = Stash(boilerplate_lines(docs, min_sites, site_col, text_col), "boilerplate").df
     # equal rows share what is to be removed from them; the id keeps copies of one text apart

@@ -135,7 +135,9 @@ def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     null counts as the empty text, and both are one group. Slots are gapless from 0 in each shard,
     in the order of ``lanes`` lanes by a hash of the id (so that no task numbers a whole shard),
     then of text and id. Repeated rows get slots of their own. Shards may be empty if there are
-    fewer groups than shards. grown_shard is null: growth moves the cuts of this law.
+    fewer groups than shards; an empty table gives an empty result. grown_shard is null: growth moves the
+    cuts of this law. Texts of any length are only measured and hashed, never shuffled. Other columns, whatever
+    their names, are ignored.
     """
     text = text_of(text_col)
     rows = docs.select(

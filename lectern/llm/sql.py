@@ -4,6 +4,49 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
+#: Classes of exact similarities, all pairs that share a shingle being compared.
+ORACLE["op1_near_dups"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE pairs.n / (x.n + y.n - pairs.n) >= 0.8),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b)
+SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_rows, any_value(coalesce(n, 0)) AS n_shingles FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY a
+"""
+
+#: All windows of the benchmark against all windows of the documents.
+_WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op5_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 13) AS n FROM (SELECT item_id, {_WORDS5} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i))
+), hits AS (SELECT doc_id, p, n, item FROM dw JOIN iw USING (n, s)),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id),
+cover AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN found USING (doc_id) LEFT JOIN cover USING (doc_id)
+"""
+
+#: All windows of 50 words by their words.
+ORACLE["op8_drop_repeats"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM win JOIN least USING (s) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS t FROM word ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 #: Cross-site lines, counted exactly.
 ORACLE["op7_line_dedup"] = r"""
 WITH lines AS (

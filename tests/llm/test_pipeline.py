@@ -35,6 +35,16 @@ def steps(spark, docs, tmp_path_factory):
     return str(base), [x.collect() for x in out]
 
 
+def test_empty_tables(spark, tmp_path):
+    """Every stage on a table without rows."""
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_quality_stage(spark, steps):
     base, (docs, kept, *_) = steps
     left = Counter(map(tuple, docs)) - Counter(map(tuple, kept))
