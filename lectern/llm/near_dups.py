@@ -378,9 +378,13 @@ def near_duplicates(
 
     rows_ = signed.select("id", "digest", "n_shingles")
     per_digest = rows_.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
-    per_digest = per_digest.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    of_class = per_digest.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
-    classes = per_digest.join(of_class, "label")
+    per_digest = Stash(per_digest.join(label, "digest", "left"), "digests").df
+    state.named.drop()
+    # digests that share no bucket are classes of their own; those of a class look it up, dealt over several places
+    alone = per_digest.filter("label is null").withColumn("class_id", F.col("least")).withColumn("class_rows", F.col("n")).drop("label")
+    known = per_digest.filter("label is not null")
+    of_class = known.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_rows"))
+    classes = alone.unionByName(salted(known, of_class, ["label"]).drop("label"))
     # a digest of one row is that row; the rows of the others look theirs up, dealt over several places
     single = classes.filter("n = 1").select(F.col("least").alias("id"), "class_id", "class_rows", "n_shingles")
     several = salted(rows_.filter("digest is not null"), classes.filter("n > 1").select("digest", "class_id", "class_rows"), ["digest"])
