@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 INDEX_TOKEN = r"[\p{L}\p{N}\p{Co}_][\p{L}\p{N}\p{Co}\p{Mn}_]*"
 QUERY_TOKEN = r"[A-Za-z0-9_]+"
 MIN_QUERY_TOKEN = 3
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _folds() -> tuple[str, str]:
@@ -28,19 +29,32 @@ ACCENTED, PLAIN = _folds()
 
 
 def trim_ws(text: Column) -> Column:
-    """Without leading and trailing Unicode white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing Unicode white space, the separators U+001C to U+001F included."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def rtrim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def _plain(token: Column) -> Column:
+    """Lower case, single accents of Latin letters removed."""
+    low = F.lower(token)
+    return F.when(_is_ascii(token), low).otherwise(F.translate(low, ACCENTED, PLAIN))
+
+
+def _bare(token: Column) -> Column:
+    """Without marks, which few tokens have after ``_plain``."""
+    return F.when(_is_ascii(token), token).otherwise(F.regexp_replace(token, r"\p{Mn}", ""))
 
 
 def fold(token: Column) -> Column:
     """Lower case, accents and marks removed."""
-    low = F.lower(token)
-    plain = F.regexp_replace(F.translate(low, ACCENTED, PLAIN), r"\p{Mn}", "")
-    return F.when(F.length(token) == F.octet_length(token), low).otherwise(plain)
+    return _bare(_plain(token))
 
 
 def raw_tokens(text: Column) -> Column:
@@ -49,7 +63,7 @@ def raw_tokens(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Tokens as they stand in an unstemmed index, in order, repeats kept."""
-    return F.transform(raw_tokens(text), fold)
+    return F.transform(F.transform(raw_tokens(text), _plain), _bare)
 
 
 def query_tokens(text: Column) -> Column:

@@ -37,10 +37,14 @@ class Corpus:
         return search(self.index, self.units, query, k, list(UNIT_WEIGHTS.values()), {"principle": principles or [], "type": types or []})
 
     def audit(self) -> DataFrame:
-        """(facet, value, n): numbers of units by principle, chapter, type and needs_enrich, and of all."""
-        kinds = ["principle", "chapter", "type", "needs_enrich"]
-        sets = self.units.select(F.explode(F.array(*(F.struct(F.lit(k).alias("facet"), F.col(k).cast("string").alias("value")) for k in kinds), F.struct(F.lit("all").alias("facet"), F.lit("").alias("value")))).alias("x"))
-        return sets.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+        return audit(self.units)
+
+
+def audit(units: DataFrame) -> DataFrame:
+    """(facet, value, n): numbers of units by principle, chapter, type and needs_enrich, and of all."""
+    facets = [F.struct(F.lit(k).alias("facet"), F.col(k).cast("string").alias("value")) for k in ("principle", "chapter", "type", "needs_enrich")]
+    sets = units.select(F.explode(F.array(*facets, F.struct(F.lit("all").alias("facet"), F.lit("").alias("value")))).alias("x"))
+    return sets.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:

@@ -107,6 +107,11 @@ def checked_type(type_: Column) -> Column:
     return F.when(type_.isNull() | type_.isin(*TYPES), type_).otherwise(F.raise_error(F.concat(F.lit("not a unit type: "), type_)))
 
 
+def typed(is_code: Column, type_: Column) -> Column:
+    """The type of a unit: code units have type code, whatever the extractor says."""
+    return F.when(is_code, "code").otherwise(type_)
+
+
 def enrich(units: DataFrame, extractor: Extractor, system: str = "", retries: int = 2, back_off: float = 1.0, workers: int | None = None) -> DataFrame:
     """Checkpoint rows of ``units`` (key, text, chapter, section, page, is_code, prompt, seq) and their seq.
 
@@ -134,7 +139,7 @@ def enrich(units: DataFrame, extractor: Extractor, system: str = "", retries: in
             yield pdf
 
     rows = units.repartition(workers) if workers else units
-    rows = rows.mapInPandas(run, schema).withColumn("type", F.when(F.col("is_code"), "code").otherwise(F.col("type")))
+    rows = rows.mapInPandas(run, schema).withColumn("type", typed(F.col("is_code"), F.col("type")))
     return rows.withColumn("enrich_model", F.lit(model)).select(*(c.split()[0] for c in CHECKPOINT.split(", ")), "seq")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.stem import stems
 from lectern.functions.text import fold, index_tokens, raw_tokens
+from lectern.sources.scratch import scratch
 
 
 @dataclass
@@ -40,24 +41,36 @@ class Index:
 def build_index(units: DataFrame, columns: list[str], stemmed: bool = True) -> Index:
     """Index of the text columns of ``units`` (id and columns). Arrays are indexed as their joined values.
 
-    Counts are made before terms are: stems are found once for each distinct token and joined back.
+    Texts are cut once: the counts by token and row are written to the shared folder, and terms, postings and
+    lengths come from them. Stems are found once for each distinct token and joined back. A row without
+    tokens has a length of 0.
     """
     kinds = dict(units.dtypes)
     text = {c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c) for c in columns}
     cut = raw_tokens if stemmed else index_tokens
 
-    def placed(column: Column, at: int) -> Column:
-        return F.transform(cut(column), lambda t: F.struct(t.alias("token"), F.lit(at).alias("at")))
-
-    tokens = F.concat(*(placed(text[c], i) for i, c in enumerate(columns)))
-    found = units.select("id", F.explode(tokens).alias("x")).select("id", "x.token", "x.at")
-    tf = F.array(*(F.count(F.when(F.col("at") == i, 1)) for i in range(len(columns))))
-    counts = found.groupBy("token", "id").agg(tf.alias("tf"))
-    if stemmed:
-        terms = found.select("token").distinct().withColumn("term", stems(fold(F.col("token"))))
-        sums = F.array(*(F.sum(F.col("tf")[i]) for i in range(len(columns))))
-        postings = counts.join(terms, "token").groupBy("term", "id").agg(sums.alias("tf"))
+    if len(columns) == 1:
+        found = units.select("id", F.explode_outer(cut(text[columns[0]])).alias("token"), F.lit(0).alias("at"))
     else:
-        postings = counts.withColumnRenamed("token", "term")
-    lengths = units.select("id", sum((F.size(raw_tokens(text[c])) for c in columns), F.lit(0)).cast("long").alias("dl"))
-    return Index(postings.select("term", "id", "tf"), lengths, columns, stemmed)
+
+        def placed(column: Column, at: int) -> Column:
+            return F.transform(cut(column), lambda t: F.struct(t.alias("token"), F.lit(at).alias("at")))
+
+        found = units.select("id", F.explode_outer(F.concat(*(placed(text[c], i) for i, c in enumerate(columns)))).alias("x")).select("id", "x.token", "x.at")
+    one = F.when(F.col("token").isNotNull(), 1)
+    tf = F.array(*(F.count(F.when(F.col("at") == i, one)) for i in range(len(columns))))
+    counts = scratch(found.groupBy("token", "id").agg(tf.alias("tf")), "counts")
+    lengths = scratch(counts.groupBy("id").agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, n: a + n)).alias("dl")), "lengths")
+    counts = counts.filter("token is not null")
+    if not stemmed:
+        return Index(counts.select(F.col("token").alias("term"), "id", "tf"), lengths, columns, stemmed)
+    # in as many tasks as a shuffle has, since few tokens take long to stem
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = counts.select("token").distinct().repartition(tasks).withColumn("term", stems(fold(F.col("token"))))
+    sums = F.array(*(F.sum(F.col("tf")[i]) for i in range(len(columns))))
+    return Index(scratch(counts.join(terms, "token").groupBy("term", "id").agg(sums.alias("tf")), "postings"), lengths, columns, stemmed)
+
+
+def compact_index(spark: SparkSession, path: str, to: str, columns: list[str], stemmed: bool) -> None:
+    """The index at ``path``, which grew by parts, as one at ``to``: postings in order of term over all parts."""
+    Index.load(spark, path, columns, stemmed).save(to)

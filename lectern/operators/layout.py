@@ -60,13 +60,18 @@ def font_class(font: Column, profile: Profile) -> Column:
     return F.when(font.contains(profile.code_font), "code").when(font.contains(profile.head_font), "head").otherwise("body")
 
 
+def is_solid(text: Column) -> Column:
+    """Whether there is more than white space."""
+    return F.length(trim_ws(text)) > 0
+
+
 def class_lines(spans: DataFrame, profile: Profile) -> DataFrame:
     """Lines of text blocks: kind, level and text. Lines of blank spans alone are left out.
 
     A line is a heading if at least 0.6 of its non-blank spans are set in the heading font (of level 1
     from the chapter size on, else 2), code if all of them are code, else para.
     """
-    solid = F.length(trim_ws(F.col("text"))) > 0
+    solid = is_solid(F.col("text"))
     cls = font_class(F.col("font"), profile)
     lines = (
         spans.filter("block_type <> 1")

@@ -38,13 +38,13 @@ def phrases_of(queries: DataFrame, stemmed: bool) -> DataFrame:
 def expand(prefixes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(prefix, term) for every term that starts with a prefix.
 
-    An equi-join on the first two characters, then the test; prefixes of one character join on it. Only
-    distinct terms and prefixes take part.
+    An equi-join of the prefixes with the terms' starts of the lengths that prefixes have. Only distinct
+    terms and prefixes take part.
     """
-    terms = vocabulary.select("term")
-    long = prefixes.filter(F.length("prefix") >= 2).withColumn("k", F.substring("prefix", 1, 2)).join(terms.withColumn("k", F.substring("term", 1, 2)), "k")
-    short = prefixes.filter(F.length("prefix") == 1).withColumn("k", F.col("prefix")).join(terms.withColumn("k", F.substring("term", 1, 1)), "k")
-    return long.unionByName(short).filter(F.col("term").startswith(F.col("prefix"))).select("prefix", "term")
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # no more than the longest prefix has characters
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("term"))
+    starts = vocabulary.select("term", F.explode(fits).alias("n")).select("term", F.col("term").substr(F.lit(1), F.col("n")).alias("prefix"))
+    return starts.join(prefixes.select("prefix"), "prefix").select("prefix", "term")
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -63,7 +63,8 @@ def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFr
     parts = found.join(df, "prefix").join(index.lengths, "id").join(corpus)
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     parts = parts.select("prefix", "id", (idf(F.col("n_docs"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("part"))
-    return phrases.join(parts, "prefix").groupBy("case_id", "id").agg((-F.sum("part")).alias("score"))
+    times = phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times"))
+    return times.join(parts, "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
 
 
 def rank_score() -> Column:

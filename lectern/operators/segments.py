@@ -35,10 +35,10 @@ def chapter_spans(elements: DataFrame, chapter_re: str) -> DataFrame:
 
 def page_spans(elements: DataFrame, ranges: dict[str, tuple[int, int]], first_span: int = 1) -> DataFrame:
     """Elements of the pages of each range, ends included; a page may belong to several. Ranges come from a profile."""
-    spark = elements.sparkSession
-    rows = [(c, i + first_span, a, b) for i, (c, (a, b)) in enumerate(ranges.items())]
-    known = spark.createDataFrame(rows, "chapter string, span_ord long, first_page int, last_page int")
-    return elements.join(F.broadcast(known), F.col("page").between(F.col("first_page"), F.col("last_page"))).drop("first_page", "last_page")
+    rows = [F.struct(F.lit(c).alias("chapter"), F.lit(i).cast("long").alias("span_ord"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (c, (a, b)) in enumerate(ranges.items(), first_span)]
+    known = F.array(*rows) if rows else F.array().cast("array<struct<chapter:string,span_ord:bigint,a:int,b:int>>")
+    held = F.filter(known, lambda r: F.col("page").between(r["a"], r["b"]))
+    return elements.withColumn("__range", F.explode(held)).withColumns({"chapter": F.col("__range.chapter"), "span_ord": F.col("__range.span_ord")}).drop("__range")
 
 
 def in_sections(spans: DataFrame, profile: Profile) -> DataFrame:

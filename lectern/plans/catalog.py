@@ -11,6 +11,7 @@ from lectern.functions.stem import stems
 from lectern.functions.text import fold, match_query, query_tokens, raw_tokens, trim_ws
 from lectern.operators import enrich as en
 from lectern.operators import evaluate, layout, render, segments
+from lectern.operators.corpus import audit
 from lectern.operators.index import build_index
 from lectern.operators.search import expand, idf, search, search_batch
 from lectern.plans.fixtures import EVENT_PROFILE, LINE_PROFILE, document_units, event_elements, line_spans, table, whole_spans
@@ -35,7 +36,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def lines_nonblank(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("line", trim_ws(F.col("line"))).filter("line <> ''")
+    return lines.filter(layout.is_solid(F.col("line"))).withColumn("line", trim_ws(F.col("line")))
 
 
 @query
@@ -145,7 +146,7 @@ def pending_anti(spark, d):
 def principle_override(spark, d):
     named = F.when(F.col("r_name") != "AFRICA", F.lower("r_name"))
     topics = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    topics = topics.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("chapter"), F.col("n_nationkey").alias("ord"), named.alias("principle"))
+    topics = topics.select(F.col("n_nationkey").alias("chapter"), F.col("n_nationkey").alias("ord"), named.alias("principle"))
     rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("chapter"), F.lit("model says").alias("principle"))
     return en.override_principle(rows, topics).select("c_custkey", "chapter", "principle")
 
@@ -165,7 +166,7 @@ def card_render(spark, d):
 def code_type_force(spark, d):
     turns = table(spark, d, "conversations")
     is_code = F.col("role") == "system"
-    kind = F.when(is_code, "code").otherwise(F.when(F.col("role") == "user", "example").otherwise("rationale"))
+    kind = en.typed(is_code, F.when(F.col("role") == "user", "example").otherwise("rationale"))
     return turns.select("conv_id", "turn", en.checked_type(kind).alias("type"), en.unit_key(F.col("role"), is_code, F.col("text")).alias("key"), F.lit(0).alias("needs_enrich"))
 
 
@@ -188,9 +189,10 @@ def build_report(spark, d):
 
 @query
 def facet_audit(spark, d):
-    docs = table(spark, d, "documents")
-    parts = [docs.groupBy(F.lit(c).alias("facet"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in ("lang", "source")]
-    return parts[0].unionByName(parts[1])
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    kind = F.when(F.col("quality") == 1, "example").otherwise("rationale")
+    units = docs.select(F.col("source").alias("principle"), F.col("lang").alias("chapter"), kind.alias("type"), F.coalesce("toxic", F.lit(0)).alias("needs_enrich"))
+    return audit(units)
 
 
 @query
@@ -267,8 +269,7 @@ def bm25_faceted(spark, d):
 def _cases(spark, d):
     """All passages, whole, as queries; the expected principle is the source of the least document that holds the passage."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    holds = docs.join(F.broadcast(items), F.col("text").contains(F.col("query")))
+    holds = evaluate.holders(table(spark, d, "documents").select("doc_id", "text", "source"), items)
     return items.join(holds.groupBy("case_id").agg(F.min_by("source", "doc_id").alias("expect_principle")), "case_id", "left").withColumn("expect_section", F.lit(None).cast("string"))
 
 

@@ -1,6 +1,8 @@
-"""Layout, chapters, sections and units against plain loops."""
+"""Layout, chapters, sections and units against their definitions."""
 
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,42 +41,30 @@ def test_prose_and_code(spark):
     assert texts == {"6": "p1\np2", "6.1": "p3\np4\nx = 1\np5", "6.2": ""}
 
 
-def loop(rows, chapter):
-    """Units and section texts by walking over the rows."""
-    import re
-
-    units, texts, run, at, section, body = [], {}, [], 0, chapter, False
-
-    def close():
-        if run:
-            units.append(("\n".join(run), section, at, False))
-            run.clear()
-
-    for kind, text, page, level in rows:
-        if kind == "figure":
-            continue
-        if kind == "heading" and level == 1 and body:
-            break
-        if kind != "para":
-            close()
-        if kind == "heading":
-            if level == 2 and (m := re.match(PROFILE.section_re, text.strip())):
-                section = m[1]
-            texts.setdefault(section, [])
-            body = body or level == 2
-            continue
-        body = True
-        texts.setdefault(section, []).append(text)
-        if kind == "code":
-            units.append((text, section, page, True))
-        else:
-            at = at if run else page
-            run.append(text)
-    close()
-    return units, {k: "\n".join(v) for k, v in texts.items()}
-
-
-def test_segments_match_a_loop(spark):
+def expected(rows, chapter):
+    """Units and section texts, each from its definition: the end of the chapter, the section of each row, runs of equal kinds."""
+    told = [r for r in rows if r[0] != "figure"]
+    bodies = [i for i, (kind, _, _, level) in enumerate(told) if kind != "heading" or level == 2]
+    ends = [i for i, (kind, _, _, level) in enumerate(told) if bodies and i > bodies[0] and kind == "heading" and level == 1]
+    told = told[: min(ends, default=len(told))]
+
+    def section_of(i):
+        heads = [re.match(PROFILE.section_re, text.strip()) for kind, text, _, level in told[: i + 1] if kind == "heading" and level == 2]
+        return ([m[1] for m in heads if m] or [chapter])[-1]
+
+    rows = [(kind, text, page, section_of(i)) for i, (kind, text, page, _) in enumerate(told)]
+    units = []
+    for kind, group in itertools.groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        if kind == "para":
+            units.append(("\n".join(r[1] for r in group), group[0][3], group[0][2], False))
+        elif kind == "code":
+            units += [(text, section, page, True) for _, text, page, section in group]
+    texts = {s: "\n".join(r[1] for r in rows if r[3] == s and r[0] != "heading") for s in {r[3] for r in rows}}
+    return units, texts
+
+
+def test_segments_match_their_definition(spark):
     rng = random.Random(6)
     docs = {}
     for d in range(40):
@@ -91,7 +81,7 @@ def test_segments_match_a_loop(spark):
     for r in section_texts(sectioned).collect():
         texts.setdefault(r.doc_id, {})[r.section] = r.section_text
     for d, rs in docs.items():
-        want = loop(rs, "6")
+        want = expected(rs, "6")
         assert units.get(d, []) == want[0]
         assert texts.get(d, {}) == want[1]
 
