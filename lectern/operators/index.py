@@ -1,21 +1,24 @@
-"""The inverted index as DataFrames: postings (term, id, one count a column), lengths (id, dl), corpus (n_docs, avgdl)."""
+"""The inverted index as DataFrames: postings (term, id, dl, one count a column), lengths (id, dl), corpus (n_docs, avgdl)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.stem import stems
 from lectern.functions.text import fold, index_tokens, raw_tokens
-from lectern.sources.scratch import scratch
+from lectern.sources.scratch import scratch, spread
+
+POSTINGS = "term string, id long, dl long, tf array<long>"
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, id, tf (array of counts, one for each of columns)
-    lengths: DataFrame  # id, dl: tokens over all columns
+    postings: DataFrame  # term, id, dl, tf (array of counts, one for each of columns)
+    lengths: DataFrame  # id, dl: tokens over all columns; postings repeat it, so that ranking joins nothing
     columns: list[str]
     stemmed: bool
 
@@ -23,6 +26,12 @@ class Index:
         """One row: n_docs, avgdl."""
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """n_docs and avgdl, read once for all queries of this index."""
+        n_docs, avgdl = self.corpus().first()
+        return n_docs, avgdl or 0.0
+
     def vocabulary(self) -> DataFrame:
         """term, df."""
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -34,7 +43,7 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, columns: list[str], stemmed: bool) -> Index:
-        postings = spark.read.schema("term string, id long, tf array<long>").parquet(f"{path}/postings")
+        postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         return cls(postings, spark.read.schema("id long, dl long").parquet(f"{path}/lengths"), columns, stemmed)
 
 
@@ -45,30 +54,29 @@ def build_index(units: DataFrame, columns: list[str], stemmed: bool = True) -> I
     lengths come from them. Stems are found once for each distinct token and joined back. A row without
     tokens has a length of 0.
     """
+    units = spread(units)
     kinds = dict(units.dtypes)
     text = {c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c) for c in columns}
     cut = raw_tokens if stemmed else index_tokens
 
-    if len(columns) == 1:
-        found = units.select("id", F.explode_outer(cut(text[columns[0]])).alias("token"), F.lit(0).alias("at"))
-    else:
-
-        def placed(column: Column, at: int) -> Column:
-            return F.transform(cut(column), lambda t: F.struct(t.alias("token"), F.lit(at).alias("at")))
+    def placed(column: Column, at: int) -> Column:
+        return F.transform(cut(column), lambda t: F.struct(t.alias("token"), F.lit(at).alias("at")))
 
-        found = units.select("id", F.explode_outer(F.concat(*(placed(text[c], i) for i, c in enumerate(columns)))).alias("x")).select("id", "x.token", "x.at")
+    tokens = cut(text[columns[0]]) if len(columns) == 1 else F.concat(*(placed(text[c], i) for i, c in enumerate(columns)))
+    found = units.select("id", tokens.alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("x"))
+    found = found.select("id", "dl", F.col("x").alias("token"), F.lit(0).alias("at")) if len(columns) == 1 else found.select("id", "dl", "x.token", "x.at")
     one = F.when(F.col("token").isNotNull(), 1)
     tf = F.array(*(F.count(F.when(F.col("at") == i, one)) for i in range(len(columns))))
-    counts = scratch(found.groupBy("token", "id").agg(tf.alias("tf")), "counts")
-    lengths = scratch(counts.groupBy("id").agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, n: a + n)).alias("dl")), "lengths")
+    counts = scratch(found.groupBy("token", "id", "dl").agg(tf.alias("tf")), "counts")
+    lengths = scratch(counts.groupBy("id").agg(F.first("dl").alias("dl")), "lengths")
     counts = counts.filter("token is not null")
     if not stemmed:
-        return Index(counts.select(F.col("token").alias("term"), "id", "tf"), lengths, columns, stemmed)
+        return Index(counts.select(F.col("token").alias("term"), "id", "dl", "tf"), lengths, columns, stemmed)
     # in as many tasks as a shuffle has, since few tokens take long to stem
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     terms = counts.select("token").distinct().repartition(tasks).withColumn("term", stems(fold(F.col("token"))))
     sums = F.array(*(F.sum(F.col("tf")[i]) for i in range(len(columns))))
-    return Index(scratch(counts.join(terms, "token").groupBy("term", "id").agg(sums.alias("tf")), "postings"), lengths, columns, stemmed)
+    return Index(scratch(counts.join(terms, "token").groupBy("term", "id", "dl").agg(sums.alias("tf")), "postings"), lengths, columns, stemmed)
 
 
 def compact_index(spark: SparkSession, path: str, to: str, columns: list[str], stemmed: bool) -> None:

@@ -57,12 +57,12 @@ def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFr
     phrases = phrases_of(queries, index.stemmed)
     terms = expand(phrases.select("prefix").distinct(), index.postings.select("term").distinct())
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-    found = index.postings.join(terms, "term").groupBy("prefix", "id").agg(F.sum(weighted).alias("f"))
+    found = index.postings.join(terms, "term").groupBy("prefix", "id", "dl").agg(F.sum(weighted).alias("f"))
     df = found.groupBy("prefix").agg(F.count("*").alias("df"))
-    corpus = F.broadcast(index.corpus())  # one row
-    parts = found.join(df, "prefix").join(index.lengths, "id").join(corpus)
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    parts = parts.select("prefix", "id", (idf(F.col("n_docs"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("part"))
+    n_docs, avgdl = index.size
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
+    part = idf(F.lit(n_docs), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
+    parts = found.join(df, "prefix").select("prefix", "id", part.alias("part"))
     times = phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times"))
     return times.join(parts, "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
 
@@ -109,14 +109,15 @@ def _scores_of(index: Index, prefixes: Counter[str], weights: Sequence[float]) -
         any_of |= term.startswith(p)
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
     parts = [F.sum(F.when(term.startswith(p), weighted)).alias(f"f{i}") for i, p in enumerate(names)]
-    found = index.postings.filter(any_of).groupBy("id").agg(*parts)
+    found = index.postings.filter(any_of).groupBy("id", "dl").agg(*parts)
     dfs = found.agg(*(F.count(f"f{i}").alias(f"df{i}") for i in range(len(names))))
-    rows = found.join(index.lengths, "id").join(F.broadcast(dfs.join(index.corpus())))  # one row
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    rows = found.join(F.broadcast(dfs))  # one row
+    n_docs, avgdl = index.size
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
     score = F.lit(0.0)
     for i, p in enumerate(names):
         f = F.col(f"f{i}")
-        score -= prefixes[p] * F.coalesce(idf(F.col("n_docs"), F.col(f"df{i}")) * f * (K1 + 1) / (f + norm), F.lit(0.0))
+        score -= prefixes[p] * F.coalesce(idf(F.lit(n_docs), F.col(f"df{i}")) * f * (K1 + 1) / (f + norm), F.lit(0.0))
     return rows.select("id", score.alias("score"))
 
 

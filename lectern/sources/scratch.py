@@ -23,6 +23,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as the session has cores, if it comes in fewer (small files, of one row group)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its plan is cut, and it outlives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
