@@ -23,6 +23,7 @@ def _build(spark: SparkSession, args: argparse.Namespace) -> None:
     # imported here: searching needs neither extractors nor document readers
     from lectern.operators.enrich import RuleExtractor
     from lectern.operators.layout import elements_of
+    from lectern.sources.chat import http_extractor
     from lectern.sources.config import load_profile, load_prompt, load_taxonomy
     from lectern.sources.pdf import read_pdf
 
@@ -30,12 +31,11 @@ def _build(spark: SparkSession, args: argparse.Namespace) -> None:
     profile = load_profile(instance / "profile.yaml")
     spans = read_pdf(spark, args.source) if args.source.endswith(".pdf") else spark.read.parquet(args.source)
     principles, topics = load_taxonomy(spark, instance / "taxonomy.yaml")
-    report = build(
-        elements_of(spans, profile), profile, principles, topics, load_prompt(instance / "prompt.md"), RuleExtractor(), args.build_dir, args.db,
-        args.chapter, args.resume, args.workers,
+    extractor = http_extractor(args.model, args.endpoint) if args.model else RuleExtractor()
+    build(
+        elements_of(spans, profile), profile, principles, topics, load_prompt(instance / "prompt.md"), extractor, args.build_dir, args.db,
+        args.chapter, args.resume, args.workers, say=print,
     )
-    for r in report.orderBy("chapter").collect():
-        print(f"{r.chapter if r.chapter is not None else 'all'}: {r.units} units, {r.failed} failed")
 
 
 def _eval(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -63,7 +63,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--db", required=True)
     p.add_argument("--chapter")
     p.add_argument("--resume", action="store_true")
-    p.add_argument("--workers", type=int, default=1)
+    p.add_argument("--workers", type=int, help="calls in flight; without it, one for every partition")
+    p.add_argument("--model", help="model of the chat endpoint; without it, rules give the metadata")
+    p.add_argument("--endpoint", default="http://localhost:11434/api/chat")
     p.add_argument("--build-dir", default="build")
     p.set_defaults(run=_build)
     p = commands.add_parser("eval", help="hit rate over cases")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,12 +13,13 @@ from lectern.operators.index import Index, build_index
 from lectern.operators.layout import Profile
 from lectern.operators.search import UNIT_WEIGHTS, search
 from lectern.operators.segments import chapter_spans, in_sections, page_spans, section_texts, units_of, with_section_text
-from lectern.sources.checkpoints import read_checkpoint, write_checkpoint
+from lectern.sources.checkpoints import ROWS, read_checkpoint, start_anew, write_checkpoint
 from lectern.sources.config import Prompt
+from lectern.sources.scratch import scratch
 
 UNIT_COLUMNS = (
     "id long, principle string, chapter string, section string, type string, page int, text string, context_line string, "
-    "applies_when string, key_terms string, questions string, enrich_model string, needs_enrich int"
+    "applies_when string, key_terms string, questions string, enrich_model string, needs_enrich int, doc_id long"
 )
 
 
@@ -47,19 +49,26 @@ def audit(units: DataFrame) -> DataFrame:
     return sets.groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
+def with_ids(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with dense ids from 1 in the order of some columns: ranges are numbered side by side, the driver adds up their sizes."""
+    parts = scratch(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before, n = [], 0
+    for part, size in sorted(tuple(r) for r in parts.groupBy("__part").count().collect()):
+        before.append((part, n))
+        n += size
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__part int, __before long"))  # a row for each partition
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__nth", nth).join(offsets, "__part").withColumn("id", F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
+
+
 def write_corpus(rows: DataFrame, path: str) -> None:
-    """Rows (CHECKPOINT columns, ``position`` for their order) as units with dense ids from 1, and the index over them.
+    """Rows (CHECKPOINT columns, ``position`` for their order in a document) as units with dense ids from 1, and the index over them.
 
     Types are checked; lists are stored as their joined values.
     """
-    # the order is global and rows are one corpus of passages: ids come from per-chapter counts, not from one sorted task
-    per = rows.groupBy("chapter").agg(F.min("position").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("first", "chapter").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per.select("chapter", F.coalesce(before, F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("chapter").orderBy("position"))
-    units = rows.withColumn("nth", nth).join(F.broadcast(offsets), "chapter").withColumn("id", (F.col("before") + F.col("nth")).cast("long"))
+    units = with_ids(rows, ["doc_id", "position"])
     units = units.withColumn("type", en.checked_type(F.col("type"))).withColumn("needs_enrich", F.coalesce("needs_enrich", F.lit(0)))
-    for c in ("key_terms", "questions"):
+    for c in en.LISTS:
         units = units.withColumn(c, F.array_join(c, " "))
     spark = rows.sparkSession
     units.select(*(c.split()[0] for c in UNIT_COLUMNS.split(", "))).write.mode("overwrite").parquet(f"{path}/units")
@@ -84,12 +93,15 @@ def plan_units(elements: DataFrame, profile: Profile, chapter: str | None = None
 def build(
     elements: DataFrame, profile: Profile, principles: DataFrame, topics: DataFrame, prompt: Prompt, extractor: en.Extractor, checkpoint: str, path: str,
     chapter: str | None = None, resume: bool = False, workers: int | None = None, prune_stale: bool = False,
+    save_every: int = 1000, say: Callable[[str], None] = lambda line: None,
 ) -> DataFrame:
-    """Builds a corpus at ``path`` and returns the report (chapter, units, failed).
+    """Builds a corpus at ``path`` and returns the report (chapter, units, failed); ``say`` gets its lines as text.
 
-    Work is saved at ``checkpoint``; ``resume`` skips units that succeeded before and tries failed ones
-    again. All rows of the checkpoint's built chapters are loaded, also of units that are gone,
-    unless ``prune_stale``.
+    Work is saved at ``checkpoint``, every ``save_every`` units or so: a build that breaks off loses those at
+    most. ``resume`` skips units that succeeded before and tries failed ones again. The first unit is enriched
+    alone, so that the extractor settles before it is sent to the workers. All rows of the checkpoint's
+    built chapters are loaded, also of units that are gone, unless ``prune_stale``. Units of several
+    documents stay apart. An extractor with a ``num_ctx`` gets one that holds the longest prompt.
     """
     spark = elements.sparkSession
     units = plan_units(elements, profile, chapter)
@@ -97,19 +109,55 @@ def build(
     units = en.override_principle(units, topics)
     cards = principles.select("slug", en.card({c: F.col(c) for c in ("vocabulary", "diagnostics", "red_flags")}, F.col("slug"), F.col("name")).alias("card"))
     units = en.with_cards(units, cards)
-    units = units.withColumn("key", en.unit_key(F.col("section"), F.col("is_code"), F.col("text")))
+    names = F.col("section"), F.col("is_code"), F.col("text")
+    units = units.withColumn("digest", en.unit_digest(*names)).withColumn("key", en.unit_key(*names))
     units = units.withColumn("prompt", en.render_prompt(prompt.template, F.col("card"), F.col("section_text"), F.col("text")))
     units = units.withColumn("seq", F.col("span_ord") * 10**9 + F.col("unit_ord"))
-    before = read_checkpoint(spark, checkpoint) if resume else read_checkpoint(spark, checkpoint).limit(0)
+    units = scratch(units.select("doc_id", "digest", "key", "text", "chapter", "section", "page", "is_code", "prompt", "seq"), "units")
+
+    num_ctx, over = en.context_size(units, prompt.system).first()
+    if hasattr(extractor, "num_ctx"):
+        extractor.num_ctx = num_ctx
+    n_units, n_chapters = units.agg(F.count("*"), F.count_distinct("doc_id", "chapter")).first()
+    say(f"chapters={n_chapters} units={n_units} num_ctx={num_ctx} model={getattr(extractor, 'model', 'stub')}")
+    if over:
+        say(f"WARNING: the longest prompt needs more than num_ctx={en.CONTEXT_CAP}; shorten the section texts")
+
+    if not resume:
+        start_anew(units, checkpoint)
+    before = read_checkpoint(spark, checkpoint)
     attempt = before.agg(F.coalesce(F.max("attempt"), F.lit(-1))).first()[0] + 1
-    todo = en.pending(units, before).select("key", "text", "chapter", "section", "page", "is_code", "prompt", "seq")
-    write_checkpoint(en.enrich(todo, extractor, prompt.system, workers=workers).withColumn("attempt", F.lit(attempt)), checkpoint, resume)
-
-    rows = read_checkpoint(spark, checkpoint).join(F.broadcast(units.select("chapter").distinct()), "chapter", "left_semi")
+    todo = scratch(en.pending(units, before), "todo")
+    first = todo.orderBy("doc_id", "seq").limit(1).collect()
+    for row in first:
+        got = en.enrich_one(extractor, row.prompt, row.is_code, prompt.system)
+        done = {**row.asDict(), **got, "type": "code" if row.is_code else got["type"], "enrich_model": getattr(extractor, "model", "stub"), "attempt": attempt}
+        write_checkpoint(spark.createDataFrame([tuple(done[c.split()[0]] for c in ROWS.split(", "))], ROWS), checkpoint)
+    rest = todo.filter(~((F.col("doc_id") == first[0].doc_id) & (F.col("chapter") == first[0].chapter) & (F.col("digest") == first[0].digest))) if first else todo
+    batches = max(1, -(-todo.count() // save_every))
+    for i in range(batches):
+        some = rest.filter(F.pmod(F.xxhash64(*en.IDENTITY), F.lit(batches)) == i)
+        write_checkpoint(en.enrich(some, extractor, prompt.system, workers=workers).withColumn("attempt", F.lit(attempt)), checkpoint)
+
+    rows = read_checkpoint(spark, checkpoint).join(units.select("doc_id", "chapter").distinct(), ["doc_id", "chapter"], "left_semi")
     if prune_stale:
-        rows = rows.join(units.select("key").distinct(), "key", "left_semi")
+        rows = rows.join(units.select(*en.IDENTITY).distinct(), en.IDENTITY, "left_semi")
     rows = rows.withColumn("order", F.struct("attempt", "seq"))
-    rows = en.last_wins(rows, ["chapter", "key"], "order")
+    rows = en.last_wins(rows, en.IDENTITY, "order")
     rows = rows.withColumn("position", F.col("position.seq") + F.col("position.attempt").cast("long") * 10**15)
     write_corpus(en.override_principle(rows, topics), path)
-    return en.build_report(spark.read.schema(UNIT_COLUMNS).parquet(f"{path}/units"))
+    written = spark.read.schema(UNIT_COLUMNS).parquet(f"{path}/units")
+    _tell(written, say, path)
+    return en.build_report(written)
+
+
+def _tell(units: DataFrame, say: Callable[[str], None], path: str) -> None:
+    """The report as lines: each chapter in the order of its units, the failures, the total."""
+    chapters = units.groupBy("chapter").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.sum("needs_enrich").alias("failed"), F.first("principle").alias("principle"))
+    n = failed = 0
+    for r in chapters.orderBy("id").toLocalIterator():
+        say(f"  {r.chapter}: {r.n} units ({r.failed} failed) principle={r.principle or 'null'}")
+        n, failed = n + r.n, failed + r.failed
+    if failed:
+        say(f"WARNING: {failed} of {n} units failed; does the model give structured answers?")
+    say(f"built {n} units ({failed} failed) -> {path}")

@@ -139,7 +139,7 @@ def dedup_last_wins(spark, d):
 def pending_anti(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"))
     checkpoint = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("key"), F.col("toxic").alias("needs_enrich"))
-    return en.pending(docs, checkpoint).select("doc_id")
+    return en.pending(docs, checkpoint, ["key"]).select("doc_id")
 
 
 @query

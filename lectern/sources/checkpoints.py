@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.operators.enrich import CHECKPOINT
 
 ROWS = CHECKPOINT.replace("chapter string, ", "") + ", seq long, attempt int, chapter string"
 
 
-def write_checkpoint(rows: DataFrame, path: str, resume: bool = True) -> None:
-    """Appends rows (CHECKPOINT, seq, attempt); without ``resume`` the chapters in ``rows`` start anew, others stay."""
-    writer = rows.write.partitionBy("chapter")
-    if resume:
-        writer.mode("append").json(path)
-    else:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+def write_checkpoint(rows: DataFrame, path: str) -> None:
+    """Appends rows (CHECKPOINT, seq, attempt)."""
+    rows.select(*(c.split()[0] for c in ROWS.split(", "))).write.partitionBy("chapter").mode("append").json(path)
+
+
+def start_anew(chapters: DataFrame, path: str) -> None:
+    """Drops what the checkpoint holds of ``chapters`` (chapter); other chapters stay. A blank row marks each."""
+    blank = chapters.select("chapter").distinct().select(F.lit(None).cast("string").alias("key"), "chapter")
+    blank.write.partitionBy("chapter").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """All rows so far; none if there is no checkpoint. Blank lines are skipped."""
+    """All rows so far; none if there is no checkpoint. Blank lines and rows are skipped."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], ROWS)
-    return spark.read.schema(ROWS).json(path)
+    return spark.read.schema(ROWS).json(path).filter("key is not null")

@@ -10,17 +10,17 @@ from lectern.operators import enrich as en
 from lectern.operators.index import build_index
 from lectern.sources.checkpoints import read_checkpoint, write_checkpoint
 
-PENDING = "key string, text string, chapter string, section string, page int, is_code boolean, prompt string, seq long"
+PENDING = "doc_id long, digest string, key string, text string, chapter string, section string, page int, is_code boolean, prompt string, seq long"
 
 
 def enrich_stream(spark: SparkSession, source: str, checkpoint: str, state: str, extractor: en.Extractor, system: str = "") -> StreamingQuery:
-    """Enriches units (PENDING, Parquet) as they arrive in ``source``; keys that succeeded before are skipped.
+    """Enriches units (PENDING, Parquet) as they arrive in ``source``; units that succeeded before are skipped.
 
     ``state`` is the stream's own checkpoint. A batch that is run again finds its keys done.
     """
 
     def step(units: DataFrame, batch: int) -> None:
-        todo = en.pending(units.dropDuplicates(["key"]), read_checkpoint(spark, checkpoint))
+        todo = en.pending(units.dropDuplicates(en.IDENTITY), read_checkpoint(spark, checkpoint))
         write_checkpoint(en.enrich(todo, extractor, system).withColumn("attempt", F.lit(batch).cast("int")), checkpoint)
 
     units = spark.readStream.schema(PENDING).parquet(source)

@@ -13,8 +13,10 @@ from lectern import cli
 from lectern.operators import enrich as en
 from lectern.operators.corpus import UNIT_COLUMNS, Corpus, build
 from lectern.operators.evaluate import CASES, score_cases
-from lectern.operators.layout import ELEMENTS, Profile
+from lectern.operators.index import Index, compact_index
+from lectern.operators.layout import ELEMENTS, SPANS, Profile
 from lectern.operators.search import UNIT_WEIGHTS
+from lectern.sources.chat import ChatExtractor
 from lectern.sources.checkpoints import read_checkpoint
 from lectern.sources.config import load_cases, load_profile, load_prompt, load_taxonomy
 from lectern.streaming.incremental import PENDING, enrich_stream, index_stream
@@ -40,7 +42,7 @@ class Flaky:
     def __init__(self, word):
         self.word = word
 
-    def extract(self, prompt, system=None):
+    def extract(self, prompt, schema, *, system=None):
         if self.word in prompt.split("PASSAGE:")[1]:
             raise RuntimeError("no answer")
         return dict(PAYLOAD)
@@ -128,7 +130,7 @@ def test_unknown_principle_is_an_error(spark):
 
 def test_streams(spark, tmp_path):
     src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
-    row = lambda k, t: (k, t, "1", "1.1", 1, False, f"PASSAGE:{t}", 1)
+    row = lambda k, t: (1, k, k, t, "1", "1.1", 1, False, f"PASSAGE:{t}", 1)
     for i, (rows, extractor) in enumerate([([row("a", "fine"), row("b", "broken")], Flaky("broken")), ([row("b", "broken"), row("a", "fine"), row("c", "new")], en.StubExtractor(PAYLOAD))]):
         extractor.retries = 0
         spark.createDataFrame(rows, PENDING).coalesce(1).write.mode("append").parquet(src)
@@ -141,6 +143,132 @@ def test_streams(spark, tmp_path):
         index_stream(spark, units, "id long, text string", ["text"], str(tmp_path / "ix"), str(tmp_path / "ixstate")).awaitTermination(120)
     terms = spark.read.parquet(str(tmp_path / "ix/postings")).select("term", "id").collect()
     assert sorted(map(tuple, terms)) == [("deep", 0), ("modul", 0), ("modul", 1), ("shallow", 1)]
+    compact_index(spark, str(tmp_path / "ix"), str(tmp_path / "one"), ["text"], True)
+    whole = Index.load(spark, str(tmp_path / "one"), ["text"], True)
+    assert sorted((r.term, r.id, r.dl) for r in whole.postings.collect()) == [("deep", 0, 2), ("modul", 0, 2), ("modul", 1, 2), ("shallow", 1, 2)] and whole.size == (2, 2.0)
+
+
+class Malformed:
+    """Answers without a field, of an unknown type, or no object at all."""
+
+    model = "malformed"
+
+    def extract(self, prompt, schema, *, system=None):
+        answers = {"one": {k: v for k, v in PAYLOAD.items() if k != "questions"}, "two": {**PAYLOAD, "type": "poem"}, "three": [1], "four": {**PAYLOAD, "key_terms": "deep"}}
+        return answers.get(prompt, {**PAYLOAD, "more": 1})
+
+
+def test_malformed_answers_are_failed_calls(spark):
+    df = spark.createDataFrame([(p, False) for p in ("one", "two", "three", "four", "fine")] + [("two", True)], "prompt string, is_code boolean").withColumn("text", F.col("prompt"))
+    got = {(r.text, r.type): (r.needs_enrich, list(r.key_terms)) for r in en.enrich(df, Malformed(), retries=1, back_off=0.0).collect()}
+    failed = {(p, "rationale"): (1, []) for p in ("one", "two", "three", "four")}
+    assert got == {**failed, ("two", "code"): (1, []), ("fine", "definition"): (0, ["deep", "module"])}
+
+
+def test_back_off_doubles(monkeypatch):
+    waits = []
+    monkeypatch.setattr(en.time, "sleep", waits.append)
+    assert en.enrich_one(Malformed(), "two", False, retries=3)["needs_enrich"] == 1
+    assert waits == [1.0, 2.0, 4.0]
+
+
+class Breaks(Flaky):
+    """Takes the whole job down on passages with a word."""
+
+    def extract(self, prompt, schema, *, system=None):
+        if self.word in prompt.split("PASSAGE:")[1]:
+            raise SystemExit(1)
+        return dict(PAYLOAD)
+
+
+def test_two_documents_and_a_build_that_breaks_off(spark, instance, tmp_path):
+    """Equal units of two documents stay apart, in order; what was saved before a break isn't asked for again."""
+    rows = [(d, i, *r) for d in (2, 1) for i, r in enumerate(ROWS)]
+    elements = spark.createDataFrame(rows, ELEMENTS)
+    principles, topics = load_taxonomy(spark, instance / "taxonomy.yaml")
+    lines = []
+    make = lambda extractor, **o: build(elements, load_profile(instance / "profile.yaml"), principles, topics, load_prompt(instance / "prompt.md"), extractor, str(tmp_path / "ck"), str(tmp_path / "db"), save_every=2, say=lines.append, **o)
+    with pytest.raises(Exception):
+        make(Breaks("summary"))
+    saved = {(r.doc_id, r.digest) for r in read_checkpoint(spark, str(tmp_path / "ck")).collect()}
+    assert 0 < len(saved) < 12
+    report = {r.chapter: (r.units, r.failed) for r in make(Flaky("nothing"), resume=True).collect()}
+    assert report == {"1": (8, 0), "2": (2, 0), "sum": (2, 0), None: (12, 0)}
+    again = [(r.doc_id, r.digest) for r in read_checkpoint(spark, str(tmp_path / "ck")).filter("attempt > 0").collect()]
+    assert not saved & set(again)
+    units = spark.read.parquet(str(tmp_path / "db/units")).orderBy("id").collect()
+    assert [r.id for r in units] == list(range(1, 13)) and [r.doc_id for r in units] == [1] * 6 + [2] * 6
+    assert {(r.doc_id, r.text) for r in units} == {(d, t) for d in (1, 2) for t in ("deep modules {section} hide", "x = {}", "same", "y", "second", "summary of depth")}
+    assert "chapters=6 units=14 num_ctx=8192 model=flaky" in lines and any(x.startswith("built 12 units (0 failed)") for x in lines)
+
+
+class FakeChat:
+    """Honours one way of asking."""
+
+    asked = []
+
+    def __init__(self, way, model, num_ctx):
+        self.way = way
+
+    def ask(self, messages, schema, way):
+        FakeChat.asked.append(way)
+        if way != self.way:
+            raise RuntimeError("unsupported")
+        return {**PAYLOAD, "context_line": messages[0]["content"]}
+
+
+def test_chat_extractor_finds_and_keeps_its_way():
+    import functools
+    import pickle
+
+    FakeChat.asked.clear()
+    extractor = ChatExtractor("m", functools.partial(FakeChat, "function_calling"))
+    assert extractor.extract("p", en.SCHEMA, system="s")["context_line"] == "s"
+    extractor.extract("p", en.SCHEMA)
+    sent = pickle.loads(pickle.dumps(extractor))
+    sent.extract("p", en.SCHEMA)
+    assert FakeChat.asked == ["json_schema", "function_calling", "function_calling", "function_calling"]
+    assert en.validated(sent.extract("q", en.SCHEMA))["context_line"] == "q"
+    with pytest.raises(ValueError, match="gave no answer"):
+        ChatExtractor("m", functools.partial(FakeChat, "neither")).extract("p", en.SCHEMA)
+    assert isinstance(extractor, en.Extractor)
+
+
+def test_build_from_the_command_line_asks_the_endpoint(spark, instance, tmp_path, capsys):
+    """Spans of a Parquet table, a model behind HTTP that answers by a tool call alone, and the lines of the report."""
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert body["model"] == "tiny" and body["options"]["num_ctx"] == 8192 and body["messages"][0] == {"role": "system", "content": "Be brief."}
+            call = [{"function": {"name": "answer", "arguments": PAYLOAD}}]
+            answer = json.dumps({"message": {"content": "no idea", "tool_calls": call if "tools" in body else []}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    d = tmp_path / "instance"
+    d.mkdir()
+    (d / "profile.yaml").write_text("code_font: Mono\nhead_font: Head\nchapter_size: 20.0\nsection_re: (\\d+\\.\\d+)\nchapter_re: Chapter\\s+(\\d+)\n")
+    for name in ("taxonomy.yaml", "prompt.md"):
+        (d / name).write_text((instance / name).read_text())
+    spans = [(1, 1, i, 0, 0, 0, 0.0, 0.0, 1.0, 1.0, t, font, size) for i, (t, font, size) in enumerate([("Chapter 1", "Head", 22.0), ("deep text", "Serif", 10.0), ("x = 1", "Mono", 10.0)])]
+    spark.createDataFrame(spans, SPANS).write.parquet(str(tmp_path / "spans"))
+    try:
+        cli.main(["build", str(tmp_path / "spans"), "--instance", str(d), "--db", str(tmp_path / "db"), "--build-dir", str(tmp_path / "ck"), "--model", "tiny", "--endpoint", f"http://127.0.0.1:{server.server_port}/api/chat", "--workers", "2"])
+    finally:
+        server.shutdown()
+    assert capsys.readouterr().out.splitlines() == ["chapters=1 units=2 num_ctx=8192 model=tiny", "  1: 2 units (0 failed) principle=deep-modules", f"built 2 units (0 failed) -> {tmp_path / 'db'}"]
+    assert {(r.text, r.type, r.enrich_model) for r in Corpus.load(spark, str(tmp_path / "db")).units.collect()} == {("deep text", "definition", "tiny"), ("x = 1", "code", "tiny")}
+    with pytest.raises(SystemExit):
+        cli.main([])
 
 
 def test_search_path_needs_no_readers():
