@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from lectern.llm.shared import Stash, free_shuffles, n_words, salted, text_of, without
 from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams
 
-BUCKET_BYTES = 24 << 20
+#: Bytes of text for a bucket, and buckets at least.
+BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 64
 #: of an anchor's hash, six bytes travel: 47 bits and one that marks an index block
 ANCHOR_BYTES = 6
 #: Words of a text that are cut and joined in one go.
@@ -54,7 +55,7 @@ def _pack(bucket: np.ndarray, row: np.ndarray, values: np.ndarray, keys: np.ndar
 
 
 PACKED = "bucket int, keys binary, ids binary, counts binary, vals binary"
-BITS = "key long, id long, bucket int, bits binary"
+BITS = "key int, id long, bucket int, bits binary"
 
 
 def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -84,7 +85,7 @@ def _anchors(block: int, window: int, n_buckets: int):
 def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(values, keys, ids, counts) of a bucket's packed rows."""
     raw = {c: b"".join(table[c].to_pylist()) for c in ("keys", "ids", "counts", "vals")}
-    keys, ids = np.frombuffer(raw["keys"], np.int64), np.frombuffer(raw["ids"], np.int64)
+    keys, ids = np.frombuffer(raw["keys"], np.int32), np.frombuffer(raw["ids"], np.int64)
     counts = np.frombuffer(raw["counts"], np.uint32).astype(np.int64)
     wide = np.zeros((len(raw["vals"]) // width, 8), np.uint8)
     wide[:, :width] = np.frombuffer(raw["vals"], np.uint8).reshape(-1, width)
@@ -97,7 +98,7 @@ def _bits(bucket: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, hi
     sums = np.concatenate([[0], np.cumsum(hit)])
     some = np.flatnonzero(sums[ends] > sums[ends - counts])
     bits = [np.packbits(hit[ends[i] - counts[i] : ends[i]]).tobytes() for i in some]
-    return pa.table({"key": pa.array(keys[some], pa.int64()), "id": pa.array(ids[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"key": pa.array(keys[some], pa.int32()), "id": pa.array(ids[some], pa.int64()), "bucket": pa.array([bucket] * len(some), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +259,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns, whatever their names, are ignored.
     """
     block = window // 2
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("key", F.hash("text"))  # tells texts of one id apart
     # a copy of a smaller document's text loses all its words, if they make a run
     rows = docs.select("key", "id", F.md5("text").alias("same"), n_words(F.col("text")).alias("n_words")).filter("id is not null")
     rows = Stash(rows.filter(F.col("n_words") >= window), "rows")
@@ -269,9 +270,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = without(docs, copies.select(F.struct("key", "id").alias("key")), F.struct("key", "id"))
 
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(64, -(-n_bytes // BUCKET_BYTES))
+    n_buckets = max(MIN_BUCKETS, -(-n_bytes // BUCKET_BYTES))
     # tasks grow in number with the buckets, not in size
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n_buckets)
     known = docs.filter("id is not null").select("key", "id", "text")
     anchors = known.mapInArrow(_anchors(block, window, n_buckets), PACKED).repartition(tasks, "bucket")
     hits = Stash(anchors.groupBy("bucket").applyInArrow(_probe, BITS), "anchors")
@@ -281,7 +282,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = hits.df.dropDuplicates(["key", "id", "bucket"]).groupBy("key", "id").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
     kind = "array<struct<bucket:int,bits:binary>>"
     both = docs.join(found, ["key", "id"], "left").select("key", "id", "text", "found")
-    split = Stash(both.mapInArrow(_split(block, window, n_buckets, texts), f"key long, id long, n_words long, found {kind}, sha string, kept string, text string"), "split").df
+    split = Stash(both.mapInArrow(_split(block, window, n_buckets, texts), f"key int, id long, n_words long, found {kind}, sha string, kept string, text string"), "split").df
     del both, found
     free_shuffles(docs.sparkSession)
     hits.drop()
