@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.shared import Stash, rows_fit, salted
-from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams, seeded
+from lectern.llm.textbytes import U64, Hasher, Words, give_back, mix, ngrams, seeded
 
 #: Members of a block of a bucket; buckets of more are given new centres before they are searched in blocks.
 BLOCK = 256
@@ -154,6 +154,7 @@ def _sign(shingle: int, k: int, bands: int, weighted: bool):
                     ],
                     ["id", "digest", "n_shingles", "bands", "sig"],
                 )
+        give_back()
 
     return run
 
@@ -175,6 +176,7 @@ def _sets(shingle: int, weighted: bool):
                 low = np.stack([low, n[first].astype(np.uint32)], 1) if weighted else low
                 members = [low[s:t].tobytes() for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(members, pa.binary())], ["digest", "members"])
+        give_back()
 
     return run
 
@@ -203,6 +205,7 @@ def _compare(threshold: float, weighted: bool):
             a, b, x, y = batch.columns
             mask = pa.array(jaccard(x.to_pylist(), y.to_pylist(), weighted) >= threshold)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+        give_back()
 
     return run
 

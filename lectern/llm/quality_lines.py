@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import text_of
-from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams
+from lectern.llm.textbytes import U64, Hasher, Words, give_back, mix, ngrams
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 0.2, 5
@@ -324,6 +324,7 @@ def _sieve(crf: Crf, min_share: float, text_at: int):
                 content = np.bincount(lines.row, weights=lines.words * (label == 0), minlength=n)
                 keep = ~lines.base_failed() & (content >= min_share * lines.counts)
                 yield batch.slice(lo, n).filter(pa.array(keep))
+        give_back()
 
     return run
 
