@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import Stash, text_of
+from lectern.llm.shared import Stash, row_key, text_of
 
 LG_K = 12
 
@@ -46,7 +46,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_id
     """
     boilerplate = Stash(boilerplate_lines(docs, min_sites, site_col, text_col), "boilerplate").df
     # equal rows share what is to be removed from them; the id keeps copies of one text apart
-    key = F.xxhash64(F.col(id_col), text_of(text_col))
+    key = row_key(id_col, text_col)
     keyed = docs.withColumn("__key", key)
     hits = docs.select(key.alias("__key"), F.explode(_line_hashes(text_of(text_col))).alias("line"))
     hits = hits.join(boilerplate, "line", "left_semi").groupBy("__key").agg(F.collect_set("line").alias("__drop"))
