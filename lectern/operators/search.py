@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from lectern.functions.stem import stem_word, stems
 from lectern.functions.text import MIN_QUERY_TOKEN, QUERY_TOKEN, query_tokens
 from lectern.operators.index import Index
+from lectern.sources.scratch import scratch
 
 # Fixed values of the ranking.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: A query of up to so many distinct prefixes is one filter on the postings.
 MAX_IN_PLAN = 64
+#: Prefixes and terms of queries are broadcast up to so many rows (some 50 MB), else joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Columns of a corpus and their weights.
 UNIT_WEIGHTS = {"text": 10.0, "context_line": 4.0, "applies_when": 5.0, "key_terms": 8.0, "questions": 4.0}
 
@@ -52,19 +55,30 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.when(value <= 0, F.lit(IDF_FLOOR)).otherwise(value)
 
 
+def _small(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if ``rows``, of which it has no more, are at most BROADCAST_ROWS."""
+    return F.broadcast(df) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """(case_id, id, score) of every row that matches; lower is better."""
+    """(case_id, id, score) of every row that matches; lower is better.
+
+    Postings that match are dealt out once, by row: what a row adds to any query is then summed where it is.
+    The tables of the queries' prefixes and terms are written and counted first, and broadcast if they are small.
+    """
     phrases = phrases_of(queries, index.stemmed)
-    terms = expand(phrases.select("prefix").distinct(), index.postings.select("term").distinct())
+    times = scratch(phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times")), "phrases")
+    prefixes = times.select("prefix").distinct()
+    terms = scratch(expand(prefixes, index.postings.select("term").distinct()), "terms")
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-    found = index.postings.join(terms, "term").groupBy("prefix", "id", "dl").agg(F.sum(weighted).alias("f"))
+    matched = index.postings.join(_small(terms, terms), "term").select("prefix", "id", "dl", weighted.alias("w")).repartition("id")
+    found = matched.groupBy("prefix", "id", "dl").agg(F.sum("w").alias("f"))
     df = found.groupBy("prefix").agg(F.count("*").alias("df"))
     n_docs, avgdl = index.size
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
     part = idf(F.lit(n_docs), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    parts = found.join(df, "prefix").select("prefix", "id", part.alias("part"))
-    times = phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times"))
-    return times.join(parts, "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
+    parts = found.join(_small(df, prefixes), "prefix").select("prefix", "id", part.alias("part"))
+    return parts.join(_small(times, times), "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
 
 
 def rank_score() -> Column:

@@ -32,5 +32,5 @@ def spread(df: DataFrame) -> DataFrame:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its plan is cut, and it outlives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
