@@ -8,7 +8,9 @@
    found by hash in buckets again, decides; overlapping ones add up to the maximal repeats.
 
 Rows whose whole text stands in a smaller document are settled first and take no part, so a group of
-exact copies is one document here. Windows travel packed: a binary run of hashes for each document, bucket and batch, not a row each.
+exact copies is one document here. Windows that very many documents share are known by a sample and never meet
+in a bucket: as anchors all of them are hits (step 3 judges them anyway), and of the runs a task sends its least
+document only. The sample decides where windows are compared, not what is found. Windows travel packed: a binary run of hashes for each document, bucket and batch, not a row each.
 Results come back as bits, and are applied where the text is.
 """
 
@@ -29,6 +31,10 @@ from lectern.llm.textbytes import U64, Hasher, Words, mix, ngrams
 BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 64
 #: of an anchor's hash, six bytes travel: 47 bits and one that marks an index block
 ANCHOR_BYTES = 6
+#: Hot windows are those in so many documents or more of a sample of so many bytes of text. At most so many, the most frequent,
+#: are treated as hot: their hashes and least documents (2 MB) go to every task.
+HOT_DOCS, SAMPLE_BYTES, MAX_HOT = 20, 32 << 20, 1 << 17
+SAMPLE_TASKS = 8
 #: Words of a text that are cut and joined in one go.
 SLICE_WORDS = 1 << 16
 
@@ -44,6 +50,45 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return (mix(h) % U64(n)).astype(np.int64)
 
 
+def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted ``hot`` ones."""
+    if not len(hot):
+        return np.zeros(len(h), bool)
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+
+
+def _shared_windows(block: int, window: int):
+    """(width, hash, documents) of the windows that stand in two or more documents of the task."""
+
+    def run(batches):
+        hasher, seen = Hasher(), {block: [], window: []}
+        for batch in batches:
+            for _, _, words in hasher.chunks(batch.column(0)):
+                for width, found in seen.items():
+                    row, _, h = _windows(words, width)
+                    order = np.lexsort((h, row))
+                    row, h = row[order], h[order]
+                    first = np.ones(len(h), bool)
+                    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                    found.append(h[first])
+        for width, found in seen.items():
+            h, n = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
+            h, n = h[n > 1], n[n > 1]
+            widths = pa.array(np.full(len(h), width, np.int32))
+            yield pa.RecordBatch.from_arrays([widths, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["width", "h", "n"])
+
+    return run
+
+
+def _hot_windows(known: DataFrame, n_bytes: int, block: int, window: int) -> dict[int, np.ndarray]:
+    """The sorted hashes of the hot windows of either width."""
+    share = max(1, n_bytes // SAMPLE_BYTES)
+    sample = known.filter(F.pmod(F.xxhash64("key", "id"), F.lit(share)) == 0).select("text").repartition(SAMPLE_TASKS)
+    counts = sample.mapInArrow(_shared_windows(block, window), "width int, h long, n long").groupBy("width", "h").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()
+    return {w: np.sort(np.array([r["h"] for r in top if r["width"] == w], np.int64).view(U64)) for w in (block, window)}
+
+
 def _pack(bucket: np.ndarray, row: np.ndarray, values: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
     """(bucket, keys, ids and counts of the rows, values as bytes); values keep their order within a row."""
     order = np.lexsort((row, bucket))
@@ -64,8 +109,8 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def _anchors(block: int, window: int, n_buckets: int):
-    """Packed rolling block-length windows of texts that are long enough to hold a repeat."""
+def _anchors(block: int, window: int, n_buckets: int, hot: np.ndarray):
+    """Packed rolling block-length windows of texts that are long enough to hold a repeat. Rows with hot ones are named in buckets beyond."""
 
     def run(batches):
         hasher = Hasher()
@@ -75,6 +120,12 @@ def _anchors(block: int, window: int, n_buckets: int):
                 row, at, h = _windows(words, block)
                 long = words.counts[row] >= window
                 row, at, h = row[long], at[long], h[long]
+                is_hot = _is_hot(h, hot)
+                if is_hot.any():
+                    some = np.unique(row[is_hot])
+                    where = n_buckets + _buckets(ids[lo:hi][some].view(U64), n_buckets)
+                    yield _packed_batch(list(_pack(where, some, np.zeros((len(some), 1), np.uint8), keys[lo:hi], ids[lo:hi])))
+                    row, at, h = row[~is_hot], at[~is_hot], h[~is_hot]
                 value = (h >> U64(17) << U64(1)) | (at % block == 0)
                 six = value.reshape(-1, 1).view(np.uint8)[:, :ANCHOR_BYTES]
                 yield _packed_batch(list(_pack(_buckets(h, n_buckets), row, six, keys[lo:hi], ids[lo:hi])))
@@ -107,27 +158,47 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.diff(values[order], prepend=values[order[:1]] ^ U64(1)))
 
 
-def _probe(key, table):
-    values, keys, row_ids, counts = _unpack(table, ANCHOR_BYTES)
-    ids = np.repeat(row_ids, counts)
-    order, starts = _groups(values >> U64(1))
-    sizes = np.diff(np.append(starts, len(order)))
-    ids, flag = ids[order], (values[order] & U64(1)).astype(bool)
-    shared = np.logical_or.reduceat(flag, starts) & (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
-    hit = np.zeros(len(order), bool)
-    hit[order] = np.repeat(shared, sizes)
-    return _bits(key[0].as_py(), keys, row_ids, counts, hit)
+def _hot_table(keys: np.ndarray, ids: np.ndarray, bits: list[bytes]) -> pa.Table:
+    """Rows of what is known of hot windows: bucket -1."""
+    return pa.table({"key": pa.array(keys, pa.int32()), "id": pa.array(ids, pa.int64()), "bucket": pa.array([-1] * len(ids), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def _least(key, table):
-    values, keys, row_ids, counts = _unpack(table, 8)
-    ids = np.repeat(row_ids, counts)
-    order, starts = _groups(values)
-    sizes = np.diff(np.append(starts, len(order)))
-    later = ids[order] > np.repeat(np.minimum.reduceat(ids[order], starts), sizes)
-    hit = np.zeros(len(order), bool)
-    hit[order] = later
-    return _bits(key[0].as_py(), keys, row_ids, counts, hit)
+def _probe(n_buckets: int):
+    """Bits of the anchors that are hits, and, from the buckets beyond, the rows with hot ones."""
+
+    def run(key, table):
+        if key[0].as_py() >= n_buckets:
+            _, keys, ids, _ = _unpack(table, 1)
+            return _hot_table(keys, ids, [b""] * len(ids))
+        values, keys, row_ids, counts = _unpack(table, ANCHOR_BYTES)
+        ids = np.repeat(row_ids, counts)
+        order, starts = _groups(values >> U64(1))
+        sizes = np.diff(np.append(starts, len(order)))
+        ids, flag = ids[order], (values[order] & U64(1)).astype(bool)
+        shared = np.logical_or.reduceat(flag, starts) & (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
+        hit = np.zeros(len(order), bool)
+        hit[order] = np.repeat(shared, sizes)
+        return _bits(key[0].as_py(), keys, row_ids, counts, hit)
+
+    return run
+
+
+def _least(n_buckets: int):
+    """Bits of the runs with a smaller document, and, from the buckets beyond, (least document, hash) of each hot run."""
+
+    def run(key, table):
+        values, keys, row_ids, counts = _unpack(table, 8)
+        ids = np.repeat(row_ids, counts)
+        order, starts = _groups(values)
+        least = np.minimum.reduceat(ids[order], starts)
+        if key[0].as_py() >= n_buckets:
+            return _hot_table(np.zeros(len(starts), np.int32), least, [v.tobytes() for v in values[order][starts]])
+        sizes = np.diff(np.append(starts, len(order)))
+        hit = np.zeros(len(order), bool)
+        hit[order] = ids[order] > np.repeat(least, sizes)
+        return _bits(key[0].as_py(), keys, row_ids, counts, hit)
+
+    return run
 
 
 def _marked(row: np.ndarray, bucket: np.ndarray, found: list) -> np.ndarray:
@@ -153,12 +224,14 @@ def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _candidates(words: Words, found: list, block: int, window: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the windows that hold a hit anchor, in order of place."""
+def _candidates(words: Words, found: list, block: int, window: int, n_buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, hash) of the windows that hold a hit anchor, in order of place."""
     row, at, h = _windows(words, block)
     long = words.counts[row] >= window
     row, at, h = row[long], at[long], h[long]
-    hit = _marked(row, _buckets(h, n_buckets), found)
+    hit = _is_hot(h, hot)
+    rest = np.flatnonzero(~hit)
+    hit[rest] = _marked(row[rest], _buckets(h[rest], n_buckets), found)
     places = words.row_off[row[hit]] + at[hit]
     wrow, wat, wh = _windows(words, window)
     # a window from p holds the anchors from p to p + window - block
@@ -213,29 +286,47 @@ def _split(block: int, window: int, n_buckets: int, texts: bool):
     return run
 
 
-def _wide(block: int, window: int, n_buckets: int):
+def _wide(block: int, window: int, n_buckets: int, hot: dict[int, np.ndarray]):
+    """Packed candidate windows; of the hot ones the least id in the task, in buckets beyond."""
+
     def run(batches):
-        hasher = Hasher()
+        hasher, runs = Hasher(), hot[window]
+        least, seen = np.full(len(runs), np.iinfo(np.int64).max), np.zeros(len(runs), bool)
         for batch in batches:
             keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = batch.column(3).to_pylist()
             for lo, hi, words in hasher.chunks(batch.column(2)):
-                row, _, h = _candidates(words, found[lo:hi], block, window, n_buckets)
+                row, _, h = _candidates(words, found[lo:hi], block, window, n_buckets, hot[block])
+                is_hot = _is_hot(h, runs)
+                if is_hot.any():
+                    at = np.searchsorted(runs, h[is_hot])
+                    np.minimum.at(least, at, ids[lo:hi][row[is_hot]])
+                    seen[at] = True
+                    row, h = row[~is_hot], h[~is_hot]
                 yield _packed_batch(list(_pack(_buckets(h, n_buckets), row, h, keys[lo:hi], ids[lo:hi])))
+        at = np.flatnonzero(seen)
+        if len(at):
+            yield _packed_batch(list(_pack(n_buckets + _buckets(runs[at], n_buckets), at, runs[at], np.zeros(len(runs), np.int32), least)))
 
     return run
 
 
-def _apply(block: int, window: int, n_buckets: int, texts: bool):
+def _apply(block: int, window: int, n_buckets: int, texts: bool, hot: dict[int, np.ndarray], least: np.ndarray):
+    """Results of the rows with hits. least: the least document of each hot run."""
+
     def run(batches):
-        hasher = Hasher()
+        hasher, runs = Hasher(), hot[window]
         for batch in batches:
             id_, text = batch.column(0), batch.column(1)
+            ids = id_.to_numpy()
             found, later = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi, words in hasher.chunks(text):
-                row, start, h = _candidates(words, found[lo:hi], block, window, n_buckets)
-                gone = start[_marked(row, _buckets(h, n_buckets), later[lo:hi])]
-                kept = ~_covered(len(words.starts), gone, window)
+                row, start, h = _candidates(words, found[lo:hi], block, window, n_buckets, hot[block])
+                is_hot = _is_hot(h, runs)
+                gone, some, rest = np.zeros(len(h), bool), np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
+                gone[some] = ids[lo:hi][row[some]] > least[np.searchsorted(runs, h[some])]
+                gone[rest] = _marked(row[rest], _buckets(h[rest], n_buckets), later[lo:hi])
+                kept = ~_covered(len(words.starts), start[gone], window)
                 out = [_kept(words, i, kept, texts) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -274,8 +365,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # tasks grow in number with the buckets, not in size
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * n_buckets)
     known = docs.filter("id is not null").select("key", "id", "text")
-    anchors = known.mapInArrow(_anchors(block, window, n_buckets), PACKED).repartition(tasks, "bucket")
-    hits = Stash(anchors.groupBy("bucket").applyInArrow(_probe, BITS), "anchors")
+    hot = _hot_windows(known, n_bytes, block, window)
+    anchors = known.mapInArrow(_anchors(block, window, n_buckets, hot[block]), PACKED).repartition(tasks, "bucket")
+    hits = Stash(anchors.groupBy("bucket").applyInArrow(_probe(n_buckets), BITS), "anchors")
     del anchors
     free_shuffles(docs.sparkSession)
 
@@ -288,10 +380,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits.drop()
 
     open_rows = split.filter("text is not null")
-    wide = open_rows.select("key", "id", "text", "found").mapInArrow(_wide(block, window, n_buckets), PACKED).repartition(tasks, "bucket")
-    later = Stash(wide.groupBy("bucket").applyInArrow(_least, BITS), "repeats").df
-    later = later.dropDuplicates(["key", "id", "bucket"]).groupBy("key", "id").agg(F.collect_list(F.struct("bucket", "bits")).alias("later"))
+    wide = open_rows.select("key", "id", "text", "found").mapInArrow(_wide(block, window, n_buckets, hot), PACKED).repartition(tasks, "bucket")
+    later = Stash(wide.groupBy("bucket").applyInArrow(_least(n_buckets), BITS), "repeats").df
+    least = np.full(len(hot[window]), np.iinfo(np.int64).max)
+    for r in later.filter("bucket < 0").collect():  # a row for each hot run
+        least[np.searchsorted(hot[window], np.frombuffer(r["bits"], U64)[0])] = r["id"]
+    later = later.filter("bucket >= 0").dropDuplicates(["key", "id", "bucket"]).groupBy("key", "id").agg(F.collect_list(F.struct("bucket", "bits")).alias("later"))
     done = open_rows.join(later, ["key", "id"], "left").select("id", "text", "found", "later")
-    done = done.mapInArrow(_apply(block, window, n_buckets, texts), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    done = done.mapInArrow(_apply(block, window, n_buckets, texts, hot, least), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     clean = split.filter("text is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("kept").alias("kept_text"))
     return done.unionByName(clean).unionByName(whole).withColumnRenamed("id", id_col)

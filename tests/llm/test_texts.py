@@ -22,7 +22,11 @@ from .conftest import words_of
 from .test_mixing import near
 
 
-def test_repeats(docs, no_docs):
+@pytest.mark.parametrize(("hot_docs", "max_hot"), [(20, 1 << 17), (2, 7), (10**9, 1 << 17)])
+def test_repeats(docs, no_docs, monkeypatch, hot_docs, max_hot):
+    """Brute force: with the shared passage as hot windows, with a few of all that two have in common, with none."""
+    monkeypatch.setattr(substring_dedup, "HOT_DOCS", hot_docs)
+    monkeypatch.setattr(substring_dedup, "MAX_HOT", max_hot)
     rows = docs.collect()
     first = {}
     texts = [(r.doc_id, words_of(r.text)) for r in rows]
@@ -46,6 +50,21 @@ def test_repeats(docs, no_docs):
     assert drop_repeats(no_docs).collect() == []
 
 
+def test_hot_windows(docs, spark):
+    """What a third of the documents share is hot; it is sent once a task, so no bucket holds it once for each document."""
+    known = docs.filter("doc_id is not null").selectExpr("hash(text) as key", "doc_id as id", "coalesce(text, '') as text")
+    hot = substring_dedup._hot_windows(known, 1 << 20, 25, 50)
+    assert len(hot[50]) >= 21 and len(hot[25]) >= 46
+    shared = spark.range(300).selectExpr("cast(id as int) as key", "id", "concat('w', id, ' ', repeat('and so on ', 40)) as text").coalesce(1)
+    rows = shared.mapInArrow(substring_dedup._anchors(25, 50, 4, np.zeros(0, np.uint64)), substring_dedup.PACKED).selectExpr("sum(length(vals))").first()[0]
+    hot = substring_dedup._hot_windows(shared, 1 << 20, 25, 50)
+    less = shared.mapInArrow(substring_dedup._anchors(25, 50, 4, hot[25]), substring_dedup.PACKED).selectExpr("sum(length(vals))").first()[0]
+    assert less * 20 < rows
+    found = shared.selectExpr("key", "id", "text", "array(struct(-1 as bucket, cast('' as binary) as bits)) as found")
+    wide = found.mapInArrow(substring_dedup._wide(25, 50, 4, hot), substring_dedup.PACKED).filter("bucket >= 4")
+    assert wide.selectExpr("sum(length(vals))").first()[0] == 8 * len(hot[50])
+
+
 def test_kept_words_by_slices(monkeypatch):
     """The same digest and text however long the slices are, with slices of which nothing is kept."""
     hasher, rng = Hasher(), np.random.default_rng(2)
