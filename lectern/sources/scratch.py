@@ -29,8 +29,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its plan is cut, and it outlives lost executors."""
+def scratch(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its plan is cut, and it outlives lost executors. A folder for each value of ``by``."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
