@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chat import format_chats, read_chats
 from lectern.llm.decontaminate import contamination
+from lectern.llm.filter_audit import audit_filters
 from lectern.llm.hmm_scores import score_texts
 from lectern.llm.line_dedup import drop_spread_lines
+from lectern.llm.merkle import folded, leaf_digest, manifest, proof_digest
 from lectern.llm.mixing import mix_taken
 from lectern.llm.near_dups import near_duplicates
+from lectern.llm.packing import pack_documents
 from lectern.llm.quality_lines import judge_quality
 from lectern.llm.secret_scan import scan_secrets
 from lectern.llm.sharding import minimax_shards
@@ -79,10 +82,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the files of the tokenizers, where they are installed
+
+    out = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    leaf = leaf_digest([*fields, F.col("text")]).alias("digest")
+    leaves = docs.select("doc_id", "lang", leaf, F.when(touched, leaf_digest([*fields, lowered])).alias("tampered"))
+    out = manifest(leaves, "lang", "doc_id").withColumn("folded_root", folded(F.coalesce("tampered", "digest"), F.col("proof")))
+    return out.select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_dups, op2_hmm_scores, op3_quality_lines, op4_minimax_shards, op5_decontaminate,
         op6_mix_sources, op7_line_dedup, op8_drop_repeats, op9_format_chats, op10_secret_scan,
+        op11_pack_sequences, op12_merkle_manifest, op13_filter_audit,
     )
 }

@@ -81,3 +81,84 @@ SELECT conv_id, count(*) AS n_turns,
            + CASE WHEN merged THEN 8 ELSE 24 + length(regexp_replace(role, '<(\\*)\|', '<_\1|', 'g')) END) AS BIGINT) AS formatted_chars
 FROM seen GROUP BY conv_id
 """
+
+
+def _told(text: str) -> str:
+    """What a leaf of the manifest is the digest of; ``text`` stands for the text."""
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+
+
+def _levels(name: str, leaves: str, tree: str) -> str:
+    """CTEs of all nodes (tree, level, pos, h) over (tree, pos, h), and of the runs that have a node above them."""
+    return f"""{name} AS (
+  SELECT {tree} AS tree, 0 AS level, pos, h FROM {leaves}
+  UNION ALL SELECT tree, any_value(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, pos // 8
+), {name}_runs AS (
+  SELECT tree, level, pos // 8 AS run, list(h ORDER BY pos) AS hs
+  FROM (SELECT *, max(level) OVER (PARTITION BY tree) AS height FROM {name}) WHERE level < height GROUP BY tree, level, pos // 8
+)"""
+
+
+def _fold(name: str, start: str, nodes: str) -> str:
+    """CTE that folds (id, tree, level, pos, h, proof) up the runs of ``nodes``."""
+    return f"""{name} AS (
+  {start}
+  UNION ALL SELECT id, f.tree, f.level + 1, pos // 8, sha256(array_to_string(hs[1:pos % 8] || [h] || hs[pos % 8 + 2:], '')),
+    proof || array_to_string(hs[1:pos % 8] || hs[pos % 8 + 2:], '')
+  FROM {name} f JOIN {nodes}_runs r ON r.tree IS NOT DISTINCT FROM f.tree AND r.level = f.level AND r.run = f.pos // 8
+)"""
+
+
+#: CRC-32 of the decimal doc_id, bit by bit: a code is mixed in, a -1 shifts.
+_CRC = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Nodes level by level, then every document's leaf folded up to its tree's root and from there to the root.
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, sha256({_told('text')}) AS h,
+    CASE WHEN {_CRC} % 3 = 0 THEN sha256({_told(_LOWERED)}) ELSE sha256({_told('text')}) END AS t
+  FROM documents
+),
+{_levels('node', 'leaf', 'lang')},
+sub AS (SELECT tree AS lang, arg_max(h, level) AS h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos FROM node GROUP BY tree),
+{_levels('upper', 'sub', '0')},
+{_fold('inside', "SELECT doc_id AS id, lang AS tree, 0 AS level, pos, t AS h, '' AS proof FROM leaf", 'node')},
+tops AS (SELECT id, arg_max(tree, level) AS lang, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM inside GROUP BY id),
+{_fold('outside', "SELECT id, 0 AS tree, 0 AS level, sub.pos, tops.h, proof FROM tops JOIN sub ON sub.lang IS NOT DISTINCT FROM tops.lang", 'upper')},
+done AS (SELECT id, arg_max(h, level) AS folded, arg_max(proof, level) AS proof FROM outside GROUP BY id),
+root AS (SELECT arg_max(h, level) AS root FROM upper)
+SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaf JOIN done ON id = doc_id JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang, root
+"""
+
+#: All documents by what they fail, against the steps of all orders.
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+x AS (SELECT *, contains(fails, f) AS failed, length(translate(earlier, fails, '')) < length(earlier) AS gone FROM c, s),
+y AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (failed AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (failed AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (failed AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM y
+"""
