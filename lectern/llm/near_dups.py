@@ -160,7 +160,7 @@ def _sign(shingle: int, k: int, bands: int, weighted: bool):
 
 
 def _sets(shingle: int, weighted: bool):
-    """The sets by their digests: the low 32 bits of the shingles' hashes in order, each followed by its count if weighted."""
+    """The sets by their digests: the shingles' hashes in order, each followed by its count if weighted."""
 
     def run(batches):
         hasher = Hasher()
@@ -169,12 +169,8 @@ def _sets(shingle: int, weighted: bool):
                 row, sh, n = shingle_sets(words, shingle)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 body = np.stack([sh, n.astype(U64)], 1) if weighted else sh
-                digest = [_digest(body[s:t]) for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
-                key, first = np.unique((row.astype(U64) << U64(32)) | (sh & U64(0xFFFFFFFF)), return_index=True)
-                cut = np.searchsorted((key >> U64(32)).astype(np.int64), np.arange(hi - lo + 1))
-                low = key.astype(np.uint32)
-                low = np.stack([low, n[first].astype(np.uint32)], 1) if weighted else low
-                members = [low[s:t].tobytes() for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
+                members = [body[s:t].tobytes() for s, t in zip(cut[:-1], cut[1:], strict=True) if t > s]
+                digest = [hashlib.md5(m).digest() for m in members]
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(members, pa.binary())], ["digest", "members"])
         give_back()
 
@@ -183,17 +179,15 @@ def _sets(shingle: int, weighted: bool):
 
 def jaccard(a: list[bytes], b: list[bytes], weighted: bool) -> np.ndarray:
     """Jaccard similarities of pairs of sets, as ``_sets`` packs them."""
-    out, width = np.zeros(len(a)), 8 if weighted else 4
-    sizes = np.array([(len(x) + len(y)) // width for x, y in zip(a, b, strict=True)], np.int64)
+    out, width = np.zeros(len(a)), 2 if weighted else 1
+    sizes = np.array([(len(x) + len(y)) // (8 * width) for x, y in zip(a, b, strict=True)], np.int64)
     for lo, hi in _slices(sizes, SLICE):
-        sides = a[lo:hi] + b[lo:hi]
-        values = np.frombuffer(b"".join(sides), np.uint32).reshape(-1, width // 4)
-        pair = np.repeat(np.tile(np.arange(hi - lo), 2), [len(x) // width for x in sides])
-        key = (pair.astype(U64) << U64(32)) | values[:, 0]
-        order = np.argsort(key, kind="stable")
-        key, pair = key[order], pair[order]
-        count = values[order, 1].astype(float) if weighted else np.ones(len(key))
-        same = np.flatnonzero(key[1:] == key[:-1])
+        sides = [x for pair in zip(a[lo:hi], b[lo:hi], strict=True) for x in pair]
+        values = np.frombuffer(b"".join(sides), U64).reshape(-1, width)
+        pair = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        order = np.lexsort((values[:, 0], pair))  # pairs stay in place; of each, two runs in order are merged
+        key, count = values[order, 0], values[order, 1].astype(float) if weighted else np.ones(len(order))
+        same = np.flatnonzero((key[1:] == key[:-1]) & (pair[1:] == pair[:-1]))
         both = np.bincount(pair[same], weights=np.minimum(count[same], count[same + 1]), minlength=hi - lo)
         out[lo:hi] = both / (np.bincount(pair, weights=count, minlength=hi - lo) - both)
     return out
@@ -338,8 +332,8 @@ def near_duplicates(
     Null, empty and white-space texts have no shingles: each such row is a class of its own, with
     its own id as class_id. A text of one to four words is one shingle. Repeated rows are one class.
     Null ids never are class_id, unless the whole class has none. Texts of any length are taken whole:
-    a set takes some 16 bytes a word, and the sets of two texts have to fit a task's memory. An empty table
-    gives an empty result. Other columns, whatever their names, are ignored.
+    a set takes 8 bytes a distinct shingle and some 32 while it is made. A task holds the sets of two texts to compare
+    them, and those of 2 * BLOCK texts of a bucket that is searched in blocks. An empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
     k = bands * rows
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

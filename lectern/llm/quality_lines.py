@@ -210,21 +210,26 @@ class Crf:
 
 
     @classmethod
-    def fit_latent(cls, features: np.ndarray, words: np.ndarray, lengths: np.ndarray, bad: np.ndarray, share: float = MIN_SHARE) -> "Crf":
-        """Fits on sequences of which only a label as a whole is known: ``bad`` or not."""
+    def fit_latent(cls, features: np.ndarray, words: np.ndarray, lengths: np.ndarray, bad: np.ndarray, share: float = MIN_SHARE, pieces: np.ndarray | None = None) -> "Crf":
+        """Fits on sequences of lines of documents of which only a label as a whole is known: ``bad`` or not.
+
+        A document is ``pieces`` sequences that follow each other (one without it): its lines' labels have to agree
+        with its own label over all of them.
+        """
         lengths, bad = np.asarray(lengths), np.asarray(bad, bool)
-        seq = np.repeat(np.arange(len(lengths)), lengths)
+        first = np.arange(len(lengths)) if pieces is None else np.cumsum(pieces) - pieces
+        of_doc = np.add.reduceat(lengths, first) if len(lengths) else lengths
         # at first lines are as their documents are; then each by itself, since no document has changed its label yet
-        crf = cls.fit(features, lengths, bad[seq].astype(np.int64), STEPS)
+        crf = cls.fit(features, lengths, np.repeat(bad, of_doc).astype(np.int64), STEPS)
         crf = cls(crf.emit, np.zeros((2, 2)))
         for _ in range(TURNS):
-            label = _agreed(crf.viterbi(features, lengths), features @ crf.emit, words, lengths, bad, share)
+            label = _agreed(crf.viterbi(features, lengths), features @ crf.emit, words, of_doc, bad, share)
             crf = cls.fit(features, lengths, label, STEPS, start=crf)
         return crf
 
 
 def _agreed(label: np.ndarray, score: np.ndarray, words: np.ndarray, lengths: np.ndarray, bad: np.ndarray, share: float) -> np.ndarray:
-    """The labels, with as many lines changed, the likeliest first, as it takes that each sequence's share of content agrees with ``bad``."""
+    """The labels, with as many lines changed, the likeliest first, as it takes that each document's share of content agrees with ``bad``."""
     ends = np.cumsum(lengths)
     for lo, hi, wrong in zip(ends - lengths, ends, bad, strict=True):
         here, n = label[lo:hi], words[lo:hi]
@@ -251,10 +256,10 @@ def _features():
                 spans = list(zip(cut, np.append(cut[1:], len(at)), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(1).take(pa.array(lo + lines.row[cut])), pa.array([lines.features[s:t].tobytes() for s, t in spans], pa.binary()),
+                        *(c.take(pa.array(lo + lines.row[cut])) for c in batch.columns[1:]), pa.array(at[cut] // PIECE_LINES), pa.array([lines.features[s:t].tobytes() for s, t in spans], pa.binary()),
                         pa.array([lines.words[s:t].astype(np.int64).tobytes() for s, t in spans], pa.binary()),
                     ],
-                    ["quality", "features", "words"],
+                    ["quality", "doc", "nth", "features", "words"],
                 )
 
     return run
@@ -264,19 +269,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on the lines of the ``sample_rows`` labelled documents of least hash, in pieces of PIECE_LINES.
 
     If there are more than SAMPLE_PIECES pieces, those of least hash are used. A document is good if its
-    quality is 1, bad if 0 (the least of several). Without labelled documents all lines are content.
+    quality is 1, bad if 0 (the least of several); that is asked of all its pieces together, so one of them may
+    be boilerplate throughout. Without labelled documents all lines are content.
     """
     sample = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "quality")
-    pieces = rows.mapInArrow(_features(), "quality long, features binary, words binary")
-    order = (F.xxhash64("features", "words", "quality"), "features", "words", "quality")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc")).join(F.broadcast(sample), "doc_id")
+    pieces = rows.select("text", "quality", "doc").mapInArrow(_features(), "quality long, doc long, nth long, features binary, words binary")
+    order = (F.xxhash64("doc", "nth"), "doc", "nth", "features", "words", "quality")
     found = pieces.orderBy(*order).limit(SAMPLE_PIECES).collect()  # a piece takes some 10 KB at most
     if not found:
         return Crf.untrained()
+    found.sort(key=lambda r: (r.doc, r.nth))
     words = [np.frombuffer(r.words, np.int64) for r in found]
     features = np.frombuffer(b"".join(r.features for r in found), np.uint8).reshape(-1, N_FEATURES)
-    return Crf.fit_latent(features, np.concatenate(words), np.array([len(w) for w in words]), np.array([r.quality == 0 for r in found]))
+    _, first, pieces_of = np.unique([r.doc for r in found], return_index=True, return_counts=True)
+    return Crf.fit_latent(features, np.concatenate(words), np.array([len(w) for w in words]), np.array([found[i].quality == 0 for i in first]), pieces=pieces_of)
 
 
 def _judge(crf: Crf, min_share: float):

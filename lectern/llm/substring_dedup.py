@@ -5,7 +5,7 @@
 2. Probe: every rolling 25-word window, by hash, in buckets of the hash. Hits are windows whose hash is
    an indexed block and stands in more than one document.
 3. Extend: around every hit, the 50-word windows that hold it. The least document of each of them,
-   found by hash in buckets again, decides; overlapping ones add up to the maximal repeats.
+   found by 128 bits of hash in buckets again, decides; overlapping ones add up to the maximal repeats.
 
 Rows whose whole text stands in a smaller document are settled first and take no part, so a group of
 exact copies is one document here. Windows that very many documents share are known by a sample and never meet
@@ -46,6 +46,11 @@ def _windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, at - words.row_off[row], h
 
 
+def _runs(words: Words, n: int) -> np.ndarray:
+    """128 bits of every n-word window, in two columns; the first is the hash of ``_windows``."""
+    return np.stack([ngrams(words, n)[1], ngrams(words, n, 1031)[1]], 1)
+
+
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return (mix(h) % U64(n)).astype(np.int64)
 
@@ -57,8 +62,15 @@ def _is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
 
 
+def _is_hot_run(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which runs (of two columns) are among the hot ones, sorted by the first column. One of two that share it goes by its bucket."""
+    if not len(hot):
+        return np.zeros(len(h), bool)
+    return (hot[np.minimum(np.searchsorted(hot[:, 0], h[:, 0]), len(hot) - 1)] == h).all(axis=1)
+
+
 def _shared_windows(block: int, window: int):
-    """(width, hash, documents) of the windows that stand in two or more documents of the task."""
+    """(width, hash, second hash, documents) of the windows that stand in two or more documents of the task; blocks have no second hash."""
 
     def run(batches):
         hasher, seen = Hasher(), {block: [], window: []}
@@ -66,27 +78,31 @@ def _shared_windows(block: int, window: int):
             for _, _, words in hasher.chunks(batch.column(0)):
                 for width, found in seen.items():
                     row, _, h = _windows(words, width)
+                    both = _runs(words, width) if width == window else np.stack([h, np.zeros_like(h)], 1)
                     order = np.lexsort((h, row))
-                    row, h = row[order], h[order]
-                    first = np.ones(len(h), bool)
-                    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-                    found.append(h[first])
+                    row, both = row[order], both[order]
+                    first = np.ones(len(both), bool)
+                    first[1:] = (row[1:] != row[:-1]) | (both[1:, 0] != both[:-1, 0])
+                    found.append(both[first])
         for width, found in seen.items():
-            h, n = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
-            h, n = h[n > 1], n[n > 1]
-            widths = pa.array(np.full(len(h), width, np.int32))
-            yield pa.RecordBatch.from_arrays([widths, pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["width", "h", "n"])
+            both = np.concatenate([np.zeros((0, 2), U64), *found])
+            _, at, n = np.unique(both[:, 0], return_index=True, return_counts=True)
+            both, n = both[at[n > 1]], n[n > 1]
+            widths = pa.array(np.full(len(n), width, np.int32))
+            yield pa.RecordBatch.from_arrays([widths, *(pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)), pa.array(n.astype(np.int64))], ["width", "h", "h2", "n"])
 
     return run
 
 
 def _hot_windows(known: DataFrame, n_bytes: int, block: int, window: int) -> dict[int, np.ndarray]:
-    """The sorted hashes of the hot windows of either width."""
+    """The sorted hashes of the hot windows of either width; those of runs in two columns."""
     share = max(1, n_bytes // SAMPLE_BYTES)
     sample = known.filter(F.pmod(F.xxhash64("key", "id"), F.lit(share)) == 0).select("text").repartition(SAMPLE_TASKS)
-    counts = sample.mapInArrow(_shared_windows(block, window), "width int, h long, n long").groupBy("width", "h").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()
-    return {w: np.sort(np.array([r["h"] for r in top if r["width"] == w], np.int64).view(U64)) for w in (block, window)}
+    counts = sample.mapInArrow(_shared_windows(block, window), "width int, h long, h2 long, n long").groupBy("width", "h", "h2").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "h", "h2").limit(MAX_HOT).collect()
+    both = {w: np.array([(r["h"], r["h2"]) for r in top if r["width"] == w], np.int64).reshape(-1, 2).view(U64) for w in (block, window)}
+    runs = both[window][np.lexsort((both[window][:, 1], both[window][:, 0]))]
+    return {block: np.sort(both[block][:, 0]), window: runs}
 
 
 def _pack(bucket: np.ndarray, row: np.ndarray, values: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
@@ -134,10 +150,12 @@ def _anchors(block: int, window: int, n_buckets: int, hot: np.ndarray):
 
 
 def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(values, keys, ids, counts) of a bucket's packed rows."""
+    """(values, keys, ids, counts) of a bucket's packed rows; values of 16 bytes have two columns."""
     raw = {c: b"".join(table[c].to_pylist()) for c in ("keys", "ids", "counts", "vals")}
     keys, ids = np.frombuffer(raw["keys"], np.int32), np.frombuffer(raw["ids"], np.int64)
     counts = np.frombuffer(raw["counts"], np.uint32).astype(np.int64)
+    if width == 16:
+        return np.frombuffer(raw["vals"], U64).reshape(-1, 2), keys, ids, counts
     wide = np.zeros((len(raw["vals"]) // width, 8), np.uint8)
     wide[:, :width] = np.frombuffer(raw["vals"], np.uint8).reshape(-1, width)
     return wide.view(U64).reshape(-1), keys, ids, counts
@@ -187,9 +205,12 @@ def _least(n_buckets: int):
     """Bits of the runs with a smaller document, and, from the buckets beyond, (least document, hash) of each hot run."""
 
     def run(key, table):
-        values, keys, row_ids, counts = _unpack(table, 8)
+        values, keys, row_ids, counts = _unpack(table, 16)
         ids = np.repeat(row_ids, counts)
-        order, starts = _groups(values)
+        order = np.lexsort((values[:, 1], values[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (values[order[1:]] != values[order[:-1]]).any(axis=1)
+        starts = np.flatnonzero(new)
         least = np.minimum.reduceat(ids[order], starts)
         if key[0].as_py() >= n_buckets:
             return _hot_table(np.zeros(len(starts), np.int32), least, [v.tobytes() for v in values[order][starts]])
@@ -225,7 +246,7 @@ def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _candidates(words: Words, found: list, block: int, window: int, n_buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, hash) of the windows that hold a hit anchor, in order of place."""
+    """(row, first word, 128 bits) of the windows that hold a hit anchor, in order of place."""
     row, at, h = _windows(words, block)
     long = words.counts[row] >= window
     row, at, h = row[long], at[long], h[long]
@@ -233,14 +254,14 @@ def _candidates(words: Words, found: list, block: int, window: int, n_buckets: i
     rest = np.flatnonzero(~hit)
     hit[rest] = _marked(row[rest], _buckets(h[rest], n_buckets), found)
     places = words.row_off[row[hit]] + at[hit]
-    wrow, wat, wh = _windows(words, window)
+    wrow, wat, _ = _windows(words, window)
     # a window from p holds the anchors from p to p + window - block
     near = np.zeros(len(words.starts) + 1, np.int64)
     near[places] = 1
     sums = np.concatenate([[0], np.cumsum(near)])
     start = words.row_off[wrow] + wat
     use = sums[start + window - block + 1] > sums[start]
-    return wrow[use], start[use], wh[use]
+    return wrow[use], start[use], _runs(words, window)[use]
 
 
 def _kept(words: Words, i: int, kept: np.ndarray | None, texts: bool) -> tuple[int, str, str | None]:
@@ -297,16 +318,16 @@ def _wide(block: int, window: int, n_buckets: int, hot: dict[int, np.ndarray]):
             found = batch.column(3).to_pylist()
             for lo, hi, words in hasher.chunks(batch.column(2)):
                 row, _, h = _candidates(words, found[lo:hi], block, window, n_buckets, hot[block])
-                is_hot = _is_hot(h, runs)
+                is_hot = _is_hot_run(h, runs)
                 if is_hot.any():
-                    at = np.searchsorted(runs, h[is_hot])
+                    at = np.searchsorted(runs[:, 0], h[is_hot, 0])
                     np.minimum.at(least, at, ids[lo:hi][row[is_hot]])
                     seen[at] = True
                     row, h = row[~is_hot], h[~is_hot]
-                yield _packed_batch(list(_pack(_buckets(h, n_buckets), row, h, keys[lo:hi], ids[lo:hi])))
+                yield _packed_batch(list(_pack(_buckets(h[:, 0], n_buckets), row, h, keys[lo:hi], ids[lo:hi])))
         at = np.flatnonzero(seen)
         if len(at):
-            yield _packed_batch(list(_pack(n_buckets + _buckets(runs[at], n_buckets), at, runs[at], np.zeros(len(runs), np.int32), least)))
+            yield _packed_batch(list(_pack(n_buckets + _buckets(runs[at, 0], n_buckets), at, runs[at], np.zeros(len(runs), np.int32), least)))
 
     return run
 
@@ -322,10 +343,10 @@ def _apply(block: int, window: int, n_buckets: int, texts: bool, hot: dict[int,
             found, later = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi, words in hasher.chunks(text):
                 row, start, h = _candidates(words, found[lo:hi], block, window, n_buckets, hot[block])
-                is_hot = _is_hot(h, runs)
+                is_hot = _is_hot_run(h, runs)
                 gone, some, rest = np.zeros(len(h), bool), np.flatnonzero(is_hot), np.flatnonzero(~is_hot)
-                gone[some] = ids[lo:hi][row[some]] > least[np.searchsorted(runs, h[some])]
-                gone[rest] = _marked(row[rest], _buckets(h[rest], n_buckets), later[lo:hi])
+                gone[some] = ids[lo:hi][row[some]] > least[np.searchsorted(runs[:, 0], h[some, 0])]
+                gone[rest] = _marked(row[rest], _buckets(h[rest, 0], n_buckets), later[lo:hi])
                 kept = ~_covered(len(words.starts), start[gone], window)
                 out = [_kept(words, i, kept, texts) for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
@@ -384,7 +405,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = Stash(wide.groupBy("bucket").applyInArrow(_least(n_buckets), BITS), "repeats").df
     least = np.full(len(hot[window]), np.iinfo(np.int64).max)
     for r in later.filter("bucket < 0").collect():  # a row for each hot run
-        least[np.searchsorted(hot[window], np.frombuffer(r["bits"], U64)[0])] = r["id"]
+        least[np.searchsorted(hot[window][:, 0], np.frombuffer(r["bits"], U64)[0])] = r["id"]
     later = later.filter("bucket >= 0").dropDuplicates(["key", "id", "bucket"]).groupBy("key", "id").agg(F.collect_list(F.struct("bucket", "bits")).alias("later"))
     done = open_rows.join(later, ["key", "id"], "left").select("id", "text", "found", "later")
     done = done.mapInArrow(_apply(block, window, n_buckets, texts, hot, least), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

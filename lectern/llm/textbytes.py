@@ -58,7 +58,7 @@ class Words:
     """The words of some rows.
 
     data, offs: bytes and row offsets; starts, ends: byte spans of the words; row_off: index of each
-    row's first word (and the number of words last); hashes: 64-bit word hashes.
+    row's first word (and the number of words last); hashes: word hashes.
     """
 
     def __init__(self, hasher: "Hasher", data: np.ndarray, offs: np.ndarray):
@@ -104,39 +104,62 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), self.counts)
 
 
+def _powers(base: int, p: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo p."""
+    out = np.ones(n, U64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * U64(pow(base, have, p)) % U64(p)
+        have += more
+    return out
+
+
 class Hasher:
-    """Polynomial hashes of byte spans modulo 2**64 over a random byte table, then scrambled."""
+    """Hashes of byte spans: polynomials in two bases, each modulo a prime below 2**31, side by side in 62 bits, then scrambled.
 
-    BASE = 0x5851F42D4C957F2D
+    Modulo a prime no two byte strings of n bytes share a value in more than n of the bases, so none collide by their
+    make, as they would modulo a power of two; unlike strings of n bytes collide with probability (n / 2**31) ** 2 at most.
+    """
+
+    FIELDS = ((2**31 - 1, 1_226_874_159), (2**31 - 19, 892_745_528))  # primes and bases
 
     def __init__(self):
         self.solid = np.ones(256, bool)
         self.solid[[0x20, *range(0x09, 0x0E)]] = False
-        self.table = seeded(11, 256)
-        self.up = self.down = np.ones(0, U64)
+        self.codes = np.arange(1, 257, dtype=U64)  # no byte is 0, so lengths tell
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+        self._grow(1 << 16)
 
     def _grow(self, n: int) -> None:
-        if len(self.up) <= n:
-            n = max(n + 1, 1 << 16)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                powers = np.full(n, base, U64)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+        if not self.powers or len(self.powers[0][0]) <= n:
+            self.powers = [(_powers(base, p, n + 1), _powers(pow(base, -1, p), p, n + 1)) for p, base in self.FIELDS]
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of spans of at most 2**22 bytes of data: the sums stay below 2**64."""
         self._grow(len(data))
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
+        codes, parts = self.codes[data], []
+        for (p, _), (up, down) in zip(self.FIELDS, self.powers, strict=True):
+            sums = np.zeros(len(data) + 1, U64)
+            np.cumsum(codes * up[: len(data)], out=sums[1:])
+            parts.append((sums[ends] - sums[starts]) % U64(p) * down[starts] % U64(p))
+        return self._joined(parts, ends - starts)
+
+    @staticmethod
+    def _joined(parts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        return mix((sizes.astype(U64) << U64(62)) | (parts[0] << U64(31)) | parts[1])
 
     def whole(self, data: np.ndarray) -> np.ndarray:
         """The hash of all of ``data`` as one span, taken by slices."""
         self._grow(CHUNK_BYTES)
-        total = np.zeros(1, U64)
-        for lo in range(0, len(data), CHUNK_BYTES):
-            part = self.table[data[lo : lo + CHUNK_BYTES]]
-            total += (part * self.up[: len(part)]).sum(dtype=U64, keepdims=True) * np.array([pow(self.BASE, lo, 1 << 64)], U64)
-        return mix(total + U64(len(data)))
+        parts = []
+        for (p, base), (up, _) in zip(self.FIELDS, self.powers, strict=True):
+            total = 0
+            for lo in range(0, len(data), CHUNK_BYTES):
+                codes = self.codes[data[lo : lo + CHUNK_BYTES]]
+                total += int((codes * up[: len(codes)]).sum(dtype=U64)) % p * pow(base, lo, p)
+            parts.append(np.array([total % p], U64))
+        return self._joined(parts, np.array([len(data)]))
 
     def long_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """``spans`` of spans in order, by slices of the data."""
@@ -158,12 +181,12 @@ class Hasher:
             lo = hi
 
 
-def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first word and hash of every run of n words within a row."""
+def ngrams(words: Words, n: int, salt: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word and hash of every run of n words within a row; another hash for each ``salt``."""
     h = words.hashes
     if len(h) < n:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    mult = seeded(17 + n, n) | U64(1)
+    mult = seeded(salt + n, n) | U64(1)
     out = h[: len(h) - n + 1] * mult[0]
     for j in range(1, n):
         out += h[j : len(h) - n + 1 + j] * mult[j]

@@ -113,7 +113,7 @@ def test_recall(spark):
 
 
 def test_weighted_jaccard_of_pairs():
-    pack = lambda d: np.array(sorted(d.items()), np.uint32).tobytes()
+    pack = lambda d: np.array(sorted(d.items()), np.uint64).tobytes()
     a, b, c = {1: 3, 5: 1, 9: 2}, {1: 1, 9: 4, 11: 1}, {7: 1}
     assert np.allclose(near_dups.jaccard([pack(a), pack(a), pack(a)], [pack(b), pack(a), pack(c)], True), [3 / 9, 1, 0])
 
@@ -134,3 +134,10 @@ def test_weighted_classes(spark):
     df = spark.createDataFrame([(1, a), (2, a + " x"), (3, b)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_duplicates(df, weighted=True).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_unrelated_sets_share_nothing():
+    """Millions of different shingles are told apart."""
+    rng = np.random.default_rng(1)
+    a, b = (np.unique(rng.integers(0, 2**64, 2_000_000, dtype=np.uint64)).tobytes() for _ in range(2))
+    assert near_dups.jaccard([a, a, a[:800]], [b, a, a[:1600]], False).tolist() == [0.0, 1.0, 0.5]
