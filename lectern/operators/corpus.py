@@ -64,7 +64,7 @@ def with_ids(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write_corpus(rows: DataFrame, path: str) -> None:
-    """Rows (CHECKPOINT columns, ``position`` for their order in a document) as units with dense ids from 1, and the index over them.
+    """Rows (CHECKPOINT columns, ``position``, of any type, for their order in a document) as units with dense ids from 1, and the index over them.
 
     Types are checked; lists are stored as their joined values.
     """
@@ -78,6 +78,20 @@ def write_corpus(rows: DataFrame, path: str) -> None:
     build_index(written, list(UNIT_WEIGHTS)).save(f"{path}/index")
 
 
+def in_plan_order(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Checkpoint rows (one for each unit, ``position`` for when it was first saved) with ``position`` as ``units`` (IDENTITY, seq, page) order them.
+
+    So it doesn't matter in which attempts and batches they were saved: a unit that stands in several places has its first
+    one's position and its last one's page. Rows of units that are gone come last in their chapter, as they were saved.
+    """
+    places = units.groupBy(*en.IDENTITY).agg(F.min("seq").alias("__place"), F.max_by("page", "seq").alias("__page"))
+    ends = units.groupBy("doc_id", "chapter").agg(F.max("seq").alias("__end"))
+    placed = rows.join(places, en.IDENTITY, "left").join(ends, ["doc_id", "chapter"])
+    gone = F.col("__place").isNull()
+    position = F.struct(F.coalesce("__place", "__end").alias("seq"), gone.alias("gone"), F.when(gone, F.col("position")).alias("saved"))
+    return placed.withColumns({"position": position, "page": F.when(gone, F.col("page")).otherwise(F.col("__page"))}).drop("__place", "__page", "__end")
+
+
 def plan_units(elements: DataFrame, profile: Profile, chapter: str | None = None) -> DataFrame:
     """Units with section text. One chapter if asked for (an error if there is none), else all and the appendices."""
     spans = page_spans(elements, profile.chapter_pages) if profile.chapter_pages else chapter_spans(elements, profile.chapter_re)
@@ -146,9 +160,7 @@ def build(
     rows = read_checkpoint(spark, checkpoint).join(units.select("doc_id", "chapter").distinct(), ["doc_id", "chapter"], "left_semi")
     if prune_stale:
         rows = rows.join(units.select(*en.IDENTITY).distinct(), en.IDENTITY, "left_semi")
-    rows = rows.withColumn("order", F.struct("attempt", "seq"))
-    rows = en.last_wins(rows, en.IDENTITY, "order")
-    rows = rows.withColumn("position", F.col("position.seq") + F.col("position.attempt").cast("long") * 10**15)
+    rows = in_plan_order(en.last_wins(rows.withColumn("order", F.struct("attempt", "seq")), en.IDENTITY, "order"), units)
     write_corpus(en.override_principle(rows, topics), path)
     written = spark.read.schema(UNIT_COLUMNS).parquet(f"{path}/units")
     _tell(written, say, path)

@@ -11,7 +11,7 @@ from lectern.functions.stem import stems
 from lectern.functions.text import fold, match_query, query_tokens, raw_tokens, trim_ws
 from lectern.operators import enrich as en
 from lectern.operators import evaluate, layout, render, segments
-from lectern.operators.corpus import audit
+from lectern.operators.corpus import audit, in_plan_order, with_ids
 from lectern.operators.index import build_index
 from lectern.operators.search import expand, idf, search, search_batch
 from lectern.plans.fixtures import EVENT_PROFILE, LINE_PROFILE, document_units, event_elements, line_spans, table, whole_spans
@@ -195,6 +195,17 @@ def facet_audit(spark, d):
     return audit(units)
 
 
+@query
+def resumed_order(spark, d):
+    """Turns as units that were saved out of order, in three attempts; those from turn 6 on are gone from the plan."""
+    turns = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.when(F.col("turn") < 3, "1").otherwise("2").alias("chapter"), F.sha1("text").alias("digest"), F.col("turn").cast("long").alias("seq"),
+        ((F.col("conv_id") + F.col("turn") * 2) % 3).cast("int").alias("attempt"), F.col("turn").cast("int").alias("page"),
+    )
+    rows = en.last_wins(turns.withColumn("order", F.struct("attempt", "seq")), en.IDENTITY, "order")
+    return with_ids(in_plan_order(rows, turns.filter("seq < 6")), ["doc_id", "position"]).select("id", "doc_id", "chapter", "digest", "page", "attempt")
+
+
 @query
 def enrich_stub(spark, d):
     turns = table(spark, d, "conversations")

@@ -149,6 +149,12 @@ WITH u AS (SELECT source, lang, CASE WHEN quality = 1 THEN 'example' ELSE 'ratio
 SELECT 'chapter' AS facet, lang AS value, count(*) AS n FROM u GROUP BY lang UNION ALL SELECT 'principle', source, count(*) FROM u GROUP BY source
 UNION ALL SELECT 'type', type, count(*) FROM u GROUP BY type UNION ALL SELECT 'needs_enrich', todo, count(*) FROM u GROUP BY todo UNION ALL SELECT 'all', '', count(*) FROM u
 """
+ORACLE["resumed_order"] = """
+WITH t AS (SELECT conv_id AS doc_id, CASE WHEN turn < 3 THEN '1' ELSE '2' END AS chapter, sha1(text) AS digest, turn AS seq, (conv_id + turn * 2) % 3 AS attempt FROM conversations),
+u AS (SELECT doc_id, chapter, digest, min(seq) FILTER (seq < 6) AS place, coalesce(max(seq) FILTER (seq < 6), arg_max(seq, attempt * 1000 + seq)) AS page, arg_max(attempt, attempt * 1000 + seq) AS attempt, min(attempt * 1000 + seq) AS saved FROM t GROUP BY ALL),
+e AS (SELECT doc_id, chapter, max(seq) AS last FROM t WHERE seq < 6 GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY doc_id, coalesce(place, last), place IS NULL, saved) AS id, doc_id, chapter, digest, CAST(page AS INT) AS page, CAST(attempt AS INT) AS attempt FROM u JOIN e USING (doc_id, chapter)
+"""
 ORACLE["enrich_stub"] = """
 SELECT conv_id * 1000 + turn AS seq, sha1(role || '|' || CASE WHEN role = 'system' THEN 'True' ELSE 'False' END || '|' || text)[1:12] AS key, CAST(conv_id AS VARCHAR) AS chapter,
        role AS section, CAST(turn AS INT) AS page, 'stub' AS enrich_model, 0 AS needs_enrich, 'p' AS principle, CASE WHEN role = 'system' THEN 'code' ELSE 'example' END AS type,

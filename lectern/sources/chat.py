@@ -1,6 +1,6 @@
 """An extractor over a chat model that is asked for answers in a schema.
 
-A model may take a schema as the answer's format or as a tool to call. The first way that gives an answer
+A model may take a schema as the answer's format or as a tool to call. The first way that gives a valid answer
 is kept for all later calls, also by the workers that the extractor is sent to.
 """
 
@@ -11,6 +11,8 @@ import urllib.request
 from collections.abc import Callable
 from typing import Any, Protocol
 
+from lectern.operators.enrich import validated
+
 #: Ways to ask for a schema, the stricter one first.
 WAYS = ("json_schema", "function_calling")
 
@@ -41,12 +43,15 @@ class HttpChat:
 class ChatExtractor:
     """Asks a chat model, by the way that it honours.
 
-    make_chat(model, num_ctx) builds the client, once in each process; it has to be picklable. ``way``
-    spares the search for one.
+    make_chat(model, num_ctx) builds the client, once in each process; it has to be picklable. ``validate``
+    gives an answer's fields or raises: a way is kept for an answer that passes, not for one that merely parses.
+    ``way`` spares the search for one.
     """
 
-    def __init__(self, model: str, make_chat: Callable[[str, int], Chat], num_ctx: int = 16384, way: str | None = None):
-        self.model, self.make_chat, self.num_ctx, self.way = model, make_chat, num_ctx, way
+    def __init__(
+        self, model: str, make_chat: Callable[[str, int], Chat], num_ctx: int = 16384, way: str | None = None, validate: Callable[[Any], dict] = validated
+    ):
+        self.model, self.make_chat, self.num_ctx, self.way, self.validate = model, make_chat, num_ctx, way, validate
         self._chat: Chat | None = None
 
     def __getstate__(self) -> dict:
@@ -61,14 +66,12 @@ class ChatExtractor:
         failures = []
         for way in [self.way] if self.way else WAYS:
             try:
-                answer = self._chat.ask(messages, schema, way)
-            except Exception as e:  # this way isn't supported, or failed: the next one may work
+                answer = self.validate(self._chat.ask(messages, schema, way))
+            except Exception as e:  # this way isn't supported, failed, or gave no valid answer: the next one may work
                 failures.append(f"{way}: {e}")
                 continue
-            if isinstance(answer, dict) and set(schema["required"]) <= set(answer):
-                self.way = way
-                return answer
-            failures.append(f"{way}: no valid answer")
+            self.way = way
+            return answer
         raise ValueError(f"{self.model} gave no answer ({'; '.join(failures)})")
 
 

@@ -202,6 +202,31 @@ def test_two_documents_and_a_build_that_breaks_off(spark, instance, tmp_path):
     assert "chapters=6 units=14 num_ctx=8192 model=flaky" in lines and any(x.startswith("built 12 units (0 failed)") for x in lines)
 
 
+def test_a_resumed_build_has_the_order_of_a_straight_one(spark, instance, tmp_path):
+    """Ids, texts and chapters of a build that broke off twice, with a unit in each batch, and of one that didn't: two documents, with appendices."""
+    rows = [(d, i, *r) for d in (2, 1) for i, r in enumerate([*ROWS, *(("para", f"more of it {j}", 9, 0) for j in range(3))])]
+    rows += [(d, 100 + i, "para" if i % 2 else "heading", f"text {d} {i}" if i % 2 else f"1.{i} Title", 9, 0 if i % 2 else 2) for d in (1, 2) for i in range(8)]
+    elements = spark.createDataFrame(rows, ELEMENTS)
+    principles, topics = load_taxonomy(spark, instance / "taxonomy.yaml")
+
+    def make(name, extractor, **o):
+        build(elements, load_profile(instance / "profile.yaml"), principles, topics, load_prompt(instance / "prompt.md"), extractor, str(tmp_path / name / "ck"), str(tmp_path / name / "db"), save_every=3, **o)
+
+    def units(name):
+        return [tuple(r) for r in spark.read.parquet(str(tmp_path / name / "db/units")).orderBy("id").collect()]
+
+    make("straight", en.StubExtractor(PAYLOAD))
+    for word in ("text 2 5", "more of it 2"):
+        with pytest.raises(Exception):
+            make("broken", Breaks(word), resume=True)
+    saved = read_checkpoint(spark, str(tmp_path / "broken/ck")).count()
+    assert 0 < saved < len(units("straight"))
+    extractor = en.StubExtractor(PAYLOAD)
+    make("broken", extractor, resume=True)
+    plain = lambda rows: [(*r[:11], *r[12:]) for r in rows]  # without enrich_model
+    assert plain(units("broken")) == plain(units("straight"))
+
+
 class FakeChat:
     """Honours one way of asking."""
 
@@ -234,6 +259,27 @@ def test_chat_extractor_finds_and_keeps_its_way():
     assert isinstance(extractor, en.Extractor)
 
 
+class WrongTypes(FakeChat):
+    """Answers either way, with all fields, but one of a wrong type by its first."""
+
+    def ask(self, messages, schema, way):
+        FakeChat.asked.append(way)
+        return PAYLOAD if way == self.way else {**PAYLOAD, "key_terms": "a string"}
+
+
+def test_a_way_is_kept_for_valid_answers_only(spark):
+    import functools
+
+    FakeChat.asked.clear()
+    extractor = ChatExtractor("m", functools.partial(WrongTypes, "function_calling"))
+    assert extractor.extract("p", en.SCHEMA) == PAYLOAD and extractor.way == "function_calling"
+    df = spark.createDataFrame([("p", False), ("q", False)], "prompt string, is_code boolean")
+    fresh = ChatExtractor("m", functools.partial(WrongTypes, "function_calling"))
+    assert [r.needs_enrich for r in en.enrich(df, fresh, retries=0).collect()] == [0, 0]
+    with pytest.raises(ValueError, match="key_terms"):
+        ChatExtractor("m", functools.partial(WrongTypes, "neither")).extract("p", en.SCHEMA)
+
+
 def test_build_from_the_command_line_asks_the_endpoint(spark, instance, tmp_path, capsys):
     """Spans of a Parquet table, a model behind HTTP that answers by a tool call alone, and the lines of the report."""
     import http.server
