@@ -9,39 +9,16 @@ from pyspark.sql import functions as F
 
 from lectern.operators.index import Index
 from lectern.operators.search import search_batch
+from lectern.operators.trigram import build_trigrams, containing
 
 CASES = "case_id long, query string, expect_principle string, expect_section string"
 
 
-#: Words of the run by which documents that may hold a passage are found.
-RUN = 8
-
-
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs.*, passages.* of every document (text) that holds a passage (query) as it stands.
-
-    All words of a passage but the first and the last stand whole in such a document, so a run of the
-    first of them is looked up among the documents' runs of that length, by hash; then texts are compared.
-    Passages of one or two words have no such run and are compared with all documents.
-    """
-    words = F.split(F.col("query"), r"\s+")
-    size = F.least(F.size(words) - 2, F.lit(RUN))
-    keyed = passages.withColumn("__n", F.greatest(size, F.lit(0))).withColumn("__run", F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.col("__n")), " ")))
-    lengths = sorted(r[0] for r in keyed.select("__n").distinct().collect())  # at most RUN + 1
-    found = None
-    for n in lengths:
-        some = keyed.filter(F.col("__n") == n)
-        if n:
-            cut = docs.withColumn("__w", F.split("text", r"\s+"))
-            at = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1)).otherwise(F.array().cast("array<int>"))
-            width = F.lit(n)
-            runs = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("__w", i, width), " "))))
-            both = cut.select(*docs.columns, F.explode(runs).alias("__run")).join(some, "__run")
-        else:
-            both = docs.join(some)
-        both = both.filter(F.col("text").contains(F.col("query"))).select(*docs.columns, *passages.columns)
-        found = found.unionByName(both) if found is not None else both
-    return found if found is not None else docs.join(passages)
+    """docs.*, passages.* of every document (doc_id, text) that holds a passage (case_id, query) as it stands."""
+    units = docs.withColumnRenamed("doc_id", "id")
+    found = containing(build_trigrams(units), units, passages)
+    return found.withColumnRenamed("id", "doc_id").select(*docs.columns, *passages.columns)
 
 
 def case_hits(hits: DataFrame, cases: DataFrame) -> DataFrame:

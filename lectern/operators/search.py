@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.stem import stem_word, stems
 from lectern.functions.text import MIN_QUERY_TOKEN, QUERY_TOKEN, query_tokens
-from lectern.operators.index import Index
+from lectern.operators.index import LEAD, Index
 from lectern.sources.scratch import scratch
 
 # Fixed values of the ranking.
@@ -25,6 +26,10 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 MAX_IN_PLAN = 64
 #: Prefixes and terms of queries are broadcast up to so many rows (some 50 MB), else joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows, for each that is asked for, that a query's rarest prefixes bring to find its first threshold.
+FIRST_ROWS = 100
+#: Bounds count as reached this far below a threshold: sums in another order differ by less.
+SLACK = 1e-6
 #: Columns of a corpus and their weights.
 UNIT_WEIGHTS = {"text": 10.0, "context_line": 4.0, "applies_when": 5.0, "key_terms": 8.0, "questions": 4.0}
 
@@ -38,16 +43,23 @@ def phrases_of(queries: DataFrame, stemmed: bool) -> DataFrame:
     return tokens.join(known, "token").select("case_id", "pos", "prefix")
 
 
-def expand(prefixes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(prefix, term) for every term that starts with a prefix.
+def expand(prefixes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(prefix, term, df) for every term that starts with a prefix (distinct ones of ``prefix``).
 
-    An equi-join of the prefixes with the terms' starts of the lengths that prefixes have. Only distinct
-    terms and prefixes take part.
+    A prefix is a range of the terms in order: blocks of its lead are found by an equi-join, those of its range by
+    their fences, and only their terms are looked at. Prefixes shorter than a lead take all blocks whose lead starts so.
     """
-    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # no more than the longest prefix has characters
-    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("term"))
-    starts = vocabulary.select("term", F.explode(fits).alias("n")).select("term", F.col("term").substr(F.lit(1), F.col("n")).alias("prefix"))
-    return starts.join(prefixes.select("prefix"), "prefix").select("prefix", "term")
+    distinct = scratch(prefixes.select("prefix").distinct(), "prefixes")
+    size = F.least(F.length("prefix"), F.lit(LEAD))
+    found = None
+    for n in sorted(r[0] for r in distinct.select(size.alias("n")).distinct().collect()):  # LEAD lengths at most
+        some = distinct.filter(size == n).withColumn("key", F.substring("prefix", 1, n))
+        keyed = blocks.withColumn("key", F.substring("lead", 1, n))
+        here = keyed.join(_small(some, some), "key").filter((F.substr("first", F.lit(1), F.length("prefix")) <= F.col("prefix")) & (F.col("last") >= F.col("prefix")))
+        found = here.select("prefix", "terms") if found is None else found.unionByName(here.select("prefix", "terms"))
+    if found is None:
+        found = blocks.select(F.col("lead").alias("prefix"), "terms").limit(0)
+    return found.select("prefix", F.explode("terms").alias("t")).select("prefix", "t.term", "t.df").filter(F.col("term").startswith(F.col("prefix")))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -60,16 +72,24 @@ def _small(df: DataFrame, rows: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """(case_id, id, score) of every row that matches; lower is better.
+@dataclass
+class Parts:
+    """What rows add to the scores of queries, by prefix: the postings of prefixes, with their final contributions."""
+
+    times: DataFrame  # case_id, prefix, times: how often a query asks for a prefix
+    parts: DataFrame  # prefix, id, part (> 0)
+
 
-    Postings that match are dealt out once, by row: what a row adds to any query is then summed where it is.
-    The tables of the queries' prefixes and terms are written and counted first, and broadcast if they are small.
+def contributions(index: Index, queries: DataFrame, weights: Sequence[float]) -> Parts:
+    """The parts of a batch of queries, each prefix's once, however many of the queries have it.
+
+    Postings that match are dealt out once, by row, and summed where they are. The tables of the queries' prefixes and
+    terms are written and counted first, and broadcast if they are small.
     """
     phrases = phrases_of(queries, index.stemmed)
     times = scratch(phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times")), "phrases")
     prefixes = times.select("prefix").distinct()
-    terms = scratch(expand(prefixes, index.postings.select("term").distinct()), "terms")
+    terms = scratch(expand(prefixes, index.blocks).select("prefix", "term"), "terms")
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
     matched = index.postings.join(_small(terms, terms), "term").select("prefix", "id", "dl", weighted.alias("w")).repartition("id")
     found = matched.groupBy("prefix", "id", "dl").agg(F.sum("w").alias("f"))
@@ -77,8 +97,18 @@ def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFr
     n_docs, avgdl = index.size
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
     part = idf(F.lit(n_docs), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    parts = found.join(_small(df, prefixes), "prefix").select("prefix", "id", part.alias("part"))
-    return parts.join(_small(times, times), "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
+    return Parts(times, found.join(_small(df, prefixes), "prefix").select("prefix", "id", part.alias("part")))
+
+
+def _summed(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """(case_id, id, score): all parts of what is asked for (case_id, prefix, times)."""
+    return parts.join(_small(asked, asked), "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
+
+
+def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """(case_id, id, score) of every row that matches; lower is better."""
+    found = contributions(index, queries, weights)
+    return _summed(found.times, found.parts)
 
 
 def rank_score() -> Column:
@@ -94,19 +124,71 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
 
 
+def _thresholds(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(case_id, theta): the k-th best sum of each query over its rarest prefixes alone; 0 if fewer rows have one. asked: case_id, prefix, times, df."""
+    before = F.sum("df").over(Window.partitionBy("case_id").orderBy("df", "prefix").rowsBetween(Window.unboundedPreceding, -1))
+    rare = asked.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < FIRST_ROWS * k).select("case_id", "prefix", "times")
+    best = top_k(_summed(rare, parts), k)
+    return best.groupBy("case_id").agg(F.when(F.count("*") == k, -F.max("score")).otherwise(0.0).alias("theta"))
+
+
+def best_scores(found: Parts, k: int) -> DataFrame:
+    """(case_id, id, score) of rows that hold the k best of each query; see ``bounded``."""
+    return bounded(found, k)[0]
+
+
+def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that the k best of each query are among, scored in full, and (prefix postings that the queries have, those that were looked at).
+
+    A prefix's postings lie in blocks by what they add, with the most that any of a block adds beside them. A query's
+    prefixes are ordered by their most. The rarest prefixes alone give a k-th best score that the final one can't be
+    below. A row whose highest prefix is p gets no more than its block's most and those of all prefixes
+    below p: blocks where that stays under the threshold bring no candidates, so frequent prefixes, which add
+    little, are hardly looked at. Candidates that may still reach it are summed over all prefixes. Nothing is lost: bounds hold
+    for every row, and what is within SLACK of the threshold stays.
+    """
+    level = F.floor(2 * F.log2("part")).cast("int")
+    parts = scratch(found.parts.withColumn("level", level).repartition("prefix", "level").sortWithinPartitions("prefix", "level"), "parts")
+    blocks = scratch(parts.groupBy("prefix", "level").agg(F.count("*").alias("n"), F.max("part").alias("most")), "blocks")
+    of_prefix = blocks.groupBy("prefix").agg(F.sum("n").alias("df"), F.max("most").alias("peak"))
+    asked = scratch(found.times.join(_small(of_prefix, of_prefix), "prefix").withColumn("peak", F.col("peak") * F.col("times")), "asked")
+    theta = scratch(_thresholds(asked.select("case_id", "prefix", "times", "df"), parts, k), "theta")
+    least = F.coalesce("theta", F.lit(0.0)) - SLACK
+
+    below = F.sum("peak").over(Window.partitionBy("case_id").orderBy("peak", "prefix").rowsBetween(Window.unboundedPreceding, -1))
+    ordered = asked.withColumn("below", F.coalesce(below, F.lit(0.0))).join(_small(theta, theta), "case_id", "left")
+    places = ordered.join(_small(blocks, blocks), "prefix").withColumn("opens", F.col("most") * F.col("times") + F.col("below") >= least)
+    places = scratch(places.select("case_id", "prefix", "level", "times", "n", "most", "opens", "theta"), "places")
+    # the most that a query's blocks which don't open can add
+    closed = places.filter(~F.col("opens")).groupBy("case_id", "prefix").agg(F.max(F.col("most") * F.col("times")).alias("most"))
+    closed = closed.groupBy("case_id").agg(F.sum("most").alias("closed"))
+    opened = places.filter("opens").select("case_id", "prefix", "level", "times")
+    summed = parts.join(_small(opened, opened), ["prefix", "level"]).groupBy("case_id", "id").agg(F.sum(F.col("times") * F.col("part")).alias("sum"))
+    bound = summed.join(_small(theta, theta), "case_id", "left").join(_small(closed, theta), "case_id", "left")
+    candidates = scratch(bound.filter(F.col("sum") + F.coalesce("closed", F.lit(0.0)) >= least).select("case_id", "id"), "candidates")
+
+    ids = candidates.select("id").distinct()
+    theirs = parts.select("prefix", "id", "part").join(_small(ids, ids), "id", "left_semi")
+    wanted = candidates.join(_small(found.times, found.times), "case_id")
+    score = wanted.join(theirs, ["prefix", "id"]).groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
+    figures = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.coalesce(F.sum(F.when(F.col("opens"), F.col("n"))), F.lit(0)).alias("looked_at"))
+    return score, figures
+
+
 def search_batch(index: Index, units: DataFrame, queries: DataFrame, k: int = 5, weights: Sequence[float] = (1.0,), facets: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """(case_id, score, units.*) of the best k units of each query.
 
     facets: column -> values, any of a column and all of the columns; an empty list doesn't filter.
     Scores don't depend on facets. The units' texts join last.
     """
-    scored = scores(index, queries, weights)
+    found = contributions(index, queries, weights)
     wanted = {c: list(v) for c, v in (facets or {}).items() if v}
     if wanted:
         kept = units
         for c, values in wanted.items():
             kept = kept.filter(F.col(c).isin(values))
-        scored = scored.join(kept.select("id"), "id", "left_semi")
+        found.parts = found.parts.join(kept.select("id"), "id", "left_semi")
+    scored = best_scores(found, k) if k > 0 else _summed(found.times, found.parts)
     return top_k(scored, k).join(units, "id").select("case_id", "score", *units.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,12 @@ from lectern.operators import enrich as en
 from lectern.operators import evaluate, layout, render, segments
 from lectern.operators.corpus import audit, in_plan_order, with_ids
 from lectern.operators.index import build_index
+from lectern.operators.living_index import LivingIndex
 from lectern.operators.search import expand, idf, search, search_batch
 from lectern.plans.fixtures import EVENT_PROFILE, LINE_PROFILE, document_units, event_elements, line_spans, table, whole_spans
 from lectern.plans.oracle import ORACLE  # noqa: F401
 from lectern.sources.html import html_elements, html_rows
+from lectern.sources.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIXED_QUERY = "the entire station onion"
@@ -251,7 +254,7 @@ def term_df_idf(spark, d):
 def prefix_expand(spark, d):
     _, index = _documents(spark, d)
     prefixes = table(spark, d, "benchmark").select(F.explode(query_tokens(F.col("text"))).alias("t")).select(F.lower("t").alias("prefix")).distinct()
-    return expand(prefixes, index.postings.select("term").distinct())
+    return expand(prefixes, index.blocks).select("prefix", "term")
 
 
 @query
@@ -284,6 +287,28 @@ def _cases(spark, d):
     return items.join(holds.groupBy("case_id").agg(F.min_by("source", "doc_id").alias("expect_principle")), "case_id", "left").withColumn("expect_section", F.lit(None).cast("string"))
 
 
+@query
+def passage_holders(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
+    return evaluate.holders(docs, items).select("case_id", "doc_id")
+
+
+@query
+def index_changes(spark, d):
+    """An index of documents that were added in two writes, of which a fifth was replaced and a seventh deleted, some to be added again."""
+    units = document_units(table(spark, d, "documents"))
+    index = LivingIndex(spark, f"{scratch_dir(spark)}/living-{uuid.uuid4().hex}", ["text"], False, fan=3)
+    late, gone = F.col("id") % 4 == 3, F.col("id") % 7 == 2
+    changed = F.when(F.col("id") % 5 == 1, F.concat(F.lit("the station entire "), F.col("text"))).otherwise(F.col("text"))
+    index.write(units.filter(~late).select("id", "text"))
+    index.delete(units.filter(gone).select("id"))
+    index.write(units.filter(late & ~gone).select("id", "text"))
+    index.write(units.filter((F.col("id") % 5 == 1) & ~gone).select("id", changed.alias("text")))
+    index.write(units.filter(gone & (F.col("id") % 2 == 0)).select("id", "text"))
+    return search(index.index(), units, FIXED_QUERY, 20, (10.0,)).select(_score(), "id", "section")
+
+
 @query
 def eval_topk(spark, d):
     units, index = _documents(spark, d)

@@ -195,6 +195,10 @@ SELECT term, df, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
 ORACLE["prefix_expand"] = f"""WITH {_DOCS}, {_q('text', '(SELECT item_id AS case_id, text FROM benchmark)')}
 SELECT p.prefix, v.term FROM (SELECT DISTINCT prefix FROM q) p JOIN (SELECT DISTINCT term FROM tf) v ON starts_with(v.term, p.prefix)"""
 ORACLE["bm25_topk"] = f"{_FIXED} SELECT round(score, 6) AS score, id, section, principle, n_chars FROM s JOIN u USING (id) ORDER BY round(s.score, 9), id LIMIT 10"
+ORACLE["index_changes"] = f"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 1 AND doc_id % 7 <> 2 THEN 'the station entire ' || text ELSE text END AS text, lang AS section
+  FROM documents WHERE doc_id % 7 <> 2 OR doc_id % 2 = 0), {_index('d', {'text': 10.0})}, {_q(chr(39) + 'the entire station onion' + chr(39))}, {_BM25}
+SELECT round(score, 6) AS score, id, section FROM s JOIN d USING (id) ORDER BY round(s.score, 9), id LIMIT 20"""
+ORACLE["passage_holders"] = "SELECT item_id AS case_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)"
 ORACLE["bm25_faceted"] = f"""{_FIXED} SELECT round(score, 6) AS score, id, section, principle FROM s JOIN u USING (id)
 WHERE section IN ('en', 'fr') AND principle IN ('src1', 'src2', 'src3', 'src4') ORDER BY round(s.score, 9), id LIMIT 10"""
 ORACLE["bm25_weighted"] = f"""WITH h AS ({ORACLE["html_headings"]}),
