@@ -24,9 +24,9 @@ GROUP_ROWS = 8192
 #: Pieces of text whose ids a task remembers at most (some 60 MB); they are encoded again when it is full.
 REMEMBERED = 1 << 18
 
-# A cut before white space that follows something else is a cut of every byte-level splitter: its tokens have white space at their
-# start only. The first pattern gives the same cuts sooner, for texts whose white space is all in its class.
-PLAIN_PARTS = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+# Where every byte-level splitter cuts, whatever stands around: before white space that follows something else, and between a
+# Latin letter or digit and a mark. The first pattern finds parts by both, for texts whose white space is all in its class.
+PARTS = re.compile(r"[ \n\r\t]*+[0-9A-Za-zÀ-ÖØ-öø-ɏ]++(?=[!-/:-@\[-`{-~])|[ \n\r\t]*+[^ \n\r\t]+|[ \n\r\t]+")
 OTHER_SPACE = re.compile(r"[^\S \n\r\t]")
 CUT = re.compile(r"(?<=\S)(?=[ \n\r\t])")
 
@@ -41,34 +41,40 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.exact, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
-        special = {t.content: i for i, t in self.marked.get_added_tokens_decoder().items() if t.special}
-        self.mark, self.mark_id = next(iter(special.items()), (None, None))  # parts new parts from each other, so that they are encoded in one call
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, parts: set[str]) -> None:
-        alone = {p for p in parts if self.mark is None or self.mark in p}
-        together = list(parts - alone)
+        """Encodes parts: those that begin with white space and don't end with it as one text, which is cut between them, the others alone."""
+        together = [p for p in parts if p[0] in " \n\r\t" and not p[-1].isspace()]
         if together:
-            ids = np.array(self.marked.encode_batch_fast([self.mark.join(together)], add_special_tokens=False)[0].ids, "<u4")
-            for part, own in zip(together, np.split(ids, np.flatnonzero(ids == self.mark_id)), strict=True):
-                self.known[part] = own[own != self.mark_id].tobytes()
-        for part in alone:
-            self.known[part] = self._ids(part)
+            ids = self._ids("".join(together))
+            ends = np.cumsum([len(p.encode()) for p in together])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)
+            data, lo = ids.tobytes(), 0
+            for part, hi in zip(together, cuts.tolist(), strict=True):
+                self.known[part] = data[lo:hi]
+                lo = hi
+        for part in parts.difference(together):
+            self.known[part] = self._ids(part).tobytes()
 
     def _encode(self, text: str) -> bytes:
-        parts = CUT.split(text) if OTHER_SPACE.search(text) else PLAIN_PARTS.findall(text)
+        parts = CUT.split(text) if OTHER_SPACE.search(text) else PARTS.findall(text)
         fresh = set(parts).difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
             fresh = set(parts)
+        fresh.discard("")
         if fresh:
             self._learn(fresh)
-        return b"".join(map(self.known.__getitem__, parts))
+        return b"".join([self.known[p] for p in parts if p])
 
     def __call__(self, text: str) -> bytes:
         """The ids of a whole text, taken by slices that end at a cut."""
