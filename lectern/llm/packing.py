@@ -9,6 +9,8 @@ the squared number of open sequences with that gap smallest.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ from lectern.llm.textbytes import CHUNK_BYTES, give_back, utf8
 
 #: Pieces in a group on average. A group ends with a few sequences that aren't full: 2 in 1,000 at this size, by measurement.
 GROUP_ROWS = 8192
-#: Pieces of text whose ids a task remembers at most (some 60 MB); they are encoded again when it is full.
-REMEMBERED = 1 << 18
+#: Parts of text whose ids a worker remembers at most before the older half of what it knows goes (some 250 MB in all); they are encoded again then.
+REMEMBERED = 1 << 19
 
 # Where every byte-level splitter cuts, whatever stands around: before white space that follows something else, and between a
 # Latin letter or digit and a mark. The first pattern finds parts by both, for texts whose white space is all in its class.
@@ -47,6 +49,7 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -56,25 +59,26 @@ class Encoder:
         together = [p for p in parts if p[0] in " \n\r\t" and not p[-1].isspace()]
         if together:
             ids = self._ids("".join(together))
-            ends = np.cumsum([len(p.encode()) for p in together])
-            cuts = 4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)
-            data, lo = ids.tobytes(), 0
-            for part, hi in zip(together, cuts.tolist(), strict=True):
-                self.known[part] = data[lo:hi]
-                lo = hi
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, together)), np.int64, len(together)))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(together, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
         for part in parts.difference(together):
             self.known[part] = self._ids(part).tobytes()
 
     def _encode(self, text: str) -> bytes:
         parts = CUT.split(text) if OTHER_SPACE.search(text) else PARTS.findall(text)
-        fresh = set(parts).difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set(parts)
-        fresh.discard("")
-        if fresh:
-            self._learn(fresh)
-        return b"".join([self.known[p] for p in parts if p])
+        found = list(map(self.known.get, parts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+            fresh = {parts[i] for i in missing}
+            self.known.update({p: self.older[p] for p in fresh if p in self.older})
+            self._learn(fresh.difference(self.older))
+            for i in missing:
+                found[i] = self.known[parts[i]]
+        return b"".join(found)
 
     def __call__(self, text: str) -> bytes:
         """The ids of a whole text, taken by slices that end at a cut."""
@@ -89,6 +93,14 @@ class Encoder:
         return b"".join(out)
 
 
+def _encoder(path: str) -> Encoder:
+    """This process's encoder: workers live on between tasks, and so does what they know."""
+    kept = sys.modules.setdefault("lectern_encoders", types.ModuleType("lectern_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, Encoder(path))
+    return getattr(kept, path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, ids (binary, 32 bits each) of every piece; a document's ids end with ``end_id``.
 
@@ -99,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = _encoder(tokenizer)
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             offs, lo = utf8(text)[1], 0

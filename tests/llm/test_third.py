@@ -36,8 +36,7 @@ def test_encoder(plain, monkeypatch):
     rng = random.Random(2)
     bits = ["a", "Zeit", "l'été", "12", "!?", "'s", " ", "  ", "\n", "\r\n", "\t", " ", " ", "\x1c", "\x85", "　", "漢字", "<|endoftext|>", "|>", "😀", "é"]
     texts = ["", " ", "<|endoftext|>", *("".join(rng.choices(bits, k=rng.randint(1, 60))) for _ in range(600))]
-    encode = Encoder(PATH)
-    small = Encoder(PATH)
+    encode, small = Encoder(PATH), Encoder(PATH)
     for t in texts:
         want = np.array(plain(t), "<u4").tobytes()
         assert encode(t) == want
