@@ -32,7 +32,9 @@ from lectern.llm.shared import Stash, rows_fit, salted
 from lectern.llm.textbytes import U64, Hasher, Words, give_back, mix, ngrams, seeded
 
 #: Members of a block of a bucket; buckets of more are given new centres before they are searched in blocks.
-BLOCK = 256
+BLOCK = 128
+#: Pairs that are compared together.
+PAIRS = 256
 #: Elements that are compared or thrown darts at in one go.
 SLICE = 1 << 20
 #: Up to this number, hashes of the sets to compare are broadcast (16 MB or so) to leave out all others before the shuffle.
@@ -195,10 +197,11 @@ def jaccard(a: list[bytes], b: list[bytes], weighted: bool) -> np.ndarray:
 
 def _compare(threshold: float, weighted: bool):
     def run(batches):
-        for batch in batches:
-            a, b, x, y = batch.columns
-            mask = pa.array(jaccard(x.to_pylist(), y.to_pylist(), weighted) >= threshold)
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, PAIRS):
+                a, b, x, y = whole.slice(lo, PAIRS).columns
+                mask = pa.array(jaccard(x.to_pylist(), y.to_pylist(), weighted) >= threshold)
+                yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
         give_back()
 
     return run
@@ -212,7 +215,7 @@ def _blocks(k: int, least: int, threshold: float, weighted: bool):
     """
 
     def run(table):
-        digest, members = table["digest"].to_pylist(), table["members"].to_pylist()
+        digest, members = table["digest"].to_pylist(), table["members"]
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, k)
         _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
         place = table["place"].to_numpy()
@@ -229,14 +232,15 @@ def _blocks(k: int, least: int, threshold: float, weighted: bool):
         pairs = pairs[:2, np.argsort(-pairs[2], kind="stable")]
         a, b = [], []
         while pairs.shape[1]:
-            some, pairs = pairs[:, :BLOCK], pairs[:, BLOCK:]
-            alike = jaccard([members[p] for p in some[0]], [members[q] for q in some[1]], weighted)
+            some, pairs = pairs[:, :PAIRS], pairs[:, PAIRS:]
+            alike = jaccard([members[int(p)].as_py() for p in some[0]], [members[int(q)].as_py() for q in some[1]], weighted)
             for p, q in some[:, alike >= threshold].T:
                 if label[p] != label[q]:
                     label[label == label[q]] = label[p]
                     a.append(digest[p])
                     b.append(digest[q])
             pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
+        give_back()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
