@@ -114,7 +114,7 @@ def build(
     """Builds a corpus at ``path`` and returns the report (chapter, units, failed); ``say`` gets its lines as text.
 
     Work is saved at ``checkpoint``, every ``save_every`` units or thousandth of the units, whichever is more: a build
-    that breaks off loses those at most. ``resume`` skips units that succeeded before and tries failed ones again. The first unit is enriched
+    that breaks off loses those at most, and what it had written of them isn't read. ``resume`` skips units that succeeded before and tries failed ones again. The first unit is enriched
     alone, so that the extractor settles before it is sent to the workers. All rows of the checkpoint's
     built chapters are loaded, also of units that are gone, unless ``prune_stale``. Units of several
     documents stay apart. An extractor with a ``num_ctx`` gets one that holds the longest prompt.
@@ -148,14 +148,14 @@ def build(
     for row in first:
         got = en.enrich_one(extractor, row.prompt, row.is_code, prompt.system)
         done = {**row.asDict(), **got, "type": "code" if row.is_code else got["type"], "enrich_model": getattr(extractor, "model", "stub"), "attempt": attempt}
-        write_checkpoint(spark.createDataFrame([tuple(done[c.split()[0]] for c in ROWS.split(", "))], ROWS), checkpoint)
+        write_checkpoint(spark.createDataFrame([tuple(done[c.split()[0]] for c in ROWS.split(", "))], ROWS), checkpoint, f"{attempt}-first")
     rest = todo.filter(~((F.col("doc_id") == first[0].doc_id) & (F.col("chapter") == first[0].chapter) & (F.col("digest") == first[0].digest))) if first else todo
     batches = min(max(1, -(-todo.count() // save_every)), MAX_BATCHES)
     dealt = rest.withColumn("batch", F.pmod(F.xxhash64(*en.IDENTITY), F.lit(batches)).cast("int"))
     dealt = scratch(dealt.repartition("batch"), "batches", by=("batch",))  # so that a batch reads its own rows only
     for i in range(batches):
         some = dealt.filter(F.col("batch") == i).drop("batch")
-        write_checkpoint(en.enrich(some if workers else spread(some), extractor, prompt.system, workers=workers).withColumn("attempt", F.lit(attempt)), checkpoint)
+        write_checkpoint(en.enrich(some if workers else spread(some), extractor, prompt.system, workers=workers).withColumn("attempt", F.lit(attempt)), checkpoint, f"{attempt}-{i}")
 
     rows = read_checkpoint(spark, checkpoint).join(units.select("doc_id", "chapter").distinct(), ["doc_id", "chapter"], "left_semi")
     if prune_stale:

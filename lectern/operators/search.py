@@ -26,6 +26,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 MAX_IN_PLAN = 64
 #: Prefixes and terms of queries are broadcast up to so many rows (some 50 MB), else joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Matching rows of all queries of a batch beyond which their k best are searched under bounds; below it all are summed sooner.
+BOUND_FROM = 20_000_000
 #: Rows, for each that is asked for, that a query's rarest prefixes bring to find its first threshold.
 FIRST_ROWS = 100
 #: Bounds count as reached this far below a threshold: sums in another order differ by less.
@@ -78,13 +80,14 @@ class Parts:
 
     times: DataFrame  # case_id, prefix, times: how often a query asks for a prefix
     parts: DataFrame  # prefix, id, part (> 0)
+    df: DataFrame  # prefix, df
 
 
 def contributions(index: Index, queries: DataFrame, weights: Sequence[float]) -> Parts:
     """The parts of a batch of queries, each prefix's once, however many of the queries have it.
 
-    Postings that match are dealt out once, by row, and summed where they are. The tables of the queries' prefixes and
-    terms are written and counted first, and broadcast if they are small.
+    Postings that match are dealt out once, by row, summed where they are, and written: frequencies and scores both read
+    them. The tables of the queries' prefixes and terms are written and counted first, and broadcast if they are small.
     """
     phrases = phrases_of(queries, index.stemmed)
     times = scratch(phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times")), "phrases")
@@ -92,12 +95,12 @@ def contributions(index: Index, queries: DataFrame, weights: Sequence[float]) ->
     terms = scratch(expand(prefixes, index.blocks).select("prefix", "term"), "terms")
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
     matched = index.postings.join(_small(terms, terms), "term").select("prefix", "id", "dl", weighted.alias("w")).repartition("id")
-    found = matched.groupBy("prefix", "id", "dl").agg(F.sum("w").alias("f"))
-    df = found.groupBy("prefix").agg(F.count("*").alias("df"))
+    found = scratch(matched.groupBy("prefix", "id", "dl").agg(F.sum("w").alias("f")), "found")
+    df = scratch(found.groupBy("prefix").agg(F.count("*").alias("df")), "df")
     n_docs, avgdl = index.size
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
     part = idf(F.lit(n_docs), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    return Parts(times, found.join(_small(df, prefixes), "prefix").select("prefix", "id", part.alias("part")))
+    return Parts(times, found.join(_small(df, df), "prefix").select("prefix", "id", part.alias("part")), df)
 
 
 def _summed(asked: DataFrame, parts: DataFrame) -> DataFrame:
@@ -133,8 +136,9 @@ def _thresholds(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
 
 
 def best_scores(found: Parts, k: int) -> DataFrame:
-    """(case_id, id, score) of rows that hold the k best of each query; see ``bounded``."""
-    return bounded(found, k)[0]
+    """(case_id, id, score) of rows that the k best of each query are among: all that match, or those of ``bounded`` if these are many."""
+    asked = found.times.join(_small(found.df, found.df), "prefix").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    return bounded(found, k)[0] if asked > BOUND_FROM else _summed(found.times, found.parts)
 
 
 def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +151,7 @@ def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
     little, are hardly looked at. Candidates that may still reach it are summed over all prefixes. Nothing is lost: bounds hold
     for every row, and what is within SLACK of the threshold stays.
     """
-    level = F.floor(2 * F.log2("part")).cast("int")
-    parts = scratch(found.parts.withColumn("level", level).repartition("prefix", "level").sortWithinPartitions("prefix", "level"), "parts")
+    parts = found.parts.withColumn("level", F.floor(2 * F.log2("part")).cast("int"))
     blocks = scratch(parts.groupBy("prefix", "level").agg(F.count("*").alias("n"), F.max("part").alias("most")), "blocks")
     of_prefix = blocks.groupBy("prefix").agg(F.sum("n").alias("df"), F.max("most").alias("peak"))
     asked = scratch(found.times.join(_small(of_prefix, of_prefix), "prefix").withColumn("peak", F.col("peak") * F.col("times")), "asked")
@@ -157,15 +160,17 @@ def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
 
     below = F.sum("peak").over(Window.partitionBy("case_id").orderBy("peak", "prefix").rowsBetween(Window.unboundedPreceding, -1))
     ordered = asked.withColumn("below", F.coalesce(below, F.lit(0.0))).join(_small(theta, theta), "case_id", "left")
-    places = ordered.join(_small(blocks, blocks), "prefix").withColumn("opens", F.col("most") * F.col("times") + F.col("below") >= least)
-    places = scratch(places.select("case_id", "prefix", "level", "times", "n", "most", "opens", "theta"), "places")
-    # the most that a query's blocks which don't open can add
-    closed = places.filter(~F.col("opens")).groupBy("case_id", "prefix").agg(F.max(F.col("most") * F.col("times")).alias("most"))
-    closed = closed.groupBy("case_id").agg(F.sum("most").alias("closed"))
-    opened = places.filter("opens").select("case_id", "prefix", "level", "times")
-    summed = parts.join(_small(opened, opened), ["prefix", "level"]).groupBy("case_id", "id").agg(F.sum(F.col("times") * F.col("part")).alias("sum"))
-    bound = summed.join(_small(theta, theta), "case_id", "left").join(_small(closed, theta), "case_id", "left")
-    candidates = scratch(bound.filter(F.col("sum") + F.coalesce("closed", F.lit(0.0)) >= least).select("case_id", "id"), "candidates")
+    places = ordered.join(_small(blocks, blocks), "prefix").withColumn("most", F.col("most") * F.col("times"))
+    places = places.withColumn("opens", F.col("most") + F.col("below") >= least)
+    # the most that a row can get from a prefix whose block with it doesn't open
+    closed = F.coalesce(F.max(F.when(~F.col("opens"), F.col("most"))).over(Window.partitionBy("case_id", "prefix")), F.lit(0.0))
+    places = scratch(places.withColumn("closed", closed).select("case_id", "prefix", "level", "times", "n", "opens", "closed"), "places")
+    hidden = places.groupBy("case_id", "prefix").agg(F.first("closed").alias("closed")).groupBy("case_id").agg(F.sum("closed").alias("hidden"))
+    opened = places.filter("opens").select("case_id", "prefix", "level", "times", "closed")
+    # open parts count in full, in place of what their prefix could hide
+    summed = parts.join(_small(opened, opened), ["prefix", "level"]).groupBy("case_id", "id").agg(F.sum(F.col("times") * F.col("part") - F.col("closed")).alias("sum"))
+    bound = summed.join(_small(hidden, theta), "case_id").join(_small(theta, theta), "case_id", "left")
+    candidates = scratch(bound.filter(F.col("sum") + F.col("hidden") >= least).select("case_id", "id"), "candidates")
 
     ids = candidates.select("id").distinct()
     theirs = parts.select("prefix", "id", "part").join(_small(ids, ids), "id", "left_semi")
@@ -218,7 +223,10 @@ def _scores_of(index: Index, prefixes: Counter[str], weights: Sequence[float]) -
 
 
 def search(index: Index, units: DataFrame, query: str, k: int = 5, weights: Sequence[float] = (1.0,), facets: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """The best k units for one query, best first: score and the units' columns. Nothing if no token is usable."""
+    """The best k units for one query, best first: score and the units' columns. Nothing if no token is usable.
+
+    Up to MAX_IN_PLAN rows are found when this is called; the result then only reads their units.
+    """
     tokens = [t.lower() for t in re.findall(QUERY_TOKEN, query) if len(t) >= MIN_QUERY_TOKEN]
     prefixes = Counter(stem_word(t) if index.stemmed else t for t in tokens)
     if not prefixes:
@@ -231,5 +239,11 @@ def search(index: Index, units: DataFrame, query: str, k: int = 5, weights: Sequ
         if values:
             scored = scored.join(units.filter(F.col(c).isin(list(values))).select("id"), "id", "left_semi")
     scored = scored.select("id", "score").orderBy(rank_score(), "id")
+    if 0 <= k <= MAX_IN_PLAN:  # few rows: their units are looked up by id, which prunes a saved table
+        best = scored.limit(k).collect()
+        score_of = F.create_map(*(F.lit(x) for r in best for x in (r.id, r.score))) if best else F.lit(None)
+        hits = units.filter(F.col("id").isin([r.id for r in best])) if best else units.limit(0)
+        score = score_of[F.col("id")] if best else F.lit(0.0)
+        return hits.select(score.alias("score"), *units.columns).orderBy(rank_score(), "id")
     best = scored.limit(k) if k >= 0 else scored
     return best.join(units, "id").select("score", *units.columns).orderBy(rank_score(), "id")

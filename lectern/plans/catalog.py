@@ -18,6 +18,7 @@ from lectern.operators.living_index import LivingIndex
 from lectern.operators.search import expand, idf, search, search_batch
 from lectern.plans.fixtures import EVENT_PROFILE, LINE_PROFILE, document_units, event_elements, line_spans, table, whole_spans
 from lectern.plans.oracle import ORACLE  # noqa: F401
+from lectern.sources import checkpoints
 from lectern.sources.html import html_elements, html_rows
 from lectern.sources.scratch import scratch_dir
 
@@ -209,6 +210,23 @@ def resumed_order(spark, d):
     return with_ids(in_plan_order(rows, turns.filter("seq < 6")), ["doc_id", "position"]).select("id", "doc_id", "chapter", "digest", "page", "attempt")
 
 
+@query
+def committed_batches(spark, d):
+    """Turns as checkpoint rows in batches by conversation: two that are whole, one of them written twice, one that broke off; then a chapter starts anew."""
+    turns = table(spark, d, "conversations")
+    blank = {c: F.lit(None).cast(t) for c, t in (x.split(" ", 1) for x in checkpoints.ROWS.split(", ")) if c not in ("doc_id", "key", "text", "chapter", "seq", "attempt")}
+    rows = turns.select(
+        F.col("conv_id").alias("doc_id"), F.sha1("text").alias("key"), "text", F.col("role").alias("chapter"), F.col("turn").cast("long").alias("seq"), F.lit(0).alias("attempt")
+    ).withColumns(blank)
+    path = f"{scratch_dir(spark)}/checkpoint-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1):
+        checkpoints.write_checkpoint(rows.filter(F.col("doc_id") % 3 == batch), path, f"0-{batch}")
+    checkpoints._write(rows.filter(F.col("doc_id") % 3 == 2), path)  # and no manifest
+    checkpoints.start_anew(rows.filter("chapter = 'system'"), path)
+    checkpoints.write_checkpoint(rows.filter("chapter = 'system' and seq = 0 and doc_id % 3 = 2").withColumn("attempt", F.lit(1)), path, "1-0")
+    return checkpoints.read_checkpoint(spark, path).select("doc_id", "chapter", "seq", "attempt", "key")
+
+
 @query
 def enrich_stub(spark, d):
     turns = table(spark, d, "conversations")

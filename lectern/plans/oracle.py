@@ -155,6 +155,10 @@ u AS (SELECT doc_id, chapter, digest, min(seq) FILTER (seq < 6) AS place, coales
 e AS (SELECT doc_id, chapter, max(seq) AS last FROM t WHERE seq < 6 GROUP BY ALL)
 SELECT row_number() OVER (ORDER BY doc_id, coalesce(place, last), place IS NULL, saved) AS id, doc_id, chapter, digest, CAST(page AS INT) AS page, CAST(attempt AS INT) AS attempt FROM u JOIN e USING (doc_id, chapter)
 """
+ORACLE["committed_batches"] = """
+SELECT conv_id AS doc_id, role AS chapter, CAST(turn AS BIGINT) AS seq, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS attempt, sha1(text) AS key FROM conversations
+WHERE CASE WHEN role = 'system' THEN turn = 0 AND conv_id % 3 = 2 ELSE conv_id % 3 < 2 END
+"""
 ORACLE["enrich_stub"] = """
 SELECT conv_id * 1000 + turn AS seq, sha1(role || '|' || CASE WHEN role = 'system' THEN 'True' ELSE 'False' END || '|' || text)[1:12] AS key, CAST(conv_id AS VARCHAR) AS chapter,
        role AS section, CAST(turn AS INT) AS page, 'stub' AS enrich_model, 0 AS needs_enrich, 'p' AS principle, CASE WHEN role = 'system' THEN 'code' ELSE 'example' END AS type,

@@ -16,10 +16,12 @@ from lectern.operators.evaluate import CASES, score_cases
 from lectern.operators.index import Index, compact_index
 from lectern.operators.layout import ELEMENTS, SPANS, Profile
 from lectern.operators.search import UNIT_WEIGHTS
+from lectern.sources import checkpoints
 from lectern.sources.chat import ChatExtractor
-from lectern.sources.checkpoints import read_checkpoint
+from lectern.sources.checkpoints import COLUMNS, _write, read_checkpoint, start_anew, write_checkpoint
 from lectern.sources.config import load_cases, load_profile, load_prompt, load_taxonomy
-from lectern.streaming.incremental import PENDING, enrich_stream, index_stream
+from lectern.operators.living_index import LivingIndex
+from lectern.streaming.incremental import PENDING, enrich_stream, index_stream, upsert_stream
 
 PAYLOAD = {"principle": "made up", "type": "definition", "context_line": "about depth", "applies_when": "shallow classes", "key_terms": ["deep", "module"], "questions": ["why?"]}
 PROFILE_YAML = 'section_re: (\\d+\\.\\d+)\nchapter_re: Chapter\\s+(\\d+)\nappendices: {sum: [9, 9]}\n'
@@ -148,6 +150,37 @@ def test_streams(spark, tmp_path):
     assert sorted((r.term, r.id, r.dl) for r in whole.postings.collect()) == [("deep", 0, 2), ("modul", 0, 2), ("modul", 1, 2), ("shallow", 1, 2)] and whole.size == (2, 2.0)
 
 
+def test_checkpoint_batches_are_whole_or_not_there(spark, tmp_path):
+    """Files without a manifest aren't read, a name is written once, and chapters that start anew leave the others."""
+    path = str(tmp_path / "ck")
+    empty = dict.fromkeys(COLUMNS)
+    row = lambda key, chapter, attempt: tuple({**empty, "doc_id": 1, "key": key, "text": f"{key}\n", "chapter": chapter, "attempt": attempt}[c] for c in COLUMNS)
+    rows = lambda *r: spark.createDataFrame(list(r), checkpoints.ROWS)
+    read = lambda: sorted((r.key, r.chapter, r.attempt) for r in read_checkpoint(spark, path).collect())
+    assert read() == []
+    start_anew(rows(row("a", "1", 0)), path)
+    write_checkpoint(rows(row("a", "1", 0), row("b", "2", 0)), path, "0-0")
+    _write(rows(row("lost", "1", 0)), path)
+    write_checkpoint(rows(row("twin", "1", 0)), path, "0-0")
+    write_checkpoint(rows(row("c", "2", 1)), path)
+    assert read() == [("a", "1", 0), ("b", "2", 0), ("c", "2", 1)]
+    start_anew(rows(row("x", "2", 0)), path)
+    assert read() == [("a", "1", 0)]
+    write_checkpoint(rows(row("d", "2", 2)), path, "0-0")
+    assert read() == [("a", "1", 0), ("d", "2", 2)]
+    start_anew(rows(row("x", "2", 0), row("x", "1", 0)), path)
+    assert read() == []
+
+
+def test_units_that_change_in_a_stream(spark, tmp_path):
+    src, index = str(tmp_path / "in"), LivingIndex(spark, str(tmp_path / "ix"), ["text"])
+    for rows in ([(1, 1, "deep module"), (2, 1, "shallow"), (1, 2, "deeper modules")], [(2, 3, "wide"), (3, 1, "new")]):
+        spark.createDataFrame(rows, "id long, version int, text string").coalesce(1).write.mode("append").parquet(src)
+        upsert_stream(spark, src, "id long, version int, text string", index, str(tmp_path / "state")).awaitTermination(120)
+    assert sorted((r.term, r.id) for r in index.index().postings.collect()) == [("deeper", 1), ("modul", 1), ("new", 3), ("wide", 2)]
+    assert index.index().size == (3, 4 / 3)
+
+
 class Malformed:
     """Answers without a field, of an unknown type, or no object at all."""
 

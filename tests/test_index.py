@@ -64,6 +64,7 @@ def test_bounded_gives_the_rows_of_all_scores(spark, monkeypatch, seed, first_ro
     """Whatever rows the first threshold comes from, and by broadcast or shuffle; two weighted columns, ties, facets, k over the number of rows."""
     monkeypatch.setattr(search, "FIRST_ROWS", first_rows)
     monkeypatch.setattr(search, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(search, "BOUND_FROM", 0)
     units, queries = corpus(spark, seed)
     index = build_index(units.select("id", "title", "text"), ["title", "text"], False)
     full = search.scores(index, queries, (10.0, 4.0)).join(units.select("id", "kind"), "id").collect()
