@@ -240,7 +240,6 @@ def _blocks(k: int, least: int, threshold: float, weighted: bool):
                     a.append(digest[p])
                     b.append(digest[q])
             pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
-        give_back()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
