@@ -45,6 +45,21 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_other_columns_go_through(spark, docs, tmp_path):
+    """Columns beyond the five, with names that the operators use themselves, come out of every stage but the last as they went in. The mix cuts texts."""
+    others = lambda df: {tuple(r) for r in df.drop("text", "n_chars").collect()}
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    more = docs.select("*", *(docs.doc_id.alias(c) for c in ("id", "row", "kept", "band", "h", "size", "shard", "taken")))
+    rows = more.filter("length(text) > 200").dropDuplicates(["doc_id"])
+    known = others(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, str(tmp_path))
+        if name != "shard":
+            assert rows.columns == more.columns and others(rows) <= known, name
+        assert rows.count(), name
+
+
 def test_quality_stage(spark, steps):
     base, (docs, kept, *_) = steps
     left = Counter(map(tuple, docs)) - Counter(map(tuple, kept))
