@@ -10,6 +10,9 @@ each time round; slots and blocks join by index.
 
 Sources are drawn in two steps: the driver draws how many slots each group of sources gets, each group
 deals its own out to its sources. That is the same distribution, and the driver holds groups alone.
+
+Tables with a row for each document or block join by sorted shuffle, by hint: they are rows of small numbers that
+Parquet packs into a byte or two, so by the size of their files they would be broadcast at fifty times that.
 """
 
 from __future__ import annotations
@@ -177,7 +180,7 @@ def _many_sources(found: DataFrame, total_share: float, cap: float, seed: int) -
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 4))], names=[x.split()[0] for x in SOURCES.split(", ")])
 
-    return Stash(ranked.select("sid", "source", "size", target.alias("target")).mapInArrow(run, SOURCES), "figures").df
+    return Stash(ranked.select("sid", "source", "size", target.alias("target")).mapInArrow(run, SOURCES), "figures").df.hint("merge")
 
 
 def _sources(rows: DataFrame, total_share: float, cap: float, seed: int) -> DataFrame:
@@ -218,7 +221,7 @@ def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))
     lane = lane.select("sid", "lane", F.coalesce(before, F.lit(0)).alias("before"))
     within = F.sum("size").over(Window.partitionBy("sid", "lane").orderBy("id", "rid").rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("upto", within).join(lane, ["sid", "lane"])
+    placed = placed.withColumn("upto", within).join(lane.hint("merge"), ["sid", "lane"])
     placed = Stash(placed.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).drop("upto", "before", "lane"), "placed").df
 
     dealt, n_slots = _dealt(sources, shards, seed)
@@ -233,7 +236,7 @@ def mix_plan(rows: DataFrame, total_share: float = 1.5, cap: float = 2.0, shards
         "rid", "sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))).alias("block")
     )
     at = F.col("block") * BLOCK
-    parts = spread.join(drawn, ["sid", "block"]).select(
+    parts = spread.join(drawn.hint("merge"), ["sid", "block"]).select(
         "rid", (F.greatest(at, "start") - F.col("start")).alias("lo"), (F.least(at + BLOCK, F.col("start") + F.col("size")) - F.col("start")).alias("hi"), "shards"
     )
     return placed, parts
@@ -254,7 +257,7 @@ def mix_taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     placed, parts = mix_plan(rows, **options)
     shards = F.array_sort(F.array_distinct(F.flatten(F.collect_list("shards"))))
     taken = parts.groupBy("rid").agg(F.sum((F.col("hi") - F.col("lo")) * F.size("shards")).alias("taken"), shards.alias("shards"))
-    out = placed.join(taken, "rid", "left")
+    out = placed.join(taken.hint("merge"), "rid", "left")
     none = F.array().cast("array<int>")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
@@ -273,8 +276,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     parts = parts.withColumn("times", F.size("shards").cast("long"))
     part = F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), F.col("times"))
     taken = parts.groupBy("rid").agg(F.array_sort(F.collect_list(part)).alias("__parts"), F.max("times").alias("__most")).withColumnRenamed("rid", "__rid")
-    taken = Stash(taken.join(placed.select(F.col("rid").alias("__rid"), F.col("size").alias("__size")), "__rid"), "taken").df
-    out = whole.join(taken, "__rid").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__most")))
+    taken = Stash(taken.join(placed.select(F.col("rid").alias("__rid"), F.col("size").alias("__size")).hint("merge"), "__rid"), "taken").df
+    out = whole.join(taken.hint("merge"), "__rid").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__most")))
 
     def text(parts: Column) -> Column:
         kept = F.filter(parts, lambda p: p["times"] >= F.col("__nth"))

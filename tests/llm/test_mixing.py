@@ -78,3 +78,12 @@ def test_many_sources_give_the_same_mix(spark, docs, monkeypatch):
     got = {r.doc_id: r for r in mix_taken(many).collect()}
     assert all(abs(got[i].target - goal[i - 1]) < 1e-6 for i in range(1, 200)) and got[0].target == 0
     assert all(r.taken <= 2 * r["size"] and near(r.taken, min(r.target, 2 * r["size"])) for r in got.values())
+
+
+def test_only_sources_are_broadcast(spark, docs):
+    """Tables with a row for each document or block are not broadcast, however small their files are."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = docs.limit(80).selectExpr("key as rid", "doc_id as id", "source", "cast(n_chars as long) as size")
+    placed, parts = mixing.mix_plan(rows)
+    assert plan(placed).count("BroadcastExchange") == 0 and plan(parts).count("BroadcastExchange") == 1
+    assert "BroadcastExchange" not in plan(mix_documents(docs))
