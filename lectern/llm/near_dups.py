@@ -12,7 +12,8 @@
    that then still hold more than one component are given new centres, round by round, as long as that
    joins much of what is apart.
 5. In the buckets that still hold more than one component, the members outside the largest one are
-   compared with all others, in blocks: signatures first, then exactly, until what is alike is joined.
+   compared with all others but the centre, in blocks of signatures alone. Pairs that these leave over are
+   compared exactly; blocks that leave very many fetch their sets and are searched until what is alike is joined.
    Pairs inside a component are never needed.
 """
 
@@ -33,6 +34,8 @@ from lectern.llm.textbytes import U64, Hasher, Words, give_back, mix, ngrams, se
 
 #: Members of a block of a bucket; buckets of more are given new centres before they are searched in blocks.
 BLOCK = 128
+#: Pairs for a row of a block up to which a block names them; one with more is searched with its sets at hand.
+FEW = 4
 #: Pairs that are compared together.
 PAIRS = 256
 #: Elements that are compared or thrown darts at in one go.
@@ -207,6 +210,41 @@ def _compare(threshold: float, weighted: bool):
     return run
 
 
+def _near(table: pa.Table, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks of a bucket, or of one: the pairs of different components that agree in at least ``least`` coordinates,
+    the most alike first, as row numbers (2, pairs); and a number for the component of each row."""
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, k)
+    _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
+    place = table["place"].to_numpy()
+    one = place.min() == place.max()
+    left, right = (np.arange(len(place)),) * 2 if one else (np.flatnonzero(place == 0), np.flatnonzero(place == 1))
+    found = [np.zeros((3, 0), np.int64)]
+    for p in left:
+        q = right[right > p] if one else right
+        q = q[label[q] != label[p]]
+        alike = (sig[q] == sig[p]).sum(axis=1)
+        use = alike >= least
+        found.append(np.stack([np.full(use.sum(), p), q[use], alike[use]]))
+    pairs = np.concatenate(found, axis=1)
+    return pairs[:2, np.argsort(-pairs[2], kind="stable")], label
+
+
+def _named(k: int, least: int):
+    """The pairs (a, b) of digests of two blocks that ``_near`` finds; one row without any if they are more than FEW for a row."""
+
+    def run(key, table):
+        pairs, _ = _near(table, k, least)
+        if pairs.shape[1] > FEW * table.num_rows:
+            a = b = [None]
+        else:
+            digest = table["digest"].to_pylist()
+            a, b = ([digest[p] for p in side] for side in pairs)
+        place = [pa.array([x.as_py()] * len(a), pa.int64()) for x in key]
+        return pa.table([*place, pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["band", "i", "j", "a", "b"])
+
+    return run
+
+
 def _blocks(k: int, least: int, threshold: float, weighted: bool):
     """Links between the components of two blocks of a bucket, or within one, enough of them to join what the exact comparison joins.
 
@@ -216,20 +254,7 @@ def _blocks(k: int, least: int, threshold: float, weighted: bool):
 
     def run(table):
         digest, members = table["digest"].to_pylist(), table["members"]
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, k)
-        _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
-        place = table["place"].to_numpy()
-        one = place.min() == place.max()
-        left, right = np.flatnonzero(place == 0), np.arange(len(place)) if one else np.flatnonzero(place == 1)
-        found = [np.zeros((3, 0), np.int64)]
-        for p in left:
-            q = right[right > p] if one else right
-            q = q[label[q] != label[p]]
-            alike = (sig[q] == sig[p]).sum(axis=1)
-            use = alike >= least
-            found.append(np.stack([np.full(use.sum(), p), q[use], alike[use]]))
-        pairs = np.concatenate(found, axis=1)
-        pairs = pairs[:2, np.argsort(-pairs[2], kind="stable")]
+        pairs, label = _near(table, k, least)
         a, b = [], []
         while pairs.shape[1]:
             some, pairs = pairs[:, :PAIRS], pairs[:, PAIRS:]
@@ -271,14 +296,17 @@ class _Buckets:
     def __init__(self, members: DataFrame, links: DataFrame):
         self.spark, self.links = members.sparkSession, [Stash(links, "links")]
         label = components(self.links[0].df).select(F.col("node").alias("digest"), "label")
-        self.named = Stash(members.join(label, "digest", "left").select("band", "digest", F.coalesce("label", "digest").alias("label")), "named")
+        self.named = Stash(members.join(label, "digest", "left").select("band", "digest", "centre", F.coalesce("label", "digest").alias("label")), "named")
         self.measure()
 
     def measure(self) -> None:
-        """mixed: the buckets of more than one component, with the largest one and the numbers of members in it and outside."""
+        """mixed: the buckets of more than one component, with the largest one and the numbers of members in it and outside.
+
+        Buckets of two are none: their members have been compared, one being the centre.
+        """
         per = self.named.df.groupBy("band", "label").agg(F.count("*").alias("n"))
         per = per.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_other"))
-        self.mixed = Stash(per.filter("n_other > 0"), "mixed")
+        self.mixed = Stash(per.filter("n_other > 0 and n_main + n_other > 2"), "mixed")
 
     def add(self, links: DataFrame) -> bool:
         """Joins what new links (between digests) join; whether there are any."""
@@ -289,7 +317,7 @@ class _Buckets:
         of = self.named.df.select("digest", "label").distinct()
         ends = more.df.join(of.select(F.col("digest").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("digest").alias("b"), F.col("label").alias("lb")), "b")
         moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        old, self.named = self.named, Stash(self.named.df.join(moved, "label", "left").select("band", "digest", F.coalesce("to", "label").alias("label")), "named")
+        old, self.named = self.named, Stash(self.named.df.join(moved, "label", "left").select("band", "digest", "centre", F.coalesce("to", "label").alias("label")), "named")
         old.drop()
         return True
 
@@ -309,8 +337,9 @@ class _Buckets:
         """(band, i, j, place, digest, label): every pair of blocks of a mixed bucket, less those inside the largest component.
 
         Blocks of members outside the largest component have even numbers, the others odd ones; place tells the two of a pair apart.
+        The centre is in no block, as all members have been compared with it.
         """
-        rows = self.named.df.join(self.mixed.df, "band")
+        rows = self.named.df.filter("digest <> centre").join(self.mixed.df, "band")
         other = F.col("label") != F.col("main")
         count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("digest"), F.when(other, count("n_other")).otherwise(count("n_main"))).cast("int")
@@ -366,14 +395,22 @@ def near_duplicates(
         if left > 0.9 * before:
             break
 
-    rest = state.blocks()
+    rest = Stash(state.blocks(), "blocks")
     sigs = signed.filter("digest is not null").select("digest", "sig").dropDuplicates(["digest"])
-    sigs = sigs.join(rest.select("digest").distinct(), "digest", "left_semi").join(sets.df, "digest")
+    sigs = Stash(sigs.join(rest.df.select("digest").distinct(), "digest", "left_semi"), "sigs")
     # at similarity 0.8 under 0.6 of 80 coordinates agree with probability 1e-5 and less above it
-    more = rest.join(sigs, "digest").groupBy("band", "i", "j").applyInArrow(_blocks(k, int(k * threshold * 0.75), threshold, weighted), "a binary, b binary")
-    state.add(more.distinct())
+    least = int(k * threshold * 0.75)
+    near = rest.df.join(sigs.df, "digest").groupBy("band", "i", "j").applyInArrow(_named(k, least), "band long, i long, j long, a binary, b binary")
+    near = Stash(near, "near")
+    state.add(_linked(near.df.filter("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets.df, threshold, weighted))
+    full = near.df.filter("a is null").select("band", "i", "j")
+    if full.limit(1).count():
+        theirs = sigs.df.join(sets.df, "digest").join(state.named.df.select("digest", "label").distinct(), "digest")
+        more = rest.df.drop("label").join(full, ["band", "i", "j"], "left_semi").join(theirs, "digest")
+        more = more.groupBy("band", "i", "j").applyInArrow(_blocks(k, least, threshold, weighted), "a binary, b binary")
+        state.add(more.distinct())
     label = state.named.df.select("digest", "label").distinct()
-    for stash in (sets, state.mixed, *state.links):
+    for stash in (sets, state.mixed, rest, sigs, near, *state.links):
         stash.drop()
 
     rows_ = signed.select("id", "digest", "n_shingles")

@@ -94,6 +94,29 @@ def test_blocks_and_new_centres_find_what_stars_miss(spark, monkeypatch):
         assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == want
 
 
+def test_what_was_compared_with_the_centre_is_in_no_block(spark):
+    """Buckets of two, and the centres of others, have had all their comparisons; the rest goes out once for each pair of blocks."""
+    rows = [(1, "a", "a"), (1, "b", "a"), (2, "c", "d"), (2, "d", "d"), (2, "e", "d"), (2, "f", "d")]
+    members = spark.createDataFrame([(band, x.encode(), c.encode()) for band, x, c in rows], "band long, digest binary, centre binary")
+    links = spark.createDataFrame([(b"d", b"e")], "a binary, b binary")
+    got = near_dups._Buckets(members, links).blocks().collect()
+    assert sorted((r.band, r.i, r.j, r.place, r.digest) for r in got) == [
+        (2, 0, 0, 0, b"c"), (2, 0, 0, 0, b"f"), (2, 0, 1, 0, b"c"), (2, 0, 1, 0, b"f"), (2, 0, 1, 1, b"e"),
+    ]
+
+
+def test_blocks_name_pairs_or_are_searched_with_their_sets(spark, monkeypatch):
+    """The same classes whether blocks name their pairs by signatures or all fetch their sets."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 900)]
+    texts = [" ".join(words[i * 9 : i * 9 + 200]) for i in range(60)]  # 187 of 205 shingles shared with the next text
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    for few in (0, 1000):
+        monkeypatch.setattr(near_dups, "FEW", few)
+        assert {r.class_id for r in near_duplicates(df).collect()} == {0}
+
+
 def test_recall(spark):
     """Of all pairs of similarity 0.8 or more, by an inverted index, those in one class: all but the few that share no band."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
