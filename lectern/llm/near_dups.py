@@ -13,7 +13,7 @@
    joins much of what is apart.
 5. In the buckets that still hold more than one component, the members outside the largest one are
    compared with all others but the centre, in blocks of signatures alone. Pairs that these leave over are
-   compared exactly; blocks that leave very many fetch their sets and are searched until what is alike is joined.
+   compared exactly; buckets that leave very many fetch their sets and are searched until what is alike is joined.
    Pairs inside a component are never needed.
 """
 
@@ -34,7 +34,9 @@ from lectern.llm.textbytes import U64, Hasher, Words, give_back, mix, ngrams, se
 
 #: Members of a block of a bucket; buckets of more are given new centres before they are searched in blocks.
 BLOCK = 128
-#: Pairs for a row of a block up to which a block names them; one with more is searched with its sets at hand.
+#: Members of a block of signatures alone, which are 320 bytes each.
+SIG_BLOCK = 1024
+#: Pairs for a row of a block up to which a block names them; a bucket with more is searched with its sets at hand.
 FEW = 4
 #: Pairs that are compared together.
 PAIRS = 256
@@ -210,21 +212,24 @@ def _compare(threshold: float, weighted: bool):
     return run
 
 
-def _near(table: pa.Table, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(table: pa.Table, k: int, least: int, most: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
     """Of two blocks of a bucket, or of one: the pairs of different components that agree in at least ``least`` coordinates,
-    the most alike first, as row numbers (2, pairs); and a number for the component of each row."""
+    the most alike first, as row numbers (2, pairs), not all of them once they are over ``most``; and a number for the component of each row."""
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, k)
     _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
     place = table["place"].to_numpy()
     one = place.min() == place.max()
     left, right = (np.arange(len(place)),) * 2 if one else (np.flatnonzero(place == 0), np.flatnonzero(place == 1))
-    found = [np.zeros((3, 0), np.int64)]
+    found, n = [np.zeros((3, 0), np.int64)], 0
     for p in left:
+        if n > most:
+            break
         q = right[right > p] if one else right
         q = q[label[q] != label[p]]
         alike = (sig[q] == sig[p]).sum(axis=1)
         use = alike >= least
         found.append(np.stack([np.full(use.sum(), p), q[use], alike[use]]))
+        n += found[-1].shape[1]
     pairs = np.concatenate(found, axis=1)
     return pairs[:2, np.argsort(-pairs[2], kind="stable")], label
 
@@ -233,7 +238,7 @@ def _named(k: int, least: int):
     """The pairs (a, b) of digests of two blocks that ``_near`` finds; one row without any if they are more than FEW for a row."""
 
     def run(key, table):
-        pairs, _ = _near(table, k, least)
+        pairs, _ = _near(table, k, least, FEW * table.num_rows)
         if pairs.shape[1] > FEW * table.num_rows:
             a = b = [None]
         else:
@@ -333,7 +338,7 @@ class _Buckets:
         apart = rows.join(centre, "band").filter(F.col("label") != F.col("c.label"))
         return apart.select(F.greatest("digest", F.col("c.d")).alias("a"), F.least("digest", F.col("c.d")).alias("b")).distinct()
 
-    def blocks(self) -> DataFrame:
+    def blocks(self, size: int) -> DataFrame:
         """(band, i, j, place, digest, label): every pair of blocks of a mixed bucket, less those inside the largest component.
 
         Blocks of members outside the largest component have even numbers, the others odd ones; place tells the two of a pair apart.
@@ -341,7 +346,7 @@ class _Buckets:
         """
         rows = self.named.df.filter("digest <> centre").join(self.mixed.df, "band")
         other = F.col("label") != F.col("main")
-        count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        count = lambda c: F.ceil(F.col(c) / size).cast("int")
         mine = F.pmod(F.xxhash64("digest"), F.when(other, count("n_other")).otherwise(count("n_main"))).cast("int")
         rows = rows.withColumn("blk", 2 * mine + F.when(other, 0).otherwise(1))
         evens = F.transform(F.sequence(F.lit(0), count("n_other") - 1), lambda x: 2 * x)
@@ -395,7 +400,7 @@ def near_duplicates(
         if left > 0.9 * before:
             break
 
-    rest = Stash(state.blocks(), "blocks")
+    rest = Stash(state.blocks(SIG_BLOCK), "blocks")
     sigs = signed.filter("digest is not null").select("digest", "sig").dropDuplicates(["digest"])
     sigs = Stash(sigs.join(rest.df.select("digest").distinct(), "digest", "left_semi"), "sigs")
     # at similarity 0.8 under 0.6 of 80 coordinates agree with probability 1e-5 and less above it
@@ -403,10 +408,12 @@ def near_duplicates(
     near = rest.df.join(sigs.df, "digest").groupBy("band", "i", "j").applyInArrow(_named(k, least), "band long, i long, j long, a binary, b binary")
     near = Stash(near, "near")
     state.add(_linked(near.df.filter("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sets.df, threshold, weighted))
-    full = near.df.filter("a is null").select("band", "i", "j")
+    full = near.df.filter("a is null").select("band").distinct()
     if full.limit(1).count():
-        theirs = sigs.df.join(sets.df, "digest").join(state.named.df.select("digest", "label").distinct(), "digest")
-        more = rest.df.drop("label").join(full, ["band", "i", "j"], "left_semi").join(theirs, "digest")
+        state.mixed.drop()
+        state.measure()
+        theirs = sigs.df.join(sets.df, "digest")
+        more = state.blocks(BLOCK).join(full, "band", "left_semi").join(theirs, "digest")
         more = more.groupBy("band", "i", "j").applyInArrow(_blocks(k, least, threshold, weighted), "a binary, b binary")
         state.add(more.distinct())
     label = state.named.df.select("digest", "label").distinct()

@@ -99,7 +99,7 @@ def test_what_was_compared_with_the_centre_is_in_no_block(spark):
     rows = [(1, "a", "a"), (1, "b", "a"), (2, "c", "d"), (2, "d", "d"), (2, "e", "d"), (2, "f", "d")]
     members = spark.createDataFrame([(band, x.encode(), c.encode()) for band, x, c in rows], "band long, digest binary, centre binary")
     links = spark.createDataFrame([(b"d", b"e")], "a binary, b binary")
-    got = near_dups._Buckets(members, links).blocks().collect()
+    got = near_dups._Buckets(members, links).blocks(4).collect()
     assert sorted((r.band, r.i, r.j, r.place, r.digest) for r in got) == [
         (2, 0, 0, 0, b"c"), (2, 0, 0, 0, b"f"), (2, 0, 1, 0, b"c"), (2, 0, 1, 0, b"f"), (2, 0, 1, 1, b"e"),
     ]
@@ -112,6 +112,7 @@ def test_blocks_name_pairs_or_are_searched_with_their_sets(spark, monkeypatch):
     texts = [" ".join(words[i * 9 : i * 9 + 200]) for i in range(60)]  # 187 of 205 shingles shared with the next text
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(near_dups, "BLOCK", 4)
+    monkeypatch.setattr(near_dups, "SIG_BLOCK", 8)
     for few in (0, 1000):
         monkeypatch.setattr(near_dups, "FEW", few)
         assert {r.class_id for r in near_duplicates(df).collect()} == {0}
