@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.layout import Profile
+from lectern.sources.scratch import dealt
 
 #: Lines of documents as spans: words with a digit are set as code, capitalised ones as headings.
 LINE_PROFILE = Profile(code_font="Mono", head_font="Head", chapter_size=8.0, figure_min_area=5000)
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_spans(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    """Words as spans. Texts are dealt by document first, so lines are put together where they are and no word is shuffled."""
+    lines = dealt(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     words = lines.select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("span", "w"))
     font = F.when(F.col("w").rlike("[0-9]"), "Mono-Regular").when(F.col("w").rlike("^[A-Z]"), "Head-Bold").otherwise("Serif")
     return words.select(

@@ -29,6 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by ``key`` in as many parts as a shuffle or ``df`` itself has, whichever is more: what is then grouped by the key is not shuffled again."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    return df.repartition(n, key)
+
+
 def scratch(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written once to the shared folder and read back: its plan is cut, and it outlives lost executors. A folder for each value of ``by``."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
