@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.stem import stems
 from lectern.functions.text import fold, index_tokens, raw_tokens
-from lectern.sources.scratch import scratch, spread
+from lectern.sources.scratch import dealt, scratch
 
 POSTINGS = "term string, id long, dl long, tf array<long>"
 LENGTHS = "id long, dl long"
@@ -84,11 +84,11 @@ def _is_there(spark: SparkSession, path: str) -> bool:
 def build_index(units: DataFrame, columns: list[str], stemmed: bool = True) -> Index:
     """Index of the text columns of ``units`` (id and columns). Arrays are indexed as their joined values.
 
-    Texts are cut once: the counts by token and row are written to the shared folder, and terms, postings and
-    lengths come from them. Stems are found once for each distinct token and joined back. A row without
-    tokens has a length of 0.
+    Texts are dealt by id, so a row's tokens are counted where it is and no token is shuffled, then cut once: the counts by
+    token and row are written to the shared folder, and terms, postings and lengths come from them. Stems are found
+    once for each distinct token and joined back. A row without tokens has a length of 0.
     """
-    units = spread(units)
+    units = dealt(units, "id")
     kinds = dict(units.dtypes)
     text = {c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c) for c in columns}
     cut = raw_tokens if stemmed else index_tokens
