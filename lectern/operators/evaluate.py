@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.index import Index
-from lectern.operators.search import search_batch
-from lectern.operators.trigram import build_trigrams, containing
+from lectern.operators.passages import holding
+from lectern.operators.search import search_batch, small
 
 CASES = "case_id long, query string, expect_principle string, expect_section string"
 
 
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs.*, passages.* of every document (doc_id, text) that holds a passage (case_id, query) as it stands."""
-    units = docs.withColumnRenamed("doc_id", "id")
-    found = containing(build_trigrams(units), units, passages)
-    return found.withColumnRenamed("id", "doc_id").select(*docs.columns, *passages.columns)
+    pairs = holding(docs.select(F.col("doc_id").alias("id"), "text"), passages.select("case_id", "query")).withColumnRenamed("id", "doc_id")
+    return docs.join(small(pairs, pairs), "doc_id").join(small(passages, passages), "case_id").select(*docs.columns, *passages.columns)
 
 
 def case_hits(hits: DataFrame, cases: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 MAX_IN_PLAN = 64
 #: Prefixes and terms of queries are broadcast up to so many rows (some 50 MB), else joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Prefixes that share a lead at most, to be compared one by one with the terms that have it.
+LEAD_PREFIXES = 256
 #: Matching rows of all queries of a batch beyond which their k best are searched under bounds; below it all are summed sooner.
-BOUND_FROM = 20_000_000
+#: (Summed where they are, 34 million take 55 s and 233 MB of shuffle; under bounds, candidates meeting parts by query, 69 s and 660 MB.)
+BOUND_FROM = 10_000_000_000
+#: Parts that a task adds up at most, on average.
+TASK_PARTS = 4_000_000
 #: Rows, for each that is asked for, that a query's rarest prefixes bring to find its first threshold.
 FIRST_ROWS = 100
 #: Bounds count as reached this far below a threshold: sums in another order differ by less.
@@ -57,7 +63,7 @@ def expand(prefixes: DataFrame, blocks: DataFrame) -> DataFrame:
     for n in sorted(r[0] for r in distinct.select(size.alias("n")).distinct().collect()):  # LEAD lengths at most
         some = distinct.filter(size == n).withColumn("key", F.substring("prefix", 1, n))
         keyed = blocks.withColumn("key", F.substring("lead", 1, n))
-        here = keyed.join(_small(some, some), "key").filter((F.substr("first", F.lit(1), F.length("prefix")) <= F.col("prefix")) & (F.col("last") >= F.col("prefix")))
+        here = keyed.join(small(some, some), "key").filter((F.substr("first", F.lit(1), F.length("prefix")) <= F.col("prefix")) & (F.col("last") >= F.col("prefix")))
         found = here.select("prefix", "terms") if found is None else found.unionByName(here.select("prefix", "terms"))
     if found is None:
         found = blocks.select(F.col("lead").alias("prefix"), "terms").limit(0)
@@ -69,49 +75,91 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.when(value <= 0, F.lit(IDF_FLOOR)).otherwise(value)
 
 
-def _small(df: DataFrame, rows: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: DataFrame) -> DataFrame:
     """``df``, to be broadcast if ``rows``, of which it has no more, are at most BROADCAST_ROWS."""
     return F.broadcast(df) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 @dataclass
 class Parts:
-    """What rows add to the scores of queries, by prefix: the postings of prefixes, with their final contributions."""
+    """What rows add to the scores of queries, by prefix: how often each row has it, kept by row, and what that counts."""
 
-    times: DataFrame  # case_id, prefix, times: how often a query asks for a prefix
-    parts: DataFrame  # prefix, id, part (> 0)
-    df: DataFrame  # prefix, df
+    asked: DataFrame  # case_id, prefix (a number), times, df, idf: how often a query asks for a prefix, and how rare it is
+    hits: DataFrame  # id, dl, prefixes, fs: the prefixes that a row has and their weighted counts, side by side
+    avgdl: float
+
+    def parts(self, hits: DataFrame) -> DataFrame:
+        """(prefix, id, sat) of every prefix of every row; a prefix adds idf * sat to a query that asks for it once."""
+        each = hits.select("id", "dl", F.inline(F.arrays_zip("prefixes", "fs"))).toDF("id", "dl", "prefix", "f")
+        norm = K1 * (1 - B + B * F.col("dl") / F.lit(self.avgdl))
+        return each.select("prefix", "id", (F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("sat"))
+
+    @cached_property
+    def postings(self) -> int:
+        """Parts that all queries ask for."""
+        return self.asked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows by id, in as many tasks as adding up the parts takes."""
+        return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.postings // TASK_PARTS + 1), "id")
+
+    def added(self) -> DataFrame:
+        """(case_id, id, part) of all that is asked for. Only rows of hits are dealt out: what is summed by row then is where it is."""
+        rows = self.parts(self.dealt(self.hits))
+        return rows.join(small(self.asked, self.asked), "prefix").select("case_id", "id", (F.col("times") * F.col("idf") * F.col("sat")).alias("part"))
+
+
+def matching(postings: DataFrame, prefixes: DataFrame, index: Index) -> DataFrame:
+    """postings.*, code for each of ``prefixes`` (prefix, code) that a posting's term starts with.
+
+    Prefixes that can be broadcast meet postings by the lead of the term, so no posting is shuffled. Where a lead has more
+    than LEAD_PREFIXES of them, all starts of a term are looked up; more prefixes than that are expanded to terms first.
+    """
+    if prefixes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        terms = scratch(expand(prefixes, index.blocks).select("prefix", "term"), "terms")
+        return postings.join(small(terms, terms), "term").join(prefixes, "prefix").drop("prefix")
+    keyed = prefixes.withColumn("n", F.least(F.length("prefix"), F.lit(LEAD))).withColumn("key", F.substring("prefix", 1, LEAD))
+    leads = keyed.groupBy("n", "key").agg(F.count("*").alias("held")).groupBy("n").agg(F.max("held").alias("most")).collect()  # LEAD rows at most
+    if max((r.most for r in leads), default=0) > LEAD_PREFIXES:
+        sizes = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())  # lengths of words
+        fits = F.filter(F.array(*(F.lit(n) for n in sizes)), lambda n: n <= F.length("term"))
+        starts = postings.select("*", F.explode(F.transform(fits, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("prefix"))
+        return starts.join(F.broadcast(prefixes), "prefix").drop("prefix")
+    found = postings.select("*", F.lit(0).cast("long").alias("code")).limit(0) if not leads else None
+    for n in sorted(r.n for r in leads):
+        some = F.broadcast(keyed.filter(F.col("n") == n).select("key", "prefix", "code"))
+        here = postings.join(some, (F.substring("term", 1, n) == F.col("key")) & F.col("term").startswith(F.col("prefix"))).drop("key", "prefix")
+        found = here if found is None else found.unionByName(here)
+    return found
 
 
 def contributions(index: Index, queries: DataFrame, weights: Sequence[float]) -> Parts:
     """The parts of a batch of queries, each prefix's once, however many of the queries have it.
 
-    Postings that match are dealt out once, by row, summed where they are, and written: frequencies and scores both read
-    them. The tables of the queries' prefixes and terms are written and counted first, and broadcast if they are small.
+    Postings that match are dealt out once, by row, summed where they are, and written as one row of numbers for each
+    of the index: frequencies and scores both read them.
     """
-    phrases = phrases_of(queries, index.stemmed)
-    times = scratch(phrases.groupBy("case_id", "prefix").agg(F.count("*").alias("times")), "phrases")
-    prefixes = times.select("prefix").distinct()
-    terms = scratch(expand(prefixes, index.blocks).select("prefix", "term"), "terms")
+    phrases = scratch(phrases_of(queries, index.stemmed).groupBy("case_id", "prefix").agg(F.count("*").alias("times")), "phrases")
+    prefixes = scratch(phrases.select("prefix").distinct().withColumn("code", F.monotonically_increasing_id()), "prefixes")
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-    matched = index.postings.join(_small(terms, terms), "term").select("prefix", "id", "dl", weighted.alias("w")).repartition("id")
-    found = scratch(matched.groupBy("prefix", "id", "dl").agg(F.sum("w").alias("f")), "found")
-    df = scratch(found.groupBy("prefix").agg(F.count("*").alias("df")), "df")
+    matched = matching(index.postings, prefixes, index).select("code", "id", "dl", weighted.alias("w")).repartition("id")
+    by_row = matched.groupBy("code", "id", "dl").agg(F.sum("w").alias("f")).groupBy("id", "dl").agg(F.collect_list(F.struct("code", "f")).alias("x"))
+    hits = scratch(by_row.select("id", "dl", F.col("x.code").alias("prefixes"), F.col("x.f").alias("fs")), "found")
+    df = scratch(hits.select(F.explode("prefixes").alias("code")).groupBy("code").agg(F.count("*").alias("df")), "df")
     n_docs, avgdl = index.size
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
-    part = idf(F.lit(n_docs), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    return Parts(times, found.join(_small(df, df), "prefix").select("prefix", "id", part.alias("part")), df)
+    known = prefixes.join(small(df, df), "code")
+    asked = phrases.join(small(known, known), "prefix").select("case_id", F.col("code").alias("prefix"), "times", "df", idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    return Parts(scratch(asked, "asked"), hits, avgdl)
 
 
-def _summed(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    """(case_id, id, score): all parts of what is asked for (case_id, prefix, times)."""
-    return parts.join(_small(asked, asked), "prefix").groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
+def _summed(added: DataFrame) -> DataFrame:
+    """(case_id, id, score) of (case_id, id, part)."""
+    return added.groupBy("case_id", "id").agg((-F.sum("part")).alias("score"))
 
 
 def scores(index: Index, queries: DataFrame, weights: Sequence[float]) -> DataFrame:
     """(case_id, id, score) of every row that matches; lower is better."""
-    found = contributions(index, queries, weights)
-    return _summed(found.times, found.parts)
+    return _summed(contributions(index, queries, weights).added())
 
 
 def rank_score() -> Column:
@@ -128,17 +176,16 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _thresholds(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
-    """(case_id, theta): the k-th best sum of each query over its rarest prefixes alone; 0 if fewer rows have one. asked: case_id, prefix, times, df."""
+    """(case_id, theta): the k-th best sum of each query over its rarest prefixes alone; 0 if fewer rows have one. asked: case_id, prefix, times, df; parts: prefix, id, part."""
     before = F.sum("df").over(Window.partitionBy("case_id").orderBy("df", "prefix").rowsBetween(Window.unboundedPreceding, -1))
     rare = asked.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < FIRST_ROWS * k).select("case_id", "prefix", "times")
-    best = top_k(_summed(rare, parts), k)
+    best = top_k(_summed(parts.join(small(rare, rare), "prefix").withColumn("part", F.col("times") * F.col("part"))), k)
     return best.groupBy("case_id").agg(F.when(F.count("*") == k, -F.max("score")).otherwise(0.0).alias("theta"))
 
 
 def best_scores(found: Parts, k: int) -> DataFrame:
     """(case_id, id, score) of rows that the k best of each query are among: all that match, or those of ``bounded`` if these are many."""
-    asked = found.times.join(_small(found.df, found.df), "prefix").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    return bounded(found, k)[0] if asked > BOUND_FROM else _summed(found.times, found.parts)
+    return bounded(found, k)[0] if found.postings > BOUND_FROM else _summed(found.added())
 
 
 def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
@@ -148,19 +195,22 @@ def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
     prefixes are ordered by their most. The rarest prefixes alone give a k-th best score that the final one can't be
     below. A row whose highest prefix is p gets no more than its block's most and those of all prefixes
     below p: blocks where that stays under the threshold bring no candidates, so frequent prefixes, which add
-    little, are hardly looked at. Candidates that may still reach it are summed over all prefixes. Nothing is lost: bounds hold
+    little, are hardly looked at. Rows that may still reach it for a query are summed over all prefixes, for all queries. Nothing is lost: bounds hold
     for every row, and what is within SLACK of the threshold stays.
     """
-    parts = found.parts.withColumn("level", F.floor(2 * F.log2("part")).cast("int"))
+    of_prefix = found.asked.select("prefix", "idf").distinct()
+    parts = found.parts(found.hits).join(small(of_prefix, of_prefix), "prefix").select("prefix", "id", (F.col("idf") * F.col("sat")).alias("part"))
+    parts = parts.withColumn("level", F.floor(2 * F.log2("part")).cast("int"))
     blocks = scratch(parts.groupBy("prefix", "level").agg(F.count("*").alias("n"), F.max("part").alias("most")), "blocks")
     of_prefix = blocks.groupBy("prefix").agg(F.sum("n").alias("df"), F.max("most").alias("peak"))
-    asked = scratch(found.times.join(_small(of_prefix, of_prefix), "prefix").withColumn("peak", F.col("peak") * F.col("times")), "asked")
+    times = found.asked.select("case_id", "prefix", "times")
+    asked = scratch(times.join(small(of_prefix, of_prefix), "prefix").withColumn("peak", F.col("peak") * F.col("times")), "peaks")
     theta = scratch(_thresholds(asked.select("case_id", "prefix", "times", "df"), parts, k), "theta")
     least = F.coalesce("theta", F.lit(0.0)) - SLACK
 
     below = F.sum("peak").over(Window.partitionBy("case_id").orderBy("peak", "prefix").rowsBetween(Window.unboundedPreceding, -1))
-    ordered = asked.withColumn("below", F.coalesce(below, F.lit(0.0))).join(_small(theta, theta), "case_id", "left")
-    places = ordered.join(_small(blocks, blocks), "prefix").withColumn("most", F.col("most") * F.col("times"))
+    ordered = asked.withColumn("below", F.coalesce(below, F.lit(0.0))).join(small(theta, theta), "case_id", "left")
+    places = ordered.join(small(blocks, blocks), "prefix").withColumn("most", F.col("most") * F.col("times"))
     places = places.withColumn("opens", F.col("most") + F.col("below") >= least)
     # the most that a row can get from a prefix whose block with it doesn't open
     closed = F.coalesce(F.max(F.when(~F.col("opens"), F.col("most"))).over(Window.partitionBy("case_id", "prefix")), F.lit(0.0))
@@ -168,14 +218,13 @@ def bounded(found: Parts, k: int) -> tuple[DataFrame, DataFrame]:
     hidden = places.groupBy("case_id", "prefix").agg(F.first("closed").alias("closed")).groupBy("case_id").agg(F.sum("closed").alias("hidden"))
     opened = places.filter("opens").select("case_id", "prefix", "level", "times", "closed")
     # open parts count in full, in place of what their prefix could hide
-    summed = parts.join(_small(opened, opened), ["prefix", "level"]).groupBy("case_id", "id").agg(F.sum(F.col("times") * F.col("part") - F.col("closed")).alias("sum"))
-    bound = summed.join(_small(hidden, theta), "case_id").join(_small(theta, theta), "case_id", "left")
+    summed = parts.join(small(opened, opened), ["prefix", "level"]).groupBy("case_id", "id").agg(F.sum(F.col("times") * F.col("part") - F.col("closed")).alias("sum"))
+    bound = summed.join(small(hidden, theta), "case_id").join(small(theta, theta), "case_id", "left")
     candidates = scratch(bound.filter(F.col("sum") + F.col("hidden") >= least).select("case_id", "id"), "candidates")
 
+    # rows with a candidate, all of what they add: dealing out candidates and parts to meet by query takes more than adding up
     ids = candidates.select("id").distinct()
-    theirs = parts.select("prefix", "id", "part").join(_small(ids, ids), "id", "left_semi")
-    wanted = candidates.join(_small(found.times, found.times), "case_id")
-    score = wanted.join(theirs, ["prefix", "id"]).groupBy("case_id", "id").agg((-F.sum(F.col("times") * F.col("part"))).alias("score"))
+    score = _summed(replace(found, hits=found.hits.join(small(ids, ids), "id", "left_semi")).added())
     figures = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.coalesce(F.sum(F.when(F.col("opens"), F.col("n"))), F.lit(0)).alias("looked_at"))
     return score, figures
 
@@ -192,8 +241,8 @@ def search_batch(index: Index, units: DataFrame, queries: DataFrame, k: int = 5,
         kept = units
         for c, values in wanted.items():
             kept = kept.filter(F.col(c).isin(values))
-        found.parts = found.parts.join(kept.select("id"), "id", "left_semi")
-    scored = best_scores(found, k) if k > 0 else _summed(found.times, found.parts)
+        found.hits = found.hits.join(kept.select("id"), "id", "left_semi")
+    scored = best_scores(found, k) if k > 0 else _summed(found.added())
     return top_k(scored, k).join(units, "id").select("case_id", "score", *units.columns)
 
 
