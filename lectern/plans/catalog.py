@@ -298,9 +298,14 @@ def bm25_faceted(spark, d):
     return hits.select(_score(), "id", "section", "principle")
 
 
+def _passages(spark, d):
+    """All passages, whole, as queries."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
+
+
 def _cases(spark, d):
-    """All passages, whole, as queries; the expected principle is the source of the least document that holds the passage."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
+    """The passages; the expected principle is the source of the least document that holds the passage."""
+    items = _passages(spark, d)
     holds = evaluate.holders(table(spark, d, "documents").select("doc_id", "text", "source"), items)
     return items.join(holds.groupBy("case_id").agg(F.min_by("source", "doc_id").alias("expect_principle")), "case_id", "left").withColumn("expect_section", F.lit(None).cast("string"))
 
@@ -308,8 +313,7 @@ def _cases(spark, d):
 @query
 def passage_holders(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query"))
-    return evaluate.holders(docs, items).select("case_id", "doc_id")
+    return evaluate.holders(docs, _passages(spark, d)).select("case_id", "doc_id")
 
 
 @query
@@ -330,7 +334,7 @@ def index_changes(spark, d):
 @query
 def eval_topk(spark, d):
     units, index = _documents(spark, d)
-    hits = search_batch(index, units, _cases(spark, d).select("case_id", "query"), 5, (10.0,))
+    hits = search_batch(index, units, _passages(spark, d), 5, (10.0,))
     return hits.select("case_id", _score(), "id")
 
 

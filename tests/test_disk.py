@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import evaluate, passages, search, trigram
 from lectern.operators.index import build_index
+from lectern.plans import catalog
 
 from .test_dealt import keys_of
 from .test_index import PASSAGES, TEXTS, corpus
@@ -63,6 +64,11 @@ def test_only_pairs_that_hold_are_written(spark, monkeypatch):
     assert written == {"holds": 5}
 
 
+def test_top_k_of_passages_looks_for_no_holders(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "holders", lambda *a: pytest.fail("not asked for"))
+    assert {r.case_id for r in catalog.QUERIES["eval_topk"](spark, "/root/testdata/sf0.001").select("case_id").distinct().collect()} == {r.item_id for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+
+
 # ---- batches
 
 
