@@ -32,8 +32,8 @@ LEAD_PREFIXES = 256
 #: Matching rows of all queries of a batch beyond which their k best are searched under bounds; below it all are summed sooner.
 #: (Summed where they are, 34 million take 55 s and 233 MB of shuffle; under bounds, candidates meeting parts by query, 69 s and 660 MB.)
 BOUND_FROM = 10_000_000_000
-#: Parts that a task adds up at most, on average.
-TASK_PARTS = 4_000_000
+#: Postings that a task gathers by row, and parts that one adds up, at most, on average.
+TASK_POSTINGS, TASK_PARTS = 2_000_000, 4_000_000
 #: Rows, for each that is asked for, that a query's rarest prefixes bring to find its first threshold.
 FIRST_ROWS = 100
 #: Bounds count as reached this far below a threshold: sums in another order differ by less.
@@ -80,6 +80,11 @@ def small(df: DataFrame, rows: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _by_id(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` dealt out by id, in as many parts as a shuffle has and ``least`` ones at least, which stay apart."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), least), "id")
+
+
 @dataclass
 class Parts:
     """What rows add to the scores of queries, by prefix: how often each row has it, kept by row, and what that counts."""
@@ -99,13 +104,9 @@ class Parts:
         """Parts that all queries ask for."""
         return self.asked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
-    def dealt(self, rows: DataFrame) -> DataFrame:
-        """Rows by id, in as many tasks as adding up the parts takes."""
-        return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.postings // TASK_PARTS + 1), "id")
-
     def added(self) -> DataFrame:
         """(case_id, id, part) of all that is asked for. Only rows of hits are dealt out: what is summed by row then is where it is."""
-        rows = self.parts(self.dealt(self.hits))
+        rows = self.parts(_by_id(self.hits, self.postings // TASK_PARTS + 1))
         return rows.join(small(self.asked, self.asked), "prefix").select("case_id", "id", (F.col("times") * F.col("idf") * F.col("sat")).alias("part"))
 
 
@@ -142,8 +143,8 @@ def contributions(index: Index, queries: DataFrame, weights: Sequence[float]) ->
     phrases = scratch(phrases_of(queries, index.stemmed).groupBy("case_id", "prefix").agg(F.count("*").alias("times")), "phrases")
     prefixes = scratch(phrases.select("prefix").distinct().withColumn("code", F.monotonically_increasing_id()), "prefixes")
     weighted = sum((F.col("tf")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-    matched = matching(index.postings, prefixes, index).select("code", "id", "dl", weighted.alias("w")).repartition("id")
-    by_row = matched.groupBy("code", "id", "dl").agg(F.sum("w").alias("f")).groupBy("id", "dl").agg(F.collect_list(F.struct("code", "f")).alias("x"))
+    matched = matching(index.postings, prefixes, index).select("code", "id", "dl", weighted.alias("w"))
+    by_row = _by_id(matched, index.postings.count() // TASK_POSTINGS + 1).groupBy("code", "id", "dl").agg(F.sum("w").alias("f")).groupBy("id", "dl").agg(F.collect_list(F.struct("code", "f")).alias("x"))
     hits = scratch(by_row.select("id", "dl", F.col("x.code").alias("prefixes"), F.col("x.f").alias("fs")), "found")
     df = scratch(hits.select(F.explode("prefixes").alias("code")).groupBy("code").agg(F.count("*").alias("df")), "df")
     n_docs, avgdl = index.size
